@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.matroska import op7_matroska
+from tessera.llm.suffix_dedup import op9_suffix_dedup
 from tessera.llm.token_cache import op5_token_cache
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_cache": op5_token_cache,
     "op7_matroska": op7_matroska,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
