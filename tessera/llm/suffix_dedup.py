@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NO_ID, slices, stored, table
-from tessera.llm.hashing import BYTE_VALUES, gram_hashes, pieces, raw, remaining, sliding_min, span_hashes
+from tessera.llm.hashing import BYTE_VALUES, gram_hashes, mixed, pieces, raw, remaining, sliding_min, span_hashes
 from tessera.llm.parts import answered, buckets_of, by_bucket, by_part, cut, elsewhere, member, owned, parts, requests_of, with_answers, REQUEST
 
 SIZE, GRAM = 50, 12
@@ -152,11 +152,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, size: int) -> np.ndarra
         differ = np.full(len(open_), ~np.uint64(0))
         differ[inside] = key[a[inside]] ^ key[b[inside]]
         same = differ == 0
-        # leading equal bytes of the eight
-        lead = np.zeros(len(open_), np.int64)
-        for k in range(STEP - 1):
-            lead += (differ >> np.uint64(8 * (STEP - 1 - k))) == 0
-        out[open_] += np.where(same, STEP, lead)
+        out[open_[same]] += STEP
+        last, differ = open_[~same], differ[~same]
+        for k in range(STEP - 1):  # leading equal bytes of the eight
+            out[last] += (differ >> np.uint64(8 * (STEP - 1 - k))) == 0
         open_ = open_[same]
     return np.minimum(out, size)
 
@@ -215,7 +214,7 @@ class Shared:
                 values = BYTE_VALUES[0][data]
                 least = sliding_min(gram_hashes(values, gram), size - gram + 1)
                 starts, counts = pieces(least, offsets, size) if len(least) else (np.zeros(0, np.int64),) * 2
-                each.append(least[starts])
+                each.append(mixed(least[starts]))  # least hashes are small numbers; mixed, they spread over the buckets
                 self.batches.append((data, offsets, starts, counts))
                 self.ids.append(part.column(part.schema.get_field_index("doc_id")).fill_null(NO_ID).to_numpy(zero_copy_only=False))
         self.least = np.concatenate(each) if each else np.zeros(0, np.uint64)
