@@ -21,6 +21,8 @@ everything but the first. Only the id and the text are read.
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,9 @@ from tessera.llm.parts import answered, buckets_of, by_bucket, by_part, cut, els
 SIZE, GRAM = 50, 12
 SLICE_BYTES = 1 << 18
 
+#: Buckets of pieces for each bucket of hashes, so that one suffix array holds a few megabytes.
+FINER = 8
+
 #: Bytes that one key of the direct sort compares.
 STEP = 8
 
@@ -43,7 +48,7 @@ def larger(text: np.ndarray) -> np.ndarray:
     step = np.ones(n, np.int8)
     step[:-1] = np.sign(text[:-1].astype(np.int16) - text[1:])
     # a run of equal bytes has the type of its last byte
-    at = np.where(step != 0, np.arange(n), n - 1)
+    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n - 1))
     at = np.minimum.accumulate(at[::-1])[::-1]
     return step[at] > 0
 
@@ -101,18 +106,18 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """
     big = larger(text)
     # what the wanted suffixes are induced from: everything up to the next small suffix
-    at = np.arange(len(text))
-    ends = np.where(~big, at, len(text) - 1)
+    ends = np.where(~big, np.arange(len(text), dtype=np.int32), np.int32(len(text) - 1))
     ends = np.minimum.accumulate(ends[::-1])[::-1]
-    reach = wanted.astype(np.int64)
+    reach = wanted.astype(np.int32)
     reach[1:] -= np.bincount(ends[wanted], minlength=len(text))[:-1]
     need = (np.cumsum(reach) > 0) | wanted
-    small = direct_sort(np.flatnonzero(need & ~big), keys(text), depth)
+    del ends, reach
+    small = direct_sort(np.flatnonzero(need & ~big).astype(np.int32), keys(text), depth)
     first = text[small]
     edges = np.searchsorted(first, np.arange(257))
     placed: list[list[np.ndarray]] = [[] for _ in range(256)]
     if need[-1] and big[-1]:  # the end is induced by the empty suffix
-        placed[text[-1]].append(np.array([len(text) - 1]))
+        placed[text[-1]].append(np.array([len(text) - 1], np.int32))
     out = []
 
     def induce(wave: np.ndarray, c: int) -> np.ndarray:
@@ -129,21 +134,21 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
         return before[by_char[chars == c]]
 
     for c in np.unique(text[need]):
-        wave = np.concatenate(placed[c]) if placed[c] else np.zeros(0, np.int64)
+        wave = np.concatenate(placed[c]) if placed[c] else np.zeros(0, np.int32)
         while len(wave):
             out.append(wave)
             wave = induce(wave, c)
         wave = small[edges[c] : edges[c + 1]]
         out.append(wave)
         induce(wave, c)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
     """How many bytes, up to `size`, each suffix shares with the one before it in the order."""
     key = keys(text)
-    out = np.zeros(len(order), np.int64)
-    open_ = np.arange(1, len(order))
+    out = np.zeros(len(order), np.int32)
+    open_ = np.arange(1, len(order), dtype=np.int32)
     for at in range(0, size, STEP):
         if not len(open_):
             break
@@ -170,13 +175,14 @@ def least_owner(bodies: list[bytes], owners: list[np.ndarray], size: int) -> lis
     text = np.frombuffer(b"".join(b + b"\xff" for b in place), np.uint8) + np.uint8(1)
     lengths = np.fromiter((len(b) + 1 for b in place), np.int64, len(place))
     begins = np.cumsum(lengths) - lengths
-    wanted = np.repeat(lengths, lengths) - (np.arange(len(text)) - np.repeat(begins, lengths)) > size
+    wanted = np.repeat((begins + lengths).astype(np.int32), lengths) - np.arange(len(text), dtype=np.int32) > size
     order = two_stage(text, wanted, size)
     order = order[wanted[order]]
     group = np.cumsum(common_prefixes(text, order, size) < size) - 1
     of = np.repeat(own, lengths)
     least = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, group, of[order])
+    del of
     per_byte = np.zeros(len(text), np.int64)
     per_byte[order] = least[group]
     return [per_byte[begins[i] : begins[i] + lengths[i] - size] for i in which]
@@ -246,7 +252,7 @@ class Shared:
         self.sample = order[fresh]
         self.first = np.full(len(self.sample), np.iinfo(np.int64).max)
         np.minimum.at(self.first, self.number, self.owner)
-        self.cuts = list(cut(owned(least[self.sample], buckets), buckets))
+        self.cuts = list(cut(owned(least[self.sample], FINER * buckets), FINER * buckets))
 
     def requests(self, part: int) -> pa.Table:
         bodies = []
@@ -256,25 +262,25 @@ class Shared:
             bodies.append(head.tobytes() + b"".join(self.batches[b][0][s:e].tobytes() for b, s, e in spans.tolist()))
         return pa.table({"bucket": pa.array([c[0] for c in self.cuts], pa.int32()), "part": pa.array([part] * len(bodies), pa.int64()), "body": pa.array(bodies, pa.binary())})
 
-    def removed(self, answers: dict) -> list[np.ndarray]:
-        """For each slice, which of its bytes go."""
+    def removed(self, answers: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(bytes, offsets, which bytes go) of each slice."""
         counts = (self.spans[:, 2] - self.spans[:, 1] - self.size + 1)[self.sample]
         bits = [np.unpackbits(np.frombuffer(answers[2, b], np.uint8), count=int(counts[i:j].sum())) for b, i, j in self.cuts]
         bits = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
         begins = np.cumsum(counts) - counts
-        out = [np.zeros(len(x[0]) + 1, np.int64) for x in self.batches]
         later = self.owner > self.first[self.number]  # the part itself has a smaller id with the whole piece
-        lengths = counts[self.number]
-        flat = np.repeat(begins[self.number] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        hit = bits[flat] | np.repeat(later, lengths)
-        places = (np.repeat(self.spans[:, 1] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum()))[hit]
-        slice_of = np.repeat(self.spans[:, 0], lengths)[hit]
-        edges = np.searchsorted(slice_of, np.arange(len(out) + 1))
-        for b, marks in enumerate(out):
-            at = places[edges[b] : edges[b + 1]]
-            marks += np.bincount(at, minlength=len(marks))
-            marks[self.size :] -= np.bincount(at + self.size, minlength=len(marks))[self.size :]
-        return [np.cumsum(x)[:-1] > 0 for x in out]
+        edges = np.searchsorted(self.spans[:, 0], np.arange(len(self.batches) + 1))
+        for (data, offsets, _, _), i, j in zip(self.batches, edges, edges[1:]):
+            number = self.number[i:j]
+            lengths = counts[number]
+            back = np.cumsum(lengths) - lengths
+            step = np.arange(lengths.sum())
+            hit = bits[np.repeat(begins[number] - back, lengths) + step] | np.repeat(later[i:j], lengths)
+            places = (np.repeat(self.spans[i:j, 1] - back, lengths) + step)[hit]
+            marks = np.zeros(len(data) + 1, np.int32)
+            marks[places] += 1
+            marks[places + self.size] -= 1
+            yield data, offsets, np.cumsum(marks)[:-1] > 0
 
 
 def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -294,7 +300,7 @@ def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFram
         shared = Shared(rows, size, gram)
         shared.find(buckets, answers)
         ids, n, gone, spans, kept = [], [], [], [], []
-        for (data, offsets, _, _), out in zip(shared.batches, shared.removed(answers)):
+        for data, offsets, out in shared.removed(answers):
             total = np.concatenate([[0], np.cumsum(out)])
             begun = out.copy()
             begun[1:] &= ~out[:-1]
