@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.fingerprint_index import op1_fingerprint_index
 from tessera.llm.matroska import op7_matroska
+from tessera.llm.ppm import op3_ppm_language
 from tessera.llm.suffix_dedup import op9_suffix_dedup
 from tessera.llm.token_cache import op5_token_cache
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint_index": op1_fingerprint_index,
+    "op3_ppm_language": op3_ppm_language,
     "op5_token_cache": op5_token_cache,
     "op7_matroska": op7_matroska,
     "op9_suffix_dedup": op9_suffix_dedup,
