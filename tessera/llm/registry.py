@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.entropy_mix import op4_entropy_mix
 from tessera.llm.fingerprint_index import op1_fingerprint_index
+from tessera.llm.link_trust import op10_link_trust
 from tessera.llm.matroska import op7_matroska
 from tessera.llm.ppm import op3_ppm_language
 from tessera.llm.suffix_dedup import op9_suffix_dedup
@@ -15,9 +17,11 @@ from tessera.llm.token_cache import op5_token_cache
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint_index": op1_fingerprint_index,
     "op3_ppm_language": op3_ppm_language,
+    "op4_entropy_mix": op4_entropy_mix,
     "op5_token_cache": op5_token_cache,
     "op7_matroska": op7_matroska,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_link_trust": op10_link_trust,
 }
 
 ORACLE_SQL: dict[str, str] = {}
