@@ -32,7 +32,7 @@ from tessera.llm.common import NO_ID, slices, stored, table
 from tessera.llm.hashing import BYTE_VALUES, gram_hashes, mixed, pieces, raw, remaining, sliding_min, span_hashes
 from tessera.llm.parts import answered, buckets_of, by_bucket, by_part, cut, elsewhere, member, owned, parts, requests_of, with_answers, REQUEST
 
-SIZE, GRAM = 50, 12
+SIZE, GRAM = 50, 20
 SLICE_BYTES = 1 << 18
 
 #: Buckets of pieces for each bucket of hashes, so that one suffix array holds a few megabytes.
