@@ -13,15 +13,18 @@ from tessera.llm.matroska import op7_matroska
 from tessera.llm.ppm import op3_ppm_language
 from tessera.llm.suffix_dedup import op9_suffix_dedup
 from tessera.llm.token_cache import op5_token_cache
+from tessera.llm.winnow import SQL as WINNOW_SQL
+from tessera.llm.winnow import op6_winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint_index": op1_fingerprint_index,
     "op3_ppm_language": op3_ppm_language,
     "op4_entropy_mix": op4_entropy_mix,
     "op5_token_cache": op5_token_cache,
+    "op6_winnow": op6_winnow,
     "op7_matroska": op7_matroska,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_link_trust": op10_link_trust,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_winnow": WINNOW_SQL}
