@@ -29,7 +29,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Only the two named columns are taken, so no other column of the input can clash.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns(
-        {"kd": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.shiftrightunsigned(F.xxhash64("text"), 33)}
+        {"kd": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")}
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.entropy_mix import op4_entropy_mix
 from tessera.llm.fingerprint_index import op1_fingerprint_index
+from tessera.llm.jaccard_join import op8_jaccard_join
 from tessera.llm.link_trust import op10_link_trust
 from tessera.llm.matroska import op7_matroska
 from tessera.llm.ppm import op3_ppm_language
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_cache": op5_token_cache,
     "op6_winnow": op6_winnow,
     "op7_matroska": op7_matroska,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_link_trust": op10_link_trust,
 }
