@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.entropy_mix import op4_entropy_mix
 from tessera.llm.fingerprint_index import op1_fingerprint_index
 from tessera.llm.jaccard_join import op8_jaccard_join
+from tessera.llm.line_templates import SQL as LINES_SQL
+from tessera.llm.line_templates import op2_line_templates
 from tessera.llm.link_trust import op10_link_trust
 from tessera.llm.matroska import op7_matroska
 from tessera.llm.ppm import op3_ppm_language
@@ -19,6 +21,7 @@ from tessera.llm.winnow import op6_winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint_index": op1_fingerprint_index,
+    "op2_line_templates": op2_line_templates,
     "op3_ppm_language": op3_ppm_language,
     "op4_entropy_mix": op4_entropy_mix,
     "op5_token_cache": op5_token_cache,
@@ -29,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_link_trust": op10_link_trust,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_winnow": WINNOW_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_templates": LINES_SQL, "op6_winnow": WINNOW_SQL}
