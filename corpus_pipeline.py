@@ -1,12 +1,80 @@
-"""The corpus pipeline: placeholder stages are added as their operators are written."""
+"""The corpus pipeline: language ID, line dedup, near duplicates, decontamination, mixing.
+
+Each stage takes all that its predecessor kept. `run` writes what a stage returns as Parquet in
+the shared folder and reads it again for the next one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import entropy_mix, jaccard_join, line_templates, ppm, winnow
+from tessera.llm.common import keyed_columns, stored, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: Texts of at least so many bytes that every language codes in more bits than raw bytes are rejected.
+REJECT_BYTES, REJECT_BITS = 100, 8.0
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts in no language that was learned, and gives unlabelled ones the predicted language."""
+    trees = ppm.fit(docs.where(~ppm.held_out()))
+    found = ppm.identify(docs.select(*COLUMNS), trees)
+    raw = (F.octet_length("text") >= REJECT_BYTES) & (F.col("bits") > REJECT_BITS)
+    kept = found.where((F.col("lang_pred") != ppm.UND) & ~raw)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines of recurring templates; a document that loses all its lines goes."""
+    out = line_templates.dedup_lines(docs.select(*COLUMNS))
+    kept = out.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each class of near duplicates."""
+    firsts = jaccard_join.join(docs).where("first").groupBy(F.col("kd").alias("__kd"), F.col("th").alias("__th")).agg(F.count("*").alias("__n"))
+    kept = docs.select(*COLUMNS).withColumns(keyed_columns()).join(firsts, ["__kd", "__th"])
+    # rows that repeat id and text are the only ones with one key
+    again = kept.where("__n > 1").dropDuplicates(["__kd", "__th"])
+    return kept.where("__n = 1").unionByName(again).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold too much of the benchmark."""
+    out = winnow.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return out.where(~winnow.contaminated(F.col("n_hit"), F.col("n_words"))).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its copies, numbered in `copy`."""
+    taken = entropy_mix.mix(docs).where("copies > 0").groupBy(F.col("kd").alias("__kd"), F.col("th").alias("__th")).agg(F.max("copies").alias("__copies"))
+    out = docs.select(*COLUMNS).withColumns(keyed_columns()).join(taken, ["__kd", "__th"])
+    return out.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy"))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mixture),
+]
 
-STAGES: list = []
+#: The stages learn, iterate and hash, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, "pipeline")
+    return docs

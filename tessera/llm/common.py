@@ -33,6 +33,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def keyed_columns(id_col: str = "doc_id", text_col: str = "text") -> dict[str, Column]:
+    """The same row key for rows that keep all their columns."""
+    return {"__kd": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.col(text_col).cast("string"))}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)

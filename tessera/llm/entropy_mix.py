@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import keyed_columns, stored, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 ROUNDS, TOLERANCE, BINS = 60, 1e-9, 4096
@@ -38,11 +38,11 @@ WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, size, u): u is a hash of the row in [0, 1)."""
-    text = F.col(text_col).cast("string")
-    size = F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), text), 11) / float(1 << 53)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), u.alias("u"))
+    """(doc_id, kd, th, source, size, u): the row's key, and a hash of it in [0, 1)."""
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
+    own = keyed_columns(id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), own["__kd"].alias("kd"), own["__th"].alias("th"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    return rows.withColumn("u", F.shiftrightunsigned(F.xxhash64("kd", "th"), 11) / float(1 << 53))
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def cuts(rows: DataFrame, need: DataFrame, bin_col: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, u, size, source_size, target, rate, copies) of every row."""
+    """(doc_id, kd, th, source, size, u, source_size, target, rate, copies) of every row."""
     rows = stored(sized(docs, id_col, source_col, text_col), "sizes")
     return _mixed(rows, weights, share, most)
 

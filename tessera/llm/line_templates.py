@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, stored, table
+from tessera.llm.common import keyed, keyed_columns, stored, table
 
 DEPTH, MIN_DOCS, SIMILAR = 3, 5, 0.5
 #: Rows of (hash, id) up to which a table is broadcast: about 5 MB.
@@ -83,9 +83,8 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, s
     keys = keyed(docs, id_col, text_col)
     gone = stored(dropped_lines(keys, depth, min_docs, similar), "dropped-lines")
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    k, h = "__kd", "__th"  # in keyed() terms
-    rows = docs.select(*others).withColumns({k: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), h: F.xxhash64(F.col(text_col).cast("string"))})
-    rows = rows.join(gone.select(F.col("kd").alias(k), F.col("th").alias(h), F.col("gone").alias("__gone")), [k, h], "left")
+    rows = docs.select(*others).withColumns(keyed_columns(id_col, text_col))
+    rows = rows.join(gone.select(F.col("kd").alias("__kd"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), ["__kd", "__th"], "left")
     rows = rows.withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))

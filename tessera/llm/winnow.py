@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, stored, table
+from tessera.llm.common import keyed, keyed_columns, stored, table
 
 WINDOW, GRAM = 13, 5
 #: One hit word in so many contaminates a document.
@@ -81,12 +81,12 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, text, n_words, n_hit, items): items is the sorted array of item ids, as strings."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs with n_words, n_hit and items (sorted item ids, as strings) in place of any columns of these names."""
     spans = stored(benchmark_windows(benchmark, window, gram, item_id, item_text), "benchmark-windows")
     n_spans = spans.count()
     lengths = sorted(r[0] for r in spans.select("length").distinct().collect())  # at most `window` numbers
-    rows = keyed(docs)
+    rows = keyed(docs, id_col, text_col)
     marks = spans.select("length", "fp").distinct()
     found = None
     for k in lengths:
@@ -94,9 +94,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         each = with_fingerprints(own, "h", k, gram, "fps").select("kd", "th", F.explode(F.array_distinct("fps")).alias("fp"))
         hits = each.join(small(marks.where(F.col("length") == k).select("fp"), n_spans, FEW_WINDOWS), "fp", "left_semi").select("kd", "th", F.lit(k).alias("length"), "fp")
         found = hits if found is None else found.unionByName(hits)
-    plain = rows.withColumn("n_words", F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long"))
+    others = [c for c in docs.columns if c not in ("n_words", "n_hit", "items")]
+    n_words = F.regexp_count(lowered(F.col(text_col)), F.lit(WORD)).cast("long")
     if found is None:
-        return plain.select("doc_id", "text", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return docs.select(*others, n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     # a document's own fingerprints that the benchmark has; repeated rows agree on them
     matched = stored(found.groupBy("kd", "th").agg(F.collect_set(F.struct("length", "fp")).alias("matched")), "matched")
     near = rows.join(matched, ["kd", "th"]).dropDuplicates(["kd", "th", "text"]).select("kd", "th", "text", words(F.col("text")).alias("w"), "matched")
@@ -116,8 +117,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "length")), lambda p: F.sequence(p["at"], p["at"] + p["length"] - 1)))))
     hit = joined.groupBy("kd", "th", "digest").agg(covered.cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
     hit = stored(hit, "hits")
-    out = plain.withColumn("digest", F.sha2("text", 256)).join(hit, ["kd", "th", "digest"], "left")
-    return out.select("doc_id", "text", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    hit = small(hit.select(F.col("kd").alias("__kd"), F.col("th").alias("__th"), F.col("digest").alias("__digest"), F.col("n_hit").alias("__n_hit"), F.col("items").alias("__items")), hit.count(), FEW_WINDOWS)
+    own = keyed_columns(id_col, text_col) | {"__digest": F.sha2(F.col(text_col).cast("string"), 256)}
+    out = docs.select(*others).withColumns(own).join(hit, ["__kd", "__th", "__digest"], "left")
+    return out.select(*others, n_words.alias("n_words"), F.coalesce("__n_hit", F.lit(0)).alias("n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated(n_hit: Column, n_words: Column, one_in: int = ONE_IN) -> Column:
