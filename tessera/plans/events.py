@@ -13,7 +13,7 @@ from tessera.sources.files import read_table
 from tessera.streaming.windows import tumbling_counts
 
 
-@query("SELECT event_type, count(*) AS events, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS events, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY event_type")
 def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = read_table(spark, sf_dir, "events").groupBy("event_type")
     return grouped.agg(F.count("*").alias("events"), F.sum(json_long("props", "k")).alias("k"), exact_sum("value").alias("value"))
