@@ -42,10 +42,11 @@ SLICE_BYTES = 1 << 19
 #: Bytes of a signature: one of each MinHash value, of the first so many.
 SIGNATURE = 128
 #: Members of a shared band hash, and bytes of a component's texts, that one task compares at once.
-BLOCK_MEMBERS, BLOCK_BYTES = 4096, 4 << 20
-#: Estimates of similarity (standard error 0.044 at most): below MAY there is no edge to the
-#: leader, from TIGHT on the leader stands for the member.
-MAY, TIGHT = 0.40, 0.93
+BLOCK_MEMBERS, BLOCK_BYTES = 4096, 8 << 20
+#: Estimates of similarity (standard error 0.044 at most). Below NEAR there is no edge to the
+#: leader. From TAKEN on the leader stands for a member: by the triangle inequality of Jaccard
+#: distance, what is linked to that member is about NEAR to the leader, or nearer.
+NEAR, TAKEN = 0.30, 0.70
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -120,11 +121,32 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return keyed(docs).mapInArrow(sign, "kd long, th long, doc_id long, n_bytes long, size long, d1 long, d2 long, signature binary, bands array<long>")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for the nodes of edges that are not the least of their component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        following = label.copy()
+        np.minimum.at(following, x, least)
+        np.minimum.at(following, y, least)
+        np.minimum.at(following, label[x], least)
+        np.minimum.at(following, label[y], least)
+        following = following[following]
+        if (following == label).all():
+            break
+        label = following
+    below = label != np.arange(len(nodes))
+    return nodes[below], nodes[label[below]]
+
+
 def leaders(group: np.ndarray, ids: np.ndarray, signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (a, b) that connect, in each group, all members whose similarity may reach the threshold.
 
     In each round the first member left of each group leads: it gets an edge to each other one
-    that is similar enough, and takes those that are nearly equal to it out.
+    that is similar enough, and takes the most similar ones out. What is returned spans the
+    edges, so it has fewer rows than members.
     """
     order = np.lexsort((ids, group))
     group, ids, signature = group[order], ids[order], signature[order]
@@ -142,11 +164,11 @@ def leaders(group: np.ndarray, ids: np.ndarray, signature: np.ndarray) -> tuple[
         like = np.empty(len(a))
         for i in range(0, len(a), 1 << 16):
             like[i : i + (1 << 16)] = (signature[a[i : i + (1 << 16)]] == signature[b[i : i + (1 << 16)]]).mean(1)
-        near = like >= MAY
+        near = like >= NEAR
         out_a.append(ids[a[near]])
         out_b.append(ids[b[near]])
-        left = b[like < TIGHT]
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
+        left = b[like < TAKEN]
+    return forest(np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
@@ -166,8 +188,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     def compare(key, rows):
         signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         a, b = leaders(rows["group"].to_numpy(), rows["node"].to_numpy(), signature)
-        pairs = np.unique(np.stack([a, b], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return held.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
@@ -240,7 +261,10 @@ def verify(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, block: np.n
 
 
 def verified(nodes: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(node, links, root): verified links of every node that has any candidates, once for each task it was in."""
+    """(node, links, root, whole): verified links of every node that has any candidates, once for each task it was in.
+
+    whole: the task had all candidates of its nodes, so its roots are final.
+    """
     spark = nodes.sparkSession
     buckets = buckets_of(spark)
     roots = stored(components(candidate_edges(nodes)), "candidates")
@@ -250,17 +274,17 @@ def verified(nodes: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
     # copies of one set may have different texts and equal keys; any one of them has the node's set
     texts = keyed(docs).select("kd", "th", "text").join(held.select("kd", "th", "node", "copies", "root", "blocks", "own"), ["kd", "th"]).dropDuplicates(["node"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    dealt = texts.select("node", "copies", "root", "own", "text", F.explode(pairs).alias("pair"))
-    dealt = dealt.select("node", "copies", "text", F.xxhash64("root", "pair.i", "pair.j").alias("group"), (F.col("own") == F.col("pair.j")).cast("int").alias("block"), (F.col("pair.i") != F.col("pair.j")).alias("cross"))
+    dealt = texts.select("node", "copies", "root", "own", "blocks", "text", F.explode(pairs).alias("pair"))
+    dealt = dealt.select("node", "copies", "text", (F.col("blocks") == 1).alias("whole"), F.xxhash64("root", "pair.i", "pair.j").alias("group"), (F.col("own") == F.col("pair.j")).cast("int").alias("block"), (F.col("pair.i") != F.col("pair.j")).alias("cross"))
     dealt = dealt.withColumn("bucket", F.pmod("group", F.lit(4 * buckets)).cast("int"))
 
     def check(key, rows):
         data, offsets = raw(rows["text"])
         get = lambda c: rows[c].to_numpy()
         links, root = verify(data, offsets, get("group"), get("block"), get("cross"), get("node"), get("copies"), n, threshold)
-        return pa.table({"node": rows["node"], "links": pa.array(links), "root": pa.array(root)})
+        return pa.table({"node": rows["node"], "links": pa.array(links), "root": pa.array(root), "whole": rows["whole"]})
 
-    return dealt.groupBy("bucket").applyInArrow(check, "node long, links long, root long")
+    return dealt.groupBy("bucket").applyInArrow(check, "node long, links long, root long, whole boolean")
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -273,7 +297,10 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     nodes = stored(nodes.select("d1", "d2", "k.kd", "k.th", "copies", "n_bytes", "signature", "bands").withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = stored(verified(nodes, docs, n, threshold), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = found.where("whole").select("node", "root")
+    dealt = found.where("NOT whole")
+    if not dealt.isEmpty():
+        roots = roots.unionByName(components(dealt.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     least = nodes.select("node", "kd", "th", "d1", "d2", "copies").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_class = least.groupBy("root").agg(F.min(F.struct("kd", "th")).alias("first_key"))
     named = least.join(of_class, "root").select("d1", "d2", "first_key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
