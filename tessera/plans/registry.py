@@ -23,3 +23,4 @@ def query(sql: str | None):
 
 
 from tessera.plans import events, relational  # noqa: E402, F401  they register their queries
+from tessera.streaming import queries as streams  # noqa: E402, F401
