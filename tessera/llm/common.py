@@ -62,12 +62,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder; for small tables between iterations."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path with the file system that holds it."""
     jvm = spark.sparkContext._jvm
@@ -75,16 +69,6 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def words(text: Column) -> Column:
-    """The words between runs of space, tab, newline, vertical tab, form feed and return; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-
-
-def word_count(text: Column) -> Column:
-    """How many such words there are, without keeping them."""
-    return F.size(words(text)).cast("long")
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch whose texts hold about `limit` bytes; one long text is a slice of its own."""
     if not batch.num_rows:

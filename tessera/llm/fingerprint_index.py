@@ -248,3 +248,14 @@ def op1_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = index.ingest(table(spark, sf_dir, "documents"), closed=True)
     index.compact()
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + {SIZE - 1}], ' ') AS span FROM (SELECT r, w, unnest(range(1, len(w) - {SIZE} + 2)) AS i FROM d WHERE len(w) >= {SIZE})),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY span) AS n FROM g) WHERE n > 1),
+p AS (SELECT DISTINCT r, unnest(range(i, i + {SIZE})) AS pos FROM c),
+u AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+k AS (SELECT u.r, count(p.pos) AS n_removed, coalesce(string_agg(CASE WHEN p.pos IS NULL THEN word END, ' ' ORDER BY u.pos), '') AS kept FROM u LEFT JOIN p ON u.r = p.r AND u.pos = p.pos GROUP BY u.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""

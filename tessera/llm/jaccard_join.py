@@ -313,3 +313,16 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[i:i + {N - 1}], ' ') AS gram FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {N} + 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+x AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x.a, x.b FROM x JOIN n p ON x.a = p.r JOIN n q ON x.b = q.r WHERE c * 10 >= {round(THRESHOLD * 10)} * (p.n + q.n - c)),
+t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+k AS (SELECT t.a AS r, min(doc_id) AS class_id FROM t JOIN d ON t.b = d.r GROUP BY t.a),
+m AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM d JOIN k USING (r) LEFT JOIN m USING (r)
+"""

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.entropy_mix import op4_entropy_mix
+from tessera.llm.fingerprint_index import SQL as FINGERPRINTS_SQL
 from tessera.llm.fingerprint_index import op1_fingerprint_index
+from tessera.llm.jaccard_join import SQL as JACCARD_SQL
 from tessera.llm.jaccard_join import op8_jaccard_join
 from tessera.llm.line_templates import SQL as LINES_SQL
 from tessera.llm.line_templates import op2_line_templates
 from tessera.llm.link_trust import op10_link_trust
 from tessera.llm.matroska import op7_matroska
 from tessera.llm.ppm import op3_ppm_language
+from tessera.llm.suffix_dedup import SQL as SUFFIX_SQL
 from tessera.llm.suffix_dedup import op9_suffix_dedup
 from tessera.llm.token_cache import op5_token_cache
 from tessera.llm.winnow import SQL as WINNOW_SQL
@@ -32,4 +35,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_link_trust": op10_link_trust,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_templates": LINES_SQL, "op6_winnow": WINNOW_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_fingerprint_index": FINGERPRINTS_SQL,
+    "op2_line_templates": LINES_SQL,
+    "op6_winnow": WINNOW_SQL,
+    "op8_jaccard_join": JACCARD_SQL,
+    "op9_suffix_dedup": SUFFIX_SQL,
+}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NO_ID, slices, stored, table
-from tessera.llm.hashing import BYTE_VALUES, gram_hashes, mixed, pieces, raw, remaining, sliding_min, span_hashes
+from tessera.llm.hashing import BYTE_VALUES, gram_hashes, mixed, pieces, raw, sliding_min, span_hashes
 from tessera.llm.parts import answered, buckets_of, by_bucket, by_part, cut, elsewhere, member, owned, parts, requests_of, with_answers, REQUEST
 
 SIZE, GRAM = 50, 20
@@ -325,3 +325,17 @@ def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFram
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+g AS (SELECT r, doc_id, i, h[2 * i + 1:2 * i + {2 * SIZE}] AS span FROM (SELECT r, doc_id, h, unnest(range(n - {SIZE} + 1)) AS i FROM d WHERE n >= {SIZE})),
+c AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY span) AS least FROM g) WHERE least < doc_id),
+p AS (SELECT DISTINCT r, unnest(range(i, i + {SIZE})) AS pos FROM c),
+s AS (SELECT r, count(*) AS n_removed, count(*) FILTER (fresh) AS n_spans FROM (SELECT r, pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) IS DISTINCT FROM 1 AS fresh FROM p) GROUP BY r),
+u AS (SELECT r, pos, h[2 * pos + 1:2 * pos + 2] AS byte FROM (SELECT r, h, unnest(range(n)) AS pos FROM d WHERE r IN (SELECT r FROM s))),
+k AS (SELECT u.r, coalesce(string_agg(byte, '' ORDER BY u.pos), '') AS kept FROM u LEFT JOIN p ON u.r = p.r AND u.pos = p.pos WHERE p.pos IS NULL GROUP BY u.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN s.r IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN s ON d.r = s.r LEFT JOIN k ON d.r = k.r
+"""
