@@ -174,11 +174,32 @@ def finish(windows: Windows, rows: pa.Table, answers: dict) -> pa.Table:
 
 
 class FingerprintIndex:
-    """Runs of window fingerprints under `path`, a folder that driver and executors share."""
+    """Runs of window fingerprints under `path`, a folder that driver and executors share.
+
+    The runs are in the latest complete generation g<n> of the folder; compaction writes the
+    next one before it deletes the old, so an index can be opened again after a failure. The
+    number of buckets is fixed by the session that made the index.
+    """
 
     def __init__(self, spark: SparkSession, path: str, size: int = SIZE, gram: int = GRAM):
-        self.spark, self.path, self.size, self.gram = spark, path, size, gram
-        self.buckets, self.count = buckets_of(spark), 0
+        self.spark, self.base, self.size, self.gram = spark, path, size, gram
+        self.generation, self.count, self.buckets = 0, 0, buckets_of(spark)
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(root):
+            found = [x.getPath() for x in files.listStatus(root)]
+            whole = [int(p.getName()[1:]) for p in found if files.exists(p.suffix("/_SUCCESS"))]
+            self.generation = max(whole, default=0)
+            if whole:
+                last = self.spark.read.schema(RUN).parquet(self.path).agg(F.max("run")).head()[0]
+                self.count = 0 if last is None else last + 1
+                self.buckets = int(self.spark.read.text(f"{path}-buckets").head()[0])
+        if not self.count:
+            spark.createDataFrame([(str(self.buckets),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}-buckets")
+
+    @property
+    def path(self) -> str:
+        return f"{self.base}/g{self.generation}"
 
     def runs(self) -> DataFrame:
         return self.spark.read.schema(RUN).parquet(self.path) if self.count else self.spark.createDataFrame([], RUN)
@@ -203,15 +224,17 @@ class FingerprintIndex:
         return self.runs().groupBy("bucket").applyInArrow(fuse, "part long, step int, bucket int, body binary")
 
     def compact(self) -> None:
-        """Merges all runs into one, in a new folder; the old runs go afterwards."""
+        """Merges all runs into one, as a new generation; the old one goes afterwards."""
+        if not self.count:
+            return
 
         def fuse(key, rows):
             hashes, checks, twice, _ = merge(rows["body"].to_pylist())
             return pa.table({"run": pa.array([0], pa.int32()), "bucket": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([-1], pa.int64()), "body": pa.array([body(hashes, checks, twice)], pa.binary())})
 
-        old, new = self.path, f"{self.path}-{self.count}"
-        self.runs().groupBy("bucket").applyInArrow(fuse, RUN).write.parquet(new)
-        self.path, self.count = new, 1
+        old = self.path
+        self.runs().groupBy("bucket").applyInArrow(fuse, RUN).write.mode("overwrite").parquet(f"{self.base}/g{self.generation + 1}")
+        self.generation, self.count = self.generation + 1, 1
         remove(self.spark, old)
 
     def ingest(self, docs: DataFrame, closed: bool = False) -> DataFrame:
@@ -220,6 +243,8 @@ class FingerprintIndex:
         closed: no later batch comes and the index was empty, so windows that cannot recur
         inside this batch need no fingerprints.
         """
+        if closed and self.count:
+            raise ValueError("a closed corpus needs an empty index")
         size, gram, buckets = self.size, self.gram, self.buckets
 
         def hashes(part, rows):

@@ -47,14 +47,18 @@ def test_closed_corpus(spark, partitions):
 
 
 def test_batches_and_compaction(spark):
-    index, history = I.FingerprintIndex(spark, scratch(spark, "t")), []
+    path, history = scratch(spark, "t"), []
     for seed in (1, 2, 1):
+        index = I.FingerprintIndex(spark, path)  # opened again for each batch
         rows = corpus(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         assert rows_of(index.ingest(docs)) == brute(rows, 35, history)
         history += rows
-        index.compact()
-        assert index.runs().groupBy("bucket").count().where("count > 1").count() == 0
+        if seed == 2:
+            index.compact()
+            with pytest.raises(ValueError):
+                index.ingest(docs, closed=True)
+            assert index.runs().groupBy("bucket").count().where("count > 1").count() == 0
 
 
 def test_empty_table(spark):
