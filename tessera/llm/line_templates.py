@@ -84,7 +84,9 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, s
     gone = stored(dropped_lines(keys, depth, min_docs, similar), "dropped-lines")
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*others).withColumns(keyed_columns(id_col, text_col))
-    rows = rows.join(gone.select(F.col("kd").alias("__kd"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), ["__kd", "__th"], "left")
+    # documents that lose lines grow with the corpus, so the same join is used at every size
+    gone = gone.select(F.col("kd").alias("__kd"), F.col("th").alias("__th"), F.col("gone").alias("__gone")).hint("merge")
+    rows = rows.join(gone, ["__kd", "__th"], "left")
     rows = rows.withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
