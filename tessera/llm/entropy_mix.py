@@ -75,31 +75,36 @@ def rate(multiplier: Column, size: Column, mean: Column, most: float = MOST) ->
     return F.least(F.lit(float(most)), F.exp(F.least(multiplier * size / mean, F.lit(100.0))))
 
 
-def solve(sources: DataFrame, histogram: DataFrame, most: float = MOST, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Adds `multiplier` to (source, total, documents, target), by Newton steps on (source, size, n)."""
+def solve(sources: DataFrame, histogram: DataFrame, few: bool, most: float = MOST, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Adds `multiplier` to (source, total, documents, target), by Newton steps on (source, size, n).
+
+    few: the sources are few enough to be broadcast and kept in one file between the steps.
+    """
+    near_ = F.broadcast if few else lambda df: df
+    kept = lambda df: stored(df.coalesce(1) if few else df, "multipliers")
     # for targets at the cap, the multiplier at which even one word reaches the highest rate
     highest = F.col("mean") * math.log(most) * 1.001
     rows = sources.withColumn("mean", F.greatest(F.col("total") / F.greatest("documents", F.lit(1)), F.lit(1e-9)))
     full = F.col("target") >= F.col("total") * most * (1 - 1e-12)
     state = rows.withColumns({"multiplier": F.when(full, highest).otherwise(0.0), "low": F.lit(-200.0) * F.greatest(F.lit(1.0), "mean"), "high": highest, "done": full})
-    state = stored(state, "multipliers")
+    state = kept(state)
     for _ in range(rounds):
         if state.where("NOT done").isEmpty():
             break
         open_ = state.where("NOT done")
-        joined = histogram.join(open_.select(F.col("source").alias("s"), "multiplier", "mean"), F.col("source").eqNullSafe(F.col("s")))
+        joined = histogram.join(near_(open_.select(F.col("source").alias("s"), "multiplier", "mean")), F.col("source").eqNullSafe(F.col("s")))
         words = F.col("n") * F.col("size")
         r = rate(F.col("multiplier"), F.col("size"), F.col("mean"), most)
         slope = F.when(r < most, words * r * F.col("size") / F.col("mean")).otherwise(0.0)
         sums = joined.groupBy("s").agg(F.sum(words * r).alias("now"), F.sum(slope).alias("slope"))
-        both = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
+        both = state.join(near_(sums), F.col("source").eqNullSafe(F.col("s")), "left")
         gap = F.col("now") - F.col("target")
         near = F.col("done") | F.col("now").isNull() | (F.abs(gap) <= tolerance * F.greatest("target", F.lit(1.0)))
         low, high = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low")), F.when(gap > 0, F.col("multiplier")).otherwise(F.col("high"))
         step = F.col("multiplier") - F.when(F.col("slope") > 0, gap / F.col("slope"))
         inside = (step > low) & (step < high)
         moved = F.when(near, F.col("multiplier")).when(inside, step).otherwise((low + high) / 2)
-        state = stored(both.select(*rows.columns, moved.alias("multiplier"), low.alias("low"), high.alias("high"), near.alias("done")), "multipliers")
+        state = kept(both.select(*rows.columns, moved.alias("multiplier"), low.alias("low"), high.alias("high"), near.alias("done")))
     return state.select(*rows.columns, "multiplier")
 
 
@@ -132,8 +137,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def _mixed(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
     histogram = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sources = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("documents"))
-    solved = stored(solve(targets(sources, weights, share, most), histogram, most), "rates")
-    few = solved.count() <= FEW_SOURCES
+    wanted = stored(targets(sources, weights, share, most), "targets")
+    few = wanted.count() <= FEW_SOURCES
+    solved = solve(wanted, histogram, few, most)
     keep = [c for c in rows.columns]
     r = rate(F.col("multiplier"), F.col("size"), F.col("mean"), most)
     rated = with_source(rows, solved.select("source", "total", "target", "mean", "multiplier"), few).withColumn("rate", F.when(F.col("size") > 0, r).otherwise(0.0))
