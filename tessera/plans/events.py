@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import exact, exact_sum, json_long
-from tessera.operators.temporal import asof_join, range_join, sessions
+from tessera.operators.temporal import asof_join, range_join, sessions, top_k
 from tessera.plans.registry import query
 from tessera.sources.files import read_table
 from tessera.streaming.windows import tumbling_counts
@@ -73,3 +73,18 @@ def trailing_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("user_id").orderBy("at").rangeBetween(-86_400_000_000, 0)
     events = read_table(spark, sf_dir, "events").withColumn("at", micros)
     return events.select("event_id", F.count("*").over(w).alias("recent"), F.sum(exact("value")).over(w).cast("double").alias("recent_value"))
+
+
+@query("SELECT user_id, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS highest FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50 GROUP BY user_id")
+def variant_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.variant_get(F.parse_json("props"), "$.k", "bigint")
+    return read_table(spark, sf_dir, "events").withColumn("k", k).where("k > 50").groupBy("user_id").agg(F.max("k").alias("highest"))
+
+
+@query("""
+SELECT user_id, string_agg(event_type, '>' ORDER BY ts) AS path FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events) WHERE k <= 5 GROUP BY user_id
+""")
+def first_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = top_k(read_table(spark, sf_dir, "events"), ["user_id"], ["ts"], 5)
+    packed = F.array_sort(F.collect_list(F.struct("ts", "event_type")))
+    return first.groupBy("user_id").agg(F.array_join(F.transform(packed, lambda x: x["event_type"]), ">").alias("path"))

@@ -180,3 +180,41 @@ def vector_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), lambda s, x: s + x) AS squared FROM embeddings")
 def vector_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select("vec_id", squared_length(F.col("embedding")).alias("squared"))
+
+
+@query("""
+SELECT CAST(m AS TIMESTAMP) AS month, count(o_orderkey) AS orders
+FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1996-12-01', INTERVAL 1 MONTH) AS s(m) LEFT JOIN orders ON date_trunc('month', o_orderdate) = m AND o_orderpriority = '1-URGENT'
+GROUP BY m
+""")
+def urgent_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months without orders count too, so the calendar leads the join."""
+    months = spark.sql("""
+        WITH RECURSIVE calendar(month) AS (SELECT TIMESTAMP_NTZ '1995-01-01' UNION ALL SELECT CAST(add_months(month, 1) AS TIMESTAMP_NTZ) FROM calendar WHERE month < TIMESTAMP_NTZ '1996-12-01')
+        SELECT month FROM calendar
+    """)
+    orders = read_table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month"))
+    return months.join(orders, "month", "left").groupBy("month").agg(F.count("o_orderkey").alias("orders"))
+
+
+@query("""
+SELECT r_name, n_name, customers FROM (
+  SELECT r_name, n_name, count(*) AS customers, row_number() OVER (PARTITION BY r_name ORDER BY count(*) DESC, n_name) AS k
+  FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name) WHERE k <= 2
+""")
+def region_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = read_table(spark, sf_dir, "nation").alias("n")
+    sizes = read_table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    counted = nations.join(sizes, F.col("n_nationkey") == F.col("c_nationkey")).join(read_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return top_k(counted, ["r_name"], [F.desc("customers"), "n_name"], 2).select("r_name", "n_name", "customers")
+
+
+@query("""
+SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 49) AS large,
+       (SELECT max(l_extendedprice) FROM lineitem WHERE l_suppkey = s_suppkey) AS dearest FROM supplier WHERE s_acctbal < 0
+""")
+def suppliers_in_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two correlated subqueries as one conditional aggregate."""
+    lines = read_table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_quantity") >= 49).alias("large"), F.max("l_extendedprice").alias("dearest"))
+    owing = read_table(spark, sf_dir, "supplier").where("s_acctbal < 0")
+    return owing.join(lines, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", F.coalesce("large", F.lit(0)).alias("large"), "dearest")
