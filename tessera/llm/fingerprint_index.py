@@ -50,7 +50,7 @@ class Windows:
 
     def __init__(self, rows: pa.Table, size: int, gram: int):
         self.size, self.batches, each, tied = size, [], [], []
-        for batch in rows.combine_chunks().to_batches():
+        for batch in rows.to_batches():
             for part in slices(batch, "text", SLICE_BYTES):
                 data, offsets = raw(part.column(part.schema.get_field_index("text")))
                 starts, ends, first = words(data, offsets)
@@ -60,7 +60,8 @@ class Windows:
                 at, counts = pieces(least, first, size) if len(least) else (np.zeros(0, np.int64),) * 2
                 each.append(mixed(least[at]))
                 tied.append(mixed(repeated(grams, least, size - gram + 1)))
-                self.batches.append((data, starts, ends, first, values, at, counts))
+                # places in a slice fit 32 bits; a part's slices are all held at once
+                self.batches.append((data, starts.astype(np.int32), ends.astype(np.int32), first, values, at.astype(np.int32), counts.astype(np.int32)))
         self.least = np.concatenate(each) if each else np.zeros(0, np.uint64)
         self.hashes, times = np.unique(np.concatenate([self.least, *tied]), return_counts=True)
         self.again = times > 1

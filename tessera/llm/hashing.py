@@ -7,8 +7,6 @@ of bytes (or mixed word hashes), so that equal content has equal hashes anywhere
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -24,7 +22,10 @@ BYTE_VALUES = _random.integers(0, 1 << 64, (2, 256), dtype=U64)
 MULTIPLIERS = tuple(int(x) | 1 for x in _random.integers(0, 1 << 64, 2, dtype=U64))
 
 
-@lru_cache(maxsize=8)
+#: The longest tables of powers so far, by family.
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(family: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The first 2**bits powers of a family's multiplier, and of its inverse."""
 
@@ -40,7 +41,9 @@ def _powers(family: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(family, max(10, int(n).bit_length()))
+    if family not in _tables or len(_tables[family][0]) <= n:
+        _tables[family] = _powers(family, max(16, int(n).bit_length()))
+    up, down = _tables[family]
     return up[: n + 1], down[: n + 1]
 
 

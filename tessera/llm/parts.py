@@ -7,8 +7,9 @@ sends every *distinct* hash once to the bucket that owns it, and the bucket answ
 bit for each. A group of copies of any size is so reduced to one hash a part before anything
 is shuffled, and no task sees more than one part or one bucket.
 
-Memory: a part is one input partition (`spark.sql.files.maxPartitionBytes`), a bucket the
-hashes of the corpus over `spark.sql.shuffle.partitions`.
+Memory: a part is a fourth of an input partition (`spark.sql.files.maxPartitionBytes`), dealt by
+a hash of the text so that copies stay together; a bucket is the hashes of the corpus over
+`spark.sql.shuffle.partitions`.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ ANSWER = "part long, step int, bucket int, body binary"
 #: Spark's own bound on buckets of a table.
 MOST_BUCKETS = 100_000
 
+#: Parts of each input partition.
+SPLIT = 4
+
 
 def buckets_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -40,7 +44,7 @@ def parts(docs: DataFrame, name: str) -> Iterator[DataFrame]:
     """The rows (doc_id, text) with their part, bucketed by it; dropped at the end."""
     spark = docs.sparkSession
     table, path = f"tessera_{name}_{uuid.uuid4().hex}", scratch(spark, name)
-    rows = docs.select("doc_id", "text").withColumn("part", F.spark_partition_id().cast("long"))
+    rows = docs.select("doc_id", "text").withColumn("part", F.spark_partition_id().cast("long") * SPLIT + F.pmod(F.xxhash64("text"), F.lit(SPLIT)))
     writer = rows.write.bucketBy(min(buckets_of(spark), MOST_BUCKETS), "part").option("path", path).option("compression", "zstd")
     writer.format("parquet").saveAsTable(table)
     try:

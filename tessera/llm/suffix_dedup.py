@@ -214,7 +214,7 @@ class Shared:
     def __init__(self, rows: pa.Table, size: int, gram: int):
         self.size, self.batches, self.ids = size, [], []
         each = []
-        for batch in rows.combine_chunks().to_batches():
+        for batch in rows.to_batches():
             for part in slices(batch, "text", SLICE_BYTES):
                 data, offsets = raw(part.column(part.schema.get_field_index("text")))
                 values = BYTE_VALUES[0][data]
