@@ -4,8 +4,8 @@ Rules name a host with its subdomains and the start of a path; the longest rule
 page decides. Hosts of pages that a rule allows are trusted seeds, hosts of pages that a rule
 blocks are distrusted ones, each by the share of its rule-decided pages. Personalised PageRank
 spreads trust along links and distrust against them (who links to a blocked host is suspect).
-A host is blocked when its distrust exceeds `ratio` times its trust; hosts that neither
-reaches are allowed.
+Rounds go on until every score has settled, else the query fails. A host is blocked when its
+distrust exceeds `ratio` times its trust; hosts that neither reaches are allowed.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule
 and is allowed; null html has no links; links within a host and relative links count for
@@ -41,7 +41,9 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-DAMPING, ROUNDS, TOLERANCE, RATIO = 0.85, 20, 1e-6, 1.0
+DAMPING, TOLERANCE, RATIO = 0.85, 1e-6, 1.0
+#: A round is one link; scores that have not settled by then are an error.
+ROUNDS = 1000
 #: Rounds between two writes of the scores, which cut the lineage.
 WRITE_EVERY = 4
 
@@ -99,20 +101,23 @@ def seeds(judged: DataFrame) -> DataFrame:
 
 
 def propagate(start: DataFrame, flow: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(kind, host, score): both PageRanks at once, until no kind moves by more than the tolerance."""
+    """(kind, host, score): both PageRanks at once, until no host moves by more than the tolerance times its score.
+
+    So hosts that are still being reached, or whose scores are small, count as moving too.
+    """
     restart = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("gain"))
-    scores = start.select("kind", "host", F.col("seed").alias("score"))
+    scores = written = start.select("kind", "host", F.col("seed").alias("score"))
     for i in range(rounds):
         moved = scores.withColumnRenamed("host", "source").join(flow, ["kind", "source"]).select("kind", F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("gain"))
-        following = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("gain").alias("score"))
-        if (i + 1) % WRITE_EVERY == 0:
-            following = stored(following, "scores")
-            both = scores.select("kind", "host", (-F.col("score")).alias("score")).unionByName(following)
-            change = both.groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).head()[0]
-            if (change or 0) <= tolerance:
-                return following
-        scores = following
-    return scores
+        scores = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("gain").alias("score"))
+        if (i + 1) % WRITE_EVERY == 0 or i + 1 == rounds:
+            scores = stored(scores, "scores")
+            both = written.select("kind", "host", (-F.col("score")).alias("d"), F.lit(0.0).alias("score")).unionByName(scores.select("kind", "host", F.col("score").alias("d"), "score"))
+            change = both.groupBy("kind", "host").agg(F.abs(F.sum("d")).alias("d"), F.sum("score").alias("score"))
+            if change.where(F.col("d") > F.col("score") * tolerance).isEmpty():
+                return scores
+            written = scores
+    raise RuntimeError(f"the scores of hosts have not settled to {tolerance} within {rounds} rounds")
 
 
 def hosts(judged: DataFrame, ratio: float = RATIO, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from tessera.llm import link_trust as L
 
@@ -80,3 +81,25 @@ def test_rules_and_edges(spark):
 def test_a_real_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
     assert sorted((tuple(r) for r in L.judge(pages).collect()), key=str) == brute([tuple(r) for r in pages.collect()])
+
+
+def test_scores_settle_along_a_chain(spark):
+    n = 30
+    edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(n - 1)] + [("h3", "h1", 2), ("h9", "h20", 1)]
+    flow = L.flows(spark.createDataFrame(edges, "source string, target string, n long")).localCheckpoint()
+    start = spark.createDataFrame([("trust", "h0", 1.0), ("distrust", f"h{n - 1}", 0.5), ("distrust", "h5", 0.5)], "kind string, host string, seed double")
+    found = {(r.kind, r.host): r.score for r in L.propagate(start, flow).collect()}
+    a = np.zeros((n, n))
+    for s, t, k in edges:
+        a[int(s[1:]), int(t[1:])] += k
+    for kind, m in (("trust", a), ("distrust", a.T)):
+        out = m.sum(1, keepdims=True)
+        m = np.divide(m, out, out=np.zeros_like(m), where=out > 0)
+        seed = np.zeros(n)
+        for r in start.where(f"kind = '{kind}'").collect():
+            seed[int(r.host[1:])] = r.seed
+        want = np.linalg.solve(np.eye(n) - L.DAMPING * m.T, (1 - L.DAMPING) * seed)
+        assert np.allclose([found.get((kind, f"h{i}"), 0) for i in range(n)], want, rtol=1e-4, atol=0)
+        assert (want > 0).all()
+    with pytest.raises(RuntimeError, match="settled"):
+        L.propagate(start, flow, rounds=20)
