@@ -11,8 +11,9 @@ once; scoring a text is then a lookup for every byte of it, in numpy, with no lo
 
 Fitting takes a bounded sample of labelled rows: at most `per_label` rows of each label, those
 with the smallest hash of id and text, and of each row at most `sample_bytes` bytes, taken at
-its start. Texts that are scored are scored whole. At most `most_labels` labels are learned, the
-most frequent ones.
+its start. Texts that are scored are scored whole. Every label of the rows is learned. Labels are
+fitted in tasks by groups of `GROUP` and scored in passes over these groups, so that a worker
+holds the tables of one group however many labels there are.
 
 Defined results: `und` with score 0 if the text is null, has no letter, or nothing was learned;
 ties go to the label that sorts first. The score is the share of the winner among the languages'
@@ -21,19 +22,27 @@ probabilities per byte, and `bits` the winner's bits a byte.
 
 from __future__ import annotations
 
+import pickle
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, table
+from tessera.llm.common import slices, stored, table
 from tessera.llm.hashing import raw
 
 ORDER = 3
 UND = "und"
-PER_LABEL, SAMPLE_BYTES, MOST_LABELS = 400, 4096, 64
-#: Rows of 256 costs in the tables of all labels together; rarer contexts are left out beyond it.
+PER_LABEL, SAMPLE_BYTES = 400, 4096
+#: Labels whose tables are held at once.
+GROUP = 4
+#: Rows of 256 costs in the tables of a full group; rarer contexts are left out beyond it.
 MOST_ROWS = 60_000
+#: Bytes of text that go through all groups before the next ones, where there is more than one.
+PASS_BYTES = 1 << 25
 
 FIELDS = "lang_pred string, score double, bits double"
 
@@ -55,7 +64,8 @@ class ContextTrees:
     """Cost tables for all labels: costs[label, node, byte] in bits, and the node of each context.
 
     A node is a context that some label's sample has; a label that lacks it uses its own longest
-    known suffix of it. `nodes` maps the last ORDER bytes to the longest such context.
+    known suffix of it. `nodes` maps the last ORDER bytes to the longest such context. The tables
+    are made from the counts when they are first used, so that counts alone are sent around.
     """
 
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, most_rows: int = MOST_ROWS):
@@ -63,26 +73,37 @@ class ContextTrees:
         counted = [self._counts(samples[k], order) for k in self.labels]
         known, often = [], []
         for o in range(order + 1 if counted else 0):
-            found, of = np.unique(np.concatenate([c[o][0] for c in counted]), return_inverse=True)
+            found = np.unique(np.concatenate([c[o][0] for c in counted]))
+            share = np.zeros(len(found))  # the largest in any label, so that labels with few bytes keep contexts too
+            for c in counted:
+                own, of = np.unique(c[o][0], return_inverse=True)
+                times = np.bincount(of, c[o][2]) / max(1, c[o][2].sum())
+                at = np.searchsorted(found, own)
+                share[at] = np.maximum(share[at], times)
             known.append(found)
-            often.append(np.bincount(of, np.concatenate([c[o][2] for c in counted])))
+            often.append(share)
         # a context is at most as frequent as its suffixes, so a frequency bound keeps suffixes of what it keeps
         most = max(1, most_rows // max(1, len(samples)))
         total = np.sort(np.concatenate(often or [np.zeros(0)]))[::-1]
-        least = 1 if len(total) <= most else total[most] + 1
-        known = [k[(n >= least) | (o == 0)] for o, (k, n) in enumerate(zip(known, often))] or [np.zeros(0, np.uint32)] * (order + 1)
-        begins = np.cumsum([0] + [len(k) for k in known])
-        self.costs = np.zeros((len(self.labels), max(1, int(begins[-1])), 256), np.float32)
-        self.known, self.begins = known, begins
-        for i, counts in enumerate(counted):
+        least = 0 if len(total) <= most else total[most]
+        self.known = [k[(n > least) | (o == 0)] for o, (k, n) in enumerate(zip(known, often))] or [np.zeros(0, np.uint32)] * (order + 1)
+        self.begins = np.cumsum([0] + [len(k) for k in self.known])
+        self.counted = [[tuple(x[np.isin(c[o][0], k)] for x in c[o]) for o, k in enumerate(self.known)] for c in counted]
+
+    @cached_property
+    def costs(self) -> np.ndarray:
+        known, begins = self.known, self.begins
+        costs = np.zeros((len(self.labels), max(1, int(begins[-1])), 256), np.float32)
+        for i, counts in enumerate(self.counted):
             # below order 0 every byte that is left is equally likely: 8 bits
             parent_p = np.full((1, 256), 1 / 256)
-            for o in range(order + 1):
+            for o in range(self.order + 1):
                 contexts_o = known[o]
                 up = parent_p[self._parents(contexts_o, o)] if o else np.repeat(parent_p, len(contexts_o), 0)
                 p = self._mixed(contexts_o, counts[o], up)
-                self.costs[i, begins[o] : begins[o + 1]] = -np.log2(p)
+                costs[i, begins[o] : begins[o + 1]] = -np.log2(p)
                 parent_p = p
+        return costs
 
     def _parents(self, contexts_o: np.ndarray, o: int) -> np.ndarray:
         """Where the context without its oldest byte is, among those of the order below."""
@@ -99,7 +120,7 @@ class ContextTrees:
         for o in range(order + 1):
             pairs = (full & np.uint32((1 << 8 * o) - 1)).astype(np.uint64) << np.uint64(8) | data
             found, times = np.unique(pairs, return_counts=True)
-            out.append(((found >> np.uint64(8)).astype(np.uint32), (found & np.uint64(255)).astype(np.int64), times))
+            out.append(((found >> np.uint64(8)).astype(np.uint32), (found & np.uint64(255)).astype(np.uint8), times.astype(np.int32)))
         return out
 
     @staticmethod
@@ -141,53 +162,92 @@ class ContextTrees:
         return out
 
 
-def fit(rows: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = PER_LABEL, sample_bytes: int = SAMPLE_BYTES, most_labels: int = MOST_LABELS) -> ContextTrees:
-    """Trees from a bounded sample: per_label * sample_bytes * most_labels bytes at most reach the driver."""
-    labelled = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(label_col) != UND))
-    found = labelled.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(most_labels).collect()
-    counts = {r[0]: r[1] for r in found}
-    h = F.xxhash64(F.col(id_col), F.col(text_col))
+def fit(rows: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = PER_LABEL, sample_bytes: int = SAMPLE_BYTES) -> list[Broadcast]:
+    """Trees of each group of labels, in the order of labels, from a bounded sample: GROUP * per_label * sample_bytes bytes a group, give or take."""
+    spark = rows.sparkSession
+    label = F.col(label_col).cast("string")
+    labelled = rows.where(label.isNotNull() & F.col(text_col).isNotNull() & (label != UND)).select(label.alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    counts = sorted(tuple(r) for r in labelled.groupBy("label").count().collect())
+    if not counts:
+        return []
+    most_rows = MOST_ROWS // min(GROUP, len(counts))
     # a share of the hash range that holds about half as many rows again as are wanted
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (1.5 * per_label + 20) / n))])
-    chosen = F.shiftrightunsigned(h, 11) < share[F.col(label_col)] * float(1 << 53) if counts else F.lit(False)
-    taken = labelled.where(F.col(label_col).isin(list(counts))).where(chosen)
-    rows_ = taken.select(F.col(label_col), h, F.encode(F.substring(text_col, 1, sample_bytes), "utf-8")).collect()
-    samples: dict[str, list[bytes]] = {}
-    for label, _, body in sorted(rows_, key=lambda r: (r[0], r[1], bytes(r[2]))):
-        if len(samples.setdefault(label, [])) < per_label:
-            samples[label].append(bytes(body)[:sample_bytes])
-    return ContextTrees(samples)
+    shares = spark.createDataFrame([(k, i // GROUP, min(1.0, (1.5 * per_label + 20) / n)) for i, (k, n) in enumerate(counts)], "label string, group int, share double")
+    chosen = labelled.join(F.broadcast(shares), "label").where(F.shiftrightunsigned("h", 11) < F.col("share") * float(1 << 53))
+
+    def learn(key, sample):
+        samples: dict[str, list[bytes]] = {}
+        for name, _, body in sorted(zip(*(sample[c].to_pylist() for c in ("label", "h", "body")))):
+            if len(samples.setdefault(name, [])) < per_label:
+                samples[name].append(body[:sample_bytes])
+        trees = ContextTrees(samples, most_rows=most_rows * len(samples))
+        return pa.table({"group": pa.array([key[0].as_py()], pa.int32()), "trees": pa.array([pickle.dumps(trees)], pa.binary())})
+
+    taken = chosen.select("group", "label", "h", F.encode(F.substring("text", 1, sample_bytes), "utf-8").alias("body"))
+    learned = stored(taken.groupBy("group").applyInArrow(learn, "group int, trees binary"), "context-trees")
+    groups = {r.group: spark.sparkContext.broadcast(pickle.loads(r.trees)) for r in learned.toLocalIterator()}
+    return [groups[g] for g in sorted(groups)]
+
+
+def released(model: Broadcast) -> ContextTrees:
+    """The trees of a broadcast, which reads them again the next time."""
+    trees = model.value
+    if getattr(model, "_path", None):
+        vars(model).pop("_value", None)
+    return trees
 
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> DataFrame:
-    """The rows of docs with lang_pred, score and bits. The tables are broadcast; the sample bounds them."""
-    model = docs.sparkSession.sparkContext.broadcast(trees)
+def identify(docs: DataFrame, models: list[Broadcast], text_col: str = "text") -> DataFrame:
+    """The rows of docs with lang_pred, score and bits."""
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "bits")]
     rows = docs.select(*columns, has_letter(F.col(text_col)).alias("__letter"))
     place = columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__letter") + ", " + FIELDS
 
+    def passed(parts):
+        """The parts with predictions, after one pass over the groups."""
+        n = [part.num_rows for part in parts]
+        names, least, total = [np.full(k, UND, object) for k in n], [np.full(k, np.inf) for k in n], [np.zeros(k) for k in n]
+        for model in models:
+            trees = model.value if len(models) == 1 else released(model)
+            lookup = trees.lookup() if len(models) > 1 else looked_up(trees)
+            for i, part in enumerate(parts):
+                data, offsets = raw(part.column(place))
+                per_byte = trees.bits(data, offsets, lookup) / np.maximum(1, np.diff(offsets))[:, None]
+                best = per_byte.argmin(1)
+                own = per_byte[np.arange(n[i]), best]
+                names[i] = np.where(own < least[i], np.array(trees.labels, object)[best], names[i])  # ties go to earlier labels
+                both = np.minimum(own, least[i])
+                total[i] = total[i] * np.exp2(both - least[i]) + np.exp2(both[:, None] - per_byte).sum(1)
+                least[i] = both
+            del trees, lookup
+        for i, part in enumerate(parts):
+            letter = part.column(len(columns)).to_numpy(zero_copy_only=False).astype(bool) & bool(models)
+            share = 1 / np.maximum(total[i], 1)
+            out = [pa.array(np.where(letter, names[i], UND), pa.string()), pa.array(np.where(letter, share, 0.0)), pa.array(np.where(letter, least[i], 0.0))]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in range(len(columns))] + out, columns + ["lang_pred", "score", "bits"])
+
+    def looked_up(trees):
+        if not hasattr(trees, "_lookup"):
+            trees._lookup = trees.lookup()
+        return trees._lookup
+
     def predict(batches):
-        trees, lookup = model.value, model.value.lookup()
+        wanted = PASS_BYTES if len(models) > 1 else 0
+        parts, held = [], 0
         for batch in batches:
             for part in slices(batch, text_col, 1 << 18):
-                data, offsets = raw(part.column(place))
-                letter = part.column(len(columns)).to_numpy(zero_copy_only=False)
-                n = len(letter)
-                if trees.labels:
-                    per_byte = trees.bits(data, offsets, lookup) / np.maximum(1, np.diff(offsets))[:, None]
-                    best = per_byte.argmin(1)
-                    least = per_byte[np.arange(n), best]
-                    share = 1 / np.exp2(least[:, None] - per_byte).sum(1)
-                    names = [trees.labels[b] if ok else UND for b, ok in zip(best, letter)]
-                else:
-                    names, share, least, letter = [UND] * n, np.zeros(n), np.zeros(n), np.zeros(n, bool)
-                out = [pa.array(names), pa.array(np.where(letter, share, 0.0)), pa.array(np.where(letter, least, 0.0))]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(columns))] + out, columns + ["lang_pred", "score", "bits"])
+                parts.append(part)
+                held += part.nbytes
+                if held >= wanted:
+                    yield from passed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from passed(parts)
 
     return rows.mapInArrow(predict, schema)
 

@@ -95,3 +95,25 @@ def test_edge_cases(spark):
     empty = docs.limit(0)
     assert P.identify(empty, P.fit(empty)).collect() == []
     assert {r.lang_pred for r in P.identify(docs, P.fit(empty)).collect()} == {"und"}
+
+
+def test_every_label_is_learned(spark):
+    rnd = random.Random(2)
+    labels = [f"l{i:02}" for i in range(70)]
+    words = {k: ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)] for k in labels}
+    text = lambda k: " ".join(rnd.choices(words[k], k=25))
+    # the later a label, the fewer rows it has
+    train = [(i, text(k), k) for i, k in enumerate(k for j, k in enumerate(labels) for _ in range(max(2, 9 - j // 9)))]
+    asked = [(10_000 + i, text(k), k) for i, k in enumerate(labels)]
+    models = P.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    out = P.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string").repartition(2), models).collect()
+    assert [k for m in models for k in m.value.labels] == labels
+    assert {r.lang_pred for r in out} == set(labels) and all(r.lang_pred == r.lang for r in out)
+    assert all(0 < r.score <= 1 for r in out)
+
+
+def test_a_label_with_few_bytes_keeps_contexts():
+    rnd = random.Random(3)
+    much = [bytes(rnd.choices(b"abcdefgh", k=4000)) for _ in range(5)]
+    few = P.ContextTrees({"few": [b"xyzxyzxyzxyz"], "much": much}, 3, most_rows=200)
+    assert int.from_bytes(b"xyz", "big") in few.known[3].tolist()
