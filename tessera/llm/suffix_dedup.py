@@ -10,7 +10,9 @@ a smaller id. Strings never cross documents and are judged on the input.
    with the smallest id that has it, to the bucket that owns its hash. There all pieces are
    suffix-sorted: suffixes smaller than their successors directly, the others induced from
    them by scans over the buckets of first bytes. Adjacent common prefixes of `size` bytes
-   delimit the groups of equal windows, and each group's smallest id answers the parts.
+   delimit the groups of equal windows, and each group's smallest id answers the parts. Least
+   hashes of very many pieces would fill one bucket: their windows go one by one, distinct in
+   their part, to the buckets of their own hashes, so equal windows still meet.
 3. Each part marks the bytes its documents lose.
 
 Defined results: null is the empty text and loses nothing; a null id counts as the smallest;
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import NO_ID, slices, stored, table
 from tessera.llm.hashing import BYTE_VALUES, gram_hashes, mixed, pieces, raw, sliding_min, span_hashes
-from tessera.llm.parts import answered, buckets_of, by_bucket, by_part, cut, elsewhere, member, owned, parts, requests_of, with_answers, REQUEST
+from tessera.llm.parts import answered, buckets_of, by_bucket, by_part, cut, member, owned, parts, with_answers, REQUEST
 
 SIZE, GRAM = 50, 20
 SLICE_BYTES = 1 << 18
@@ -38,6 +40,9 @@ SLICE_BYTES = 1 << 18
 #: Buckets of pieces for each bucket of hashes, so that one suffix array holds a few megabytes.
 FINER = 8
 
+#: Pieces with one least hash, of all parts together, from which their windows are sent one by one.
+HOT = 1 << 16
+
 #: Bytes that one key of the direct sort compares.
 STEP = 8
 
@@ -208,12 +213,54 @@ def answer(bodies: list[bytes], size: int) -> list[bytes]:
     return out
 
 
+def counted(part: int, hashes: np.ndarray, times: np.ndarray, buckets: int) -> pa.Table:
+    """Requests with sorted distinct hashes and how often each occurs, where that is more than once."""
+    bodies, own = [], []
+    for b, i, j in cut(owned(hashes, buckets), buckets):
+        more = np.flatnonzero(times[i:j] > 1)
+        bodies.append(np.int64(j - i).tobytes() + hashes[i:j].tobytes() + more.astype(np.int64).tobytes() + times[i:j][more].astype(np.int64).tobytes())
+        own.append(b)
+    return pa.table({"bucket": pa.array(own, pa.int32()), "part": pa.array([part] * len(own), pa.int64()), "body": pa.array(bodies, pa.binary())})
+
+
+def elsewhere_or_hot(bodies: list[bytes], hot: int) -> list[bytes]:
+    """For each part's sorted hashes, bits that tell which of them another part has too, then those which occur more than `hot` times."""
+    each, often, times = [], [], []
+    for body in bodies:
+        n = int(np.frombuffer(body, np.int64, 1)[0])
+        each.append(np.frombuffer(body, np.uint64, n, 8))
+        more, of = np.frombuffer(body, np.int64, -1, 8 + 8 * n).reshape(2, -1) if len(body) > 8 + 8 * n else (np.zeros(0, np.int64),) * 2
+        often.append(each[-1][more])
+        times.append(of - 1)
+    merged = np.sort(np.concatenate(each))
+    begins = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+    n = np.diff(np.append(begins, len(merged)))
+    found, shared = merged[begins], merged[begins[n > 1]]
+    np.add.at(n, np.searchsorted(found, np.concatenate(often)), np.concatenate(times))
+    hottest = found[n > hot]
+    return [np.packbits(member(x, shared)).tobytes() + np.packbits(member(x, hottest)).tobytes() for x in each]
+
+
+def answered_hot(hashes: np.ndarray, buckets: int, answers: dict) -> np.ndarray:
+    """The second bits that came back for the sorted hashes of a part."""
+    out = np.zeros(len(hashes), bool)
+    for b, i, j in cut(owned(hashes, buckets), buckets):
+        out[i:j] = np.unpackbits(np.frombuffer(answers[1, b], np.uint8, -1, (j - i + 7) // 8), count=j - i).astype(bool)
+    return out
+
+
+def ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, as many as its count."""
+    back = np.cumsum(counts) - counts
+    return np.repeat(begins - back, counts) + np.arange(counts.sum())
+
+
 class Shared:
     """The pieces of a part whose least hash occurs more than once in the corpus."""
 
     def __init__(self, rows: pa.Table, size: int, gram: int):
         self.size, self.batches, self.ids = size, [], []
-        each = []
+        each, weights = [], []
         for batch in rows.to_batches():
             for part in slices(batch, "text", SLICE_BYTES):
                 data, offsets = raw(part.column(part.schema.get_field_index("text")))
@@ -221,11 +268,13 @@ class Shared:
                 least = sliding_min(gram_hashes(values, gram), size - gram + 1)
                 starts, counts = pieces(least, offsets, size) if len(least) else (np.zeros(0, np.int64),) * 2
                 each.append(mixed(least[starts]))  # least hashes are small numbers; mixed, they spread over the buckets
+                weights.append(-(-(counts + size - 1) // (2 * size - gram)))  # a long piece counts as several
                 self.batches.append((data, offsets, starts, counts))
                 self.ids.append(part.column(part.schema.get_field_index("doc_id")).fill_null(NO_ID).to_numpy(zero_copy_only=False))
         self.least = np.concatenate(each) if each else np.zeros(0, np.uint64)
-        self.hashes, times = np.unique(self.least, return_counts=True)
+        self.hashes, of, times = np.unique(self.least, return_inverse=True, return_counts=True)
         self.again = times > 1
+        self.times = np.bincount(of, np.concatenate(weights), len(times)).astype(np.int64) if each else times
 
     def find(self, buckets: int, answers: dict) -> None:
         """Chooses the pieces and numbers the distinct ones, in the order in which they are sent."""
@@ -252,22 +301,57 @@ class Shared:
         self.sample = order[fresh]
         self.first = np.full(len(self.sample), np.iinfo(np.int64).max)
         np.minimum.at(self.first, self.number, self.owner)
-        self.cuts = list(cut(owned(least[self.sample], FINER * buckets), FINER * buckets))
+        self.send(least[self.sample], self.hashes[answered_hot(self.hashes, buckets, answers)], FINER * buckets)
+
+    def send(self, least: np.ndarray, hot: np.ndarray, buckets: int) -> None:
+        """Chooses what is sent: distinct pieces, and the distinct windows of those with a hot least hash."""
+        spans, apart = self.spans[self.sample], member(least, hot)
+        self.cold, self.hot = np.flatnonzero(~apart), np.flatnonzero(apart)
+        counts = (spans[:, 2] - spans[:, 1] - self.size + 1)[self.hot]
+        batch, start, first = np.repeat(spans[self.hot, 0], counts), ranges(spans[self.hot, 1], counts), np.repeat(self.first[self.hot], counts)
+        marks = np.zeros((len(start), 2), np.uint64)
+        for b in np.unique(batch):
+            at = np.flatnonzero(batch == b)
+            for f in (0, 1):
+                marks[at, f] = span_hashes(BYTE_VALUES[f][self.batches[b][0]], start[at], start[at] + self.size, f)
+        order = np.lexsort((marks[:, 1], marks[:, 0]))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (marks[order][1:] != marks[order][:-1]).any(1)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        sample = order[fresh]
+        least_first = np.full(len(sample), np.iinfo(np.int64).max)
+        np.minimum.at(least_first, number, first)
+        key = np.concatenate([least[self.cold], mixed(marks[sample, 0])])
+        by_key = np.argsort(key, kind="stable")
+        self.sent = np.concatenate([spans[self.cold], np.stack([batch[sample], start[sample], start[sample] + self.size], 1)])[by_key]
+        self.sent_first = np.concatenate([self.first[self.cold], least_first])[by_key]
+        place = np.empty(len(key), np.int64)
+        place[by_key] = np.arange(len(key))
+        self.cold_sent, self.hot_sent = place[: len(self.cold)], place[len(self.cold) + number]
+        self.hot_later = first > least_first[number]  # another piece of the part has the window with a smaller id
+        self.cuts = list(cut(owned(key[by_key], buckets), buckets))
 
     def requests(self, part: int) -> pa.Table:
         bodies = []
         for _, i, j in self.cuts:
-            spans = self.spans[self.sample[i:j]]
-            head = np.concatenate([[j - i], self.first[i:j], spans[:, 2] - spans[:, 1]]).astype(np.int64)
+            spans = self.sent[i:j]
+            head = np.concatenate([[j - i], self.sent_first[i:j], spans[:, 2] - spans[:, 1]]).astype(np.int64)
             bodies.append(head.tobytes() + b"".join(self.batches[b][0][s:e].tobytes() for b, s, e in spans.tolist()))
         return pa.table({"bucket": pa.array([c[0] for c in self.cuts], pa.int32()), "part": pa.array([part] * len(bodies), pa.int64()), "body": pa.array(bodies, pa.binary())})
 
     def removed(self, answers: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(bytes, offsets, which bytes go) of each slice."""
-        counts = (self.spans[:, 2] - self.spans[:, 1] - self.size + 1)[self.sample]
+        counts = self.sent[:, 2] - self.sent[:, 1] - self.size + 1
         bits = [np.unpackbits(np.frombuffer(answers[2, b], np.uint8), count=int(counts[i:j].sum())) for b, i, j in self.cuts]
         bits = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+        sent_at = np.cumsum(counts) - counts
+        counts = (self.spans[:, 2] - self.spans[:, 1] - self.size + 1)[self.sample]
         begins = np.cumsum(counts) - counts
+        if len(self.hot):  # back to the order of pieces
+            sent, bits = bits, np.zeros(counts.sum(), bool)
+            bits[ranges(begins[self.cold], counts[self.cold])] = sent[ranges(sent_at[self.cold_sent], counts[self.cold])]
+            bits[ranges(begins[self.hot], counts[self.hot])] = sent[sent_at[self.hot_sent]] | self.hot_later
         later = self.owner > self.first[self.number]  # the part itself has a smaller id with the whole piece
         edges = np.searchsorted(self.spans[:, 0], np.arange(len(self.batches) + 1))
         for (data, offsets, _, _), i, j in zip(self.batches, edges, edges[1:]):
@@ -283,13 +367,14 @@ class Shared:
             yield data, offsets, np.cumsum(marks)[:-1] > 0
 
 
-def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the bytes that stay, maybe cut inside a character."""
     spark = docs.sparkSession
     buckets = buckets_of(spark)
 
     def hashes(part, rows):
-        return requests_of(part, Shared(rows, size, gram).hashes, buckets)
+        shared = Shared(rows, size, gram)
+        return counted(part, shared.hashes, shared.times, buckets)
 
     def found(part, rows, answers):
         shared = Shared(rows, size, gram)
@@ -317,7 +402,7 @@ def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFram
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     with parts(plain, "suffixes") as texts:
-        shared = stored(by_bucket(by_part(texts, hashes, REQUEST), 1, elsewhere), "shared-hashes")
+        shared = stored(by_bucket(by_part(texts, hashes, REQUEST), 1, lambda bodies: elsewhere_or_hot(bodies, hot)), "shared-hashes")
         smaller = by_bucket(with_answers(texts, shared, found, REQUEST), 2, lambda bodies: answer(bodies, size))
         return stored(with_answers(texts, shared.union(smaller), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), "suffix-dedup")
 

@@ -72,3 +72,27 @@ def test_sample_of_a_real_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in S.deduplicate(docs).collect()]
     assert sorted(found, key=str) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("hot", [0, 2, 30])
+def test_hot_hashes_against_direct_search(spark, hot):
+    rows = corpus()
+    docs = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long").repartition(3)
+    found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in S.deduplicate(docs, hot=hot).collect()]
+    assert sorted(found, key=str) == brute(rows, 50)
+
+
+def test_a_hot_hash_is_spread_over_buckets():
+    """One gram of a small hash in 400 surroundings: no bucket gets more than a small share of it."""
+    rnd = random.Random(6)
+    noise = lambda: "".join(rnd.choices("abcdefghijklmnop", k=60))
+    rows = S.pa.table({"doc_id": S.pa.array(range(400), S.pa.int64()), "text": [noise() + "AGJJIEGHBJJEHECHAIJC" + noise() for _ in range(400)]})
+    largest = {}
+    for hot in (100, 1 << 16):
+        shared = S.Shared(rows, 50, 20)
+        asked = S.counted(0, shared.hashes, shared.times, 4)
+        bodies = S.elsewhere_or_hot(asked["body"].to_pylist(), hot)
+        shared.find(4, dict(zip(((1, b) for b in asked["bucket"].to_pylist()), bodies)))
+        sizes = [int((shared.sent[i:j, 2] - shared.sent[i:j, 1]).sum()) for _, i, j in shared.cuts]
+        largest[hot] = max(sizes) / sum(sizes)
+    assert largest[100] < 0.1 and largest[1 << 16] > 0.2
