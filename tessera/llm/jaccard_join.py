@@ -11,7 +11,8 @@ similarity of their sets is at least `threshold`.
    edges so span every link with the target recall, but grow with the nodes, not with pairs.
 3. Components of those edges gather the texts that may be linked. In each, all pairs are
    verified: intersections of full sets are counted by products of 0/1 matrices, block by block.
-   A component too large for one task is dealt into blocks, and each pair of blocks is a task.
+   A component too large for one task is dealt into blocks, and each pair of blocks is checked
+   by itself; small components share a call.
 4. The verified links give each document its number of links and its class.
 
 Bands and rows come from `banding`: of all splits that keep the chance to miss a pair at the
@@ -29,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keyed, slices, stored, table
@@ -171,6 +172,12 @@ def leaders(group: np.ndarray, ids: np.ndarray, signature: np.ndarray) -> tuple[
     return forest(np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
 
 
+def calls(group: str, split: Column | str, buckets: int) -> tuple[Column, Column]:
+    """(bucket, alone): what is checked in one call; a group of something that was split is alone, others share a bucket."""
+    split = F.col(split) if isinstance(split, str) else split
+    return F.pmod(group, F.lit(buckets)).cast("int").alias("bucket"), F.when(split, F.col(group)).alias("alone")
+
+
 def candidate_edges(nodes: DataFrame) -> DataFrame:
     """(a, b): edges that span all pairs which share a band hash and may be similar enough."""
     buckets = buckets_of(nodes.sparkSession)
@@ -181,16 +188,16 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     held = held.withColumn("blocks", blocks).withColumn("own", own)
-    held = held.select("node", "band", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))).alias("pair"))
-    held = held.select("node", F.xxhash64("band", "pair.i", "pair.j").alias("group"))
-    held = held.join(nodes.select("node", "signature"), "node").select("node", "group", "signature", F.pmod("group", F.lit(buckets)).cast("int").alias("bucket"))
+    held = held.select("node", "band", "blocks", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))).alias("pair"))
+    held = held.select("node", F.xxhash64("band", "pair.i", "pair.j").alias("group"), (F.col("blocks") > 1).alias("split"))
+    held = held.join(nodes.select("node", "signature"), "node").select("node", "group", "signature", *calls("group", "split", buckets))
 
     def compare(key, rows):
         signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
         a, b = leaders(rows["group"].to_numpy(), rows["node"].to_numpy(), signature)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return held.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+    return held.groupBy("bucket", "alone").applyInArrow(compare, "a long, b long").distinct()
 
 
 def linked(hashes: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, step: int = 512, width: int = 2048):
@@ -276,7 +283,7 @@ def verified(nodes: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     dealt = texts.select("node", "copies", "root", "own", "blocks", "text", F.explode(pairs).alias("pair"))
     dealt = dealt.select("node", "copies", "text", (F.col("blocks") == 1).alias("whole"), F.xxhash64("root", "pair.i", "pair.j").alias("group"), (F.col("own") == F.col("pair.j")).cast("int").alias("block"), (F.col("pair.i") != F.col("pair.j")).alias("cross"))
-    dealt = dealt.withColumn("bucket", F.pmod("group", F.lit(4 * buckets)).cast("int"))
+    dealt = dealt.select("*", *calls("group", F.expr("NOT whole"), 4 * buckets))
 
     def check(key, rows):
         data, offsets = raw(rows["text"])
@@ -284,7 +291,7 @@ def verified(nodes: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
         links, root = verify(data, offsets, get("group"), get("block"), get("cross"), get("node"), get("copies"), n, threshold)
         return pa.table({"node": rows["node"], "links": pa.array(links), "root": pa.array(root), "whole": rows["whole"]})
 
-    return dealt.groupBy("bucket").applyInArrow(check, "node long, links long, root long, whole boolean")
+    return dealt.groupBy("bucket", "alone").applyInArrow(check, "node long, links long, root long, whole boolean")
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -102,3 +102,18 @@ def test_components(spark):
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {(x, least[r]) for x, r in want if x in linked} and not alone & {x for x, _ in got}
+
+
+def test_blocks_of_a_large_component_are_checked_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_BYTES", 2000)
+    plain = J.verify
+
+    def one(data, offsets, group, block, cross, *rest):
+        if cross.any() and len(set(group.tolist())) > 1:
+            raise ValueError("a call holds several groups")
+        return plain(data, offsets, group, block, cross, *rest)
+
+    monkeypatch.setattr(J, "verify", one)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(40)]
+    assert rows_of(J.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
