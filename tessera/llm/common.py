@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,12 +40,14 @@ def keyed_columns(id_col: str = "doc_id", text_col: str = "text") -> dict[str, C
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only in local mode where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().get().rstrip("/")
 
@@ -54,12 +57,52 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+#: The folders written since a `scratch_space` was opened, innermost last.
+_spaces: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder."""
+    """Cuts the lineage with a Parquet table in the shared folder; the innermost scratch space owns it."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _spaces:
+        _spaces[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was stored inside, but for the tables given to the function that it yields.
+
+    Those are read by the result that leaves the space, and belong to the space around it; the
+    outermost ones stay for as long as the caller wants to read the result.
+    """
+    own: list[str] = []
+    _spaces.append(own)
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _spaces.pop()
+        for path in own:
+            if path in kept:
+                if _spaces:
+                    _spaces[-1].append(path)
+            else:
+                remove(spark, path)
+
+
+def remove_stored(df: DataFrame) -> None:
+    """Deletes a table that `stored` has written."""
+    remove(df.sparkSession, df._stored_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:

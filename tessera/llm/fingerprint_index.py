@@ -4,15 +4,18 @@ A word is removed if a window of `size` consecutive words that covers it occurs
 else, in the same document too. Windows never cross documents and are judged on the input.
 
 The index is a folder of immutable runs. A run holds, for each bucket of the hash space and
-each part of a batch, the sorted fingerprints of the batch's windows: a 64-bit hash, 64 bits
-of an independent one for verification, and whether the part has the window more than once.
-A new batch becomes a run of its own; per bucket all runs are merged, equal neighbours are
-verified, and the batch is told which of its windows occur elsewhere. `compact` merges the
-runs into one, in which each window stands once.
-
-Before windows are indexed, parts exchange the least gram hash of each window (see `parts`);
-in a closed corpus a window whose least hash occurs once cannot recur and needs no entry.
-That filter is off when an index is kept for later batches, since they may bring the window.
+each part of a batch, the sorted fingerprints of the batch's windows: two 64-bit hashes made
+from both halves of the words' 128-bit keyed digests, and whether the part has the window more
+than once. A new batch becomes a run of its own; per bucket all runs are merged by the first
+hash, equal neighbours are verified by the second, and the batch is told which of its windows
+occur elsewhere. `compact` merges the runs into one, in which each window stands once; it can
+answer the parts of the runs that it merges in the same pass.
+
+A corpus that is closed is ingested in several batches, one run each; one compaction then
+answers all of them. Before, parts exchange the least gram hash of each window (see `parts`): a
+window whose least hash occurs once in a closed corpus cannot recur and needs no entry. That
+filter is off when an index is kept for later batches, since they may bring the window; an
+index of a closed corpus says so and refuses further batches.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose
 nothing; repeated rows delete each other's windows, whatever their ids. Only the id and the
@@ -26,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remove, scratch, slices, stored, table
-from tessera.llm.hashing import gram_hashes, mixed, pieces, raw, sliding_min, word_hashes, words
-from tessera.llm.parts import REQUEST, answered, buckets_of, by_bucket, by_part, cut, elsewhere, member, owned, parts, requests_of, with_answers
+from tessera.llm.common import remove, remove_stored, scratch, slices, stored, table
+from tessera.llm.hashing import gram_hashes, mixed, pieces, raw, sliding_min, word_digests, words
+from tessera.llm.parts import ANSWER, BUCKET_BYTES, REQUEST, Parts, answered, by_bucket, by_part, cut, elsewhere, member, owned, parts, requests_of, shuffle_partitions, with_answers
 
 SIZE, GRAM = 35, 8
 SLICE_BYTES = 1 << 19
+#: Batches, and so runs, of a closed corpus.
+BATCHES = 2
 
 RUN = "run int, bucket int, part long, body binary"
 
@@ -54,14 +59,14 @@ class Windows:
             for part in slices(batch, "text", SLICE_BYTES):
                 data, offsets = raw(part.column(part.schema.get_field_index("text")))
                 starts, ends, first = words(data, offsets)
-                values = word_hashes(data, starts, ends)
+                values, checks = word_digests(data, starts, ends)
                 grams = gram_hashes(values, gram)
                 least = sliding_min(grams, size - gram + 1)
                 at, counts = pieces(least, first, size) if len(least) else (np.zeros(0, np.int64),) * 2
                 each.append(mixed(least[at]))
                 tied.append(mixed(repeated(grams, least, size - gram + 1)))
                 # places in a slice fit 32 bits; a part's slices are all held at once
-                self.batches.append((data, starts.astype(np.int32), ends.astype(np.int32), first, values, at.astype(np.int32), counts.astype(np.int32)))
+                self.batches.append((data, starts.astype(np.int32), ends.astype(np.int32), first, values, checks, at.astype(np.int32), counts.astype(np.int32)))
         self.least = np.concatenate(each) if each else np.zeros(0, np.uint64)
         self.hashes, times = np.unique(np.concatenate([self.least, *tied]), return_counts=True)
         self.again = times > 1
@@ -72,14 +77,14 @@ class Windows:
         if answers is not None:
             kept = member(self.least, self.hashes[self.again | answered(self.hashes, buckets, answers, 1)])
         at, where, hashes, checks = 0, [], [], []
-        for data, starts, ends, first, values, s, counts in self.batches:
+        for _, _, _, _, values, second, s, counts in self.batches:
             chosen = kept[at : at + len(s)]
             at += len(s)
             n = counts[chosen]
             w = np.repeat(s[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             where.append(w)
             hashes.append(gram_hashes(values, self.size, 0)[w])
-            checks.append(gram_hashes(word_hashes(data, starts, ends, 1), self.size, 1)[w] if len(w) else np.zeros(0, np.uint64))
+            checks.append(gram_hashes(second, self.size, 1)[w] if len(w) else np.zeros(0, np.uint64))
         self.where = where
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         c = np.concatenate(checks) if checks else np.zeros(0, np.uint64)
@@ -179,36 +184,52 @@ class FingerprintIndex:
 
     The runs are in the latest complete generation g<n> of the folder; compaction writes the
     next one before it deletes the old, so an index can be opened again after a failure. The
-    number of buckets is fixed by the session that made the index.
+    number of buckets is fixed when the index is made: one for each `BUCKET_BYTES` of the text
+    that is expected, and the session's shuffle partitions at least.
     """
 
-    def __init__(self, spark: SparkSession, path: str, size: int = SIZE, gram: int = GRAM):
+    def __init__(self, spark: SparkSession, path: str, size: int = SIZE, gram: int = GRAM, expected_bytes: int = 0):
         self.spark, self.base, self.size, self.gram = spark, path, size, gram
-        self.generation, self.count, self.buckets = 0, 0, buckets_of(spark)
-        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if files.exists(root):
-            found = [x.getPath() for x in files.listStatus(root)]
-            whole = [int(p.getName()[1:]) for p in found if files.exists(p.suffix("/_SUCCESS"))]
-            self.generation = max(whole, default=0)
+        self.generation, self.count, self.closed = 0, 0, False
+        self.buckets = max(shuffle_partitions(spark), -(-expected_bytes // BUCKET_BYTES))
+        if self._exists(path):
+            whole = [int(name[1:]) for name in self._names(path) if self._exists(f"{path}/{name}/_SUCCESS")]
             if whole:
-                last = self.spark.read.schema(RUN).parquet(self.path).agg(F.max("run")).head()[0]
-                self.count = 0 if last is None else last + 1
-                self.buckets = int(self.spark.read.text(f"{path}-buckets").head()[0])
-        if not self.count:
-            spark.createDataFrame([(str(self.buckets),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}-buckets")
+                self.generation = max(whole)
+                runs = [int(name[4:]) for name in self._names(self.path) if name.startswith("run=")]
+                self.count = 1 + max(runs, default=-1)
+                notes = dict(r.value.split("=") for r in self.spark.read.text(f"{path}-notes").collect())  # two lines
+                self.buckets, self.closed = int(notes["buckets"]), notes["closed"] == "True"
+
+    def _hadoop(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        where, files = self._hadoop(path)
+        return files.exists(where)
+
+    def _names(self, path: str) -> list[str]:
+        where, files = self._hadoop(path)
+        return [x.getPath().getName() for x in files.listStatus(where)]
+
+    def _note(self) -> None:
+        notes = [(f"buckets={self.buckets}",), (f"closed={self.closed}",)]
+        self.spark.createDataFrame(notes, "value string").coalesce(1).write.mode("overwrite").text(f"{self.base}-notes")
 
     @property
     def path(self) -> str:
         return f"{self.base}/g{self.generation}"
 
     def runs(self) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(self.path) if self.count else self.spark.createDataFrame([], RUN)
+        return self.spark.read.schema(RUN).parquet(self.path).where("run >= 0") if self.count else self.spark.createDataFrame([], RUN)
 
     def append(self, requests: DataFrame) -> int:
         """Adds the fingerprints of a batch as a run and returns its number."""
+        if not self.count:
+            self._note()
         run = self.count
-        requests.select(F.lit(run).alias("run"), "bucket", "part", "body").write.mode("append").parquet(self.path)
+        requests.select(F.lit(run).alias("run"), "bucket", "part", "body").write.mode("append").partitionBy("run").parquet(self.path)
         self.count += 1
         return run
 
@@ -218,61 +239,106 @@ class FingerprintIndex:
         def fuse(key, rows):
             mine = np.flatnonzero(rows["run"].to_numpy() == run)
             if not len(mine):
-                return pa.table({"part": pa.array([], pa.int64()), "step": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
-            bits = recurring(rows["body"].to_pylist())
-            return pa.table({"part": rows["part"].take(mine), "step": pa.array([2] * len(mine), pa.int32()), "bucket": rows["bucket"].take(mine), "body": pa.array([bits[i] for i in mine], pa.binary())})
+                return answer_rows(rows, mine, [])
+            return answer_rows(rows, mine, recurring(rows["body"].to_pylist()))
 
-        return self.runs().groupBy("bucket").applyInArrow(fuse, "part long, step int, bucket int, body binary")
+        return self.runs().groupBy("bucket").applyInArrow(fuse, ANSWER)
 
-    def compact(self) -> None:
-        """Merges all runs into one, as a new generation; the old one goes afterwards."""
-        if not self.count:
-            return
+    def compact(self) -> DataFrame:
+        """Merges all runs into one, as a new generation, and returns what `answers` gives for all runs.
+
+        The old generation goes afterwards. The answers stand beside the merged run and are read
+        from there, so they are gone with the next compaction.
+        """
 
         def fuse(key, rows):
-            hashes, checks, twice, _ = merge(rows["body"].to_pylist())
-            return pa.table({"run": pa.array([0], pa.int32()), "bucket": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([-1], pa.int64()), "body": pa.array([body(hashes, checks, twice)], pa.binary())})
+            bodies = rows["body"].to_pylist()
+            hashes, checks, twice, places = merge(bodies)
+            own = np.flatnonzero(rows["part"].to_numpy() >= 0)
+            told = answer_rows(rows, own, [np.packbits(twice[p]).tobytes() for p in places])
+            one = pa.table({"part": pa.array([-1], pa.int64()), "step": pa.array([0], pa.int32()), "bucket": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([body(hashes, checks, twice)], pa.binary())})
+            return pa.concat_tables([one, told])
+
+        old, had = self.path, self.count
+        if had:
+            fused = self.runs().groupBy("bucket").applyInArrow(fuse, ANSWER)
+            fused.withColumn("run", F.when(F.col("step") == 0, 0).otherwise(-1)).write.mode("overwrite").partitionBy("run").parquet(f"{self.base}/g{self.generation + 1}")
+            self.generation, self.count = self.generation + 1, 1
+            remove(self.spark, old)
+        return self.spark.read.schema(ANSWER).parquet(f"{self.path}/run=-1") if had and self._exists(f"{self.path}/run=-1") else self.spark.createDataFrame([], ANSWER)
+
+    def _chosen(self, texts: DataFrame, known: DataFrame | None) -> DataFrame:
+        """The windows of each part, as requests to the buckets that own them."""
+        size, gram, buckets = self.size, self.gram, self.buckets
 
-        old = self.path
-        self.runs().groupBy("bucket").applyInArrow(fuse, RUN).write.mode("overwrite").parquet(f"{self.base}/g{self.generation + 1}")
-        self.generation, self.count = self.generation + 1, 1
-        remove(self.spark, old)
+        def chosen(part, rows, answers=None):
+            windows = Windows(rows, size, gram)
+            windows.choose(buckets, answers)
+            return windows.requests(part)
 
-    def ingest(self, docs: DataFrame, closed: bool = False) -> DataFrame:
-        """(doc_id, n_words, n_removed, kept) of a batch, judged by the index and the batch itself; the batch joins the index.
+        return by_part(texts, chosen, REQUEST) if known is None else with_answers(texts, known, chosen, REQUEST)
 
-        closed: no later batch comes and the index was empty, so windows that cannot recur
-        inside this batch need no fingerprints.
+    def _judged(self, texts: DataFrame, answers: DataFrame, filtered: bool) -> DataFrame:
+        size, gram, buckets = self.size, self.gram, self.buckets
+
+        def judged(part, rows, found):
+            windows = Windows(rows, size, gram)
+            windows.choose(buckets, found if filtered else None)
+            return finish(windows, rows, found)
+
+        return stored(with_answers(texts, answers, judged, OUTPUT), "fingerprint-dedup")
+
+    def ingest(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, n_words, n_removed, kept) of a batch, judged by the index and the batch itself; the batch joins the index."""
+        if self.closed:
+            raise ValueError("the index holds a closed corpus: it lacks windows that occurred once")
+        with parts(typed(docs), "windows") as texts:
+            run = self.append(self._chosen(texts.rows, None))
+            return self._judged(texts.rows, self.answers(run), False)
+
+    def ingest_closed(self, docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+        """The same for a whole corpus to which nothing will be added, into an empty index.
+
+        Each batch becomes a run; then one compaction merges the runs and judges all of them.
         """
-        if closed and self.count:
+        if self.count:
             raise ValueError("a closed corpus needs an empty index")
+        self.closed = True
+        with parts(typed(docs), "windows") as texts:
+            known = self._shared(texts)
+            for b in range(batches):
+                mine = F.pmod("part", F.lit(batches)) == b
+                self.append(self._chosen(texts.rows.where(mine), known.where(mine)))
+            out = self._judged(texts.rows, known.unionByName(self.compact()), True)
+            remove_stored(known)
+            return out
+
+    def _shared(self, texts: Parts) -> DataFrame:
+        """For each part, which of its least hashes another part has too."""
         size, gram, buckets = self.size, self.gram, self.buckets
 
         def hashes(part, rows):
             return requests_of(part, Windows(rows, size, gram).hashes, buckets)
 
-        def chosen(part, rows, answers=None):
-            windows = Windows(rows, size, gram)
-            windows.choose(buckets, answers)
-            return windows.requests(part)
+        return stored(by_bucket(by_part(texts.rows, hashes, REQUEST), 1, elsewhere), "least-hashes")
+
+
+def answer_rows(rows: pa.Table, mine: np.ndarray, bits: list[bytes]) -> pa.Table:
+    """Answers to the given rows of a bucket, out of the bits of all its rows."""
+    return pa.table({"part": rows["part"].take(mine), "step": pa.array([2] * len(mine), pa.int32()), "bucket": rows["bucket"].take(mine), "body": pa.array([bits[i] for i in mine], pa.binary())})
 
-        def judged(part, rows, answers):
-            windows = Windows(rows, size, gram)
-            windows.choose(buckets, answers if closed else None)
-            return finish(windows, rows, answers)
 
-        plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        with parts(plain, "windows") as texts:
-            known = stored(by_bucket(by_part(texts, hashes, REQUEST), 1, elsewhere), "least-hashes") if closed else None
-            run = self.append(with_answers(texts, known, chosen, REQUEST) if closed else by_part(texts, chosen, REQUEST))
-            answers = self.answers(run)
-            return stored(with_answers(texts, known.union(answers) if closed else answers, judged, OUTPUT), "fingerprint-dedup")
+def typed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def op1_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = FingerprintIndex(spark, scratch(spark, "fingerprints"))
-    out = index.ingest(table(spark, sf_dir, "documents"), closed=True)
-    index.compact()
+    docs = table(spark, sf_dir, "documents")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
+    path = scratch(spark, "fingerprints")
+    index = FingerprintIndex(spark, path, expected_bytes=size)
+    out = index.ingest_closed(docs)
+    remove(spark, path)  # the query keeps no index
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

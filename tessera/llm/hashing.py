@@ -1,12 +1,16 @@
 """Vectorised hashing of words and byte strings for code that runs inside tasks.
 
 A text column becomes one byte array with offsets; words, windows and their hashes are then
-numpy arrays over the whole slice. Hashes are polynomials modulo 2**64 over random values
-of bytes (or mixed word hashes), so that equal content has equal hashes anywhere.
+numpy arrays over the whole slice. Words are told apart by a keyed 128-bit BLAKE2b digest of
+their bytes, made once for each distinct word of a slice. Runs of values are hashed by a tree:
+two neighbouring runs are joined by a step that is not linear, so no pattern of repeated or
+swapped values cancels out.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,35 +20,12 @@ U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Two independent families: random byte values and odd multipliers with their inverses.
+#: The key of the digests, which are kept in indexes; random values of bytes; an odd factor for
+#: each of two families of tree hashes.
+KEY = b"tessera words 1"
 _random = np.random.default_rng(20240229)
 BYTE_VALUES = _random.integers(0, 1 << 64, (2, 256), dtype=U64)
-MULTIPLIERS = tuple(int(x) | 1 for x in _random.integers(0, 1 << 64, 2, dtype=U64))
-
-
-#: The longest tables of powers so far, by family.
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(family: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first 2**bits powers of a family's multiplier, and of its inverse."""
-
-    def of(base: int) -> np.ndarray:
-        out = np.ones(1 << bits, U64)
-        for b in range(bits):  # doubling: the second half is the first times base ** half
-            half = 1 << b
-            out[half : 2 * half] = out[:half] * U64(pow(base, half, 1 << 64))
-        return out
-
-    m = MULTIPLIERS[family]
-    return of(m), of(pow(m, -1, 1 << 64))
-
-
-def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    if family not in _tables or len(_tables[family][0]) <= n:
-        _tables[family] = _powers(family, max(16, int(n).bit_length()))
-    up, down = _tables[family]
-    return up[: n + 1], down[: n + 1]
+FACTORS = tuple(U64(int(x) | 1) for x in _random.integers(0, 1 << 64, 2, dtype=U64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -88,16 +69,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return where, np.flatnonzero(ends) + 1, np.searchsorted(where, offsets)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
-    """The hashes of the spans [starts, ends) of a sequence of 64-bit values."""
-    up, down = powers(len(values), family)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+def binary_array(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive byte strings of the given lengths."""
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
-    return span_hashes(BYTE_VALUES[family][data], starts, ends, family)
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(2, words): the halves of the keyed digest of each word that `words` has found."""
+    if not len(starts):
+        return np.zeros((2, 0), U64)
+    coded = binary_array(data[~SPACE[data]], ends - starts).dictionary_encode()  # compares bytes
+    digests = b"".join(hashlib.blake2b(w, digest_size=16, key=KEY).digest() for w in coded.dictionary.to_pylist())
+    table = np.frombuffer(digests, U64).reshape(-1, 2).T
+    return np.ascontiguousarray(table[:, coded.indices.to_numpy(zero_copy_only=False)])
 
 
 def remaining(first: np.ndarray) -> np.ndarray:
@@ -110,17 +96,32 @@ def window_starts(first: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(remaining(first) >= size)
 
 
+def joined(left: np.ndarray, right: np.ndarray, family: int) -> np.ndarray:
+    h = left * FACTORS[family]
+    h += right
+    return mixed(h)
+
+
 def gram_hashes(values: np.ndarray, size: int, family: int = 0) -> np.ndarray:
     """The hashes of all runs of `size` consecutive values."""
     n = len(values) - size + 1
     if n < 1:
         return values[:0]
-    up, down = powers(len(values), family)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    out = sums[size:] - sums[:n]
-    out *= down[:n]
-    return mixed(out)
+    level, width, have, out = values, 1, 0, None  # out: the runs of the lowest bits of size, at their own places
+    while True:
+        if size & width:
+            out = level if out is None else _behind(level, out, width, family)
+            have += width
+        if have == size:
+            return mixed(out[:n] + U64(size))
+        level = joined(level[:-width], level[width:], family)
+        width *= 2
+
+
+def _behind(level: np.ndarray, out: np.ndarray, width: int, family: int) -> np.ndarray:
+    """Runs of `width` values, each followed by the shorter run that begins behind it."""
+    n = min(len(level), len(out) - width)
+    return joined(level[:n], out[width : width + n], family)
 
 
 def pieces(least: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,9 +7,11 @@ sends every *distinct* hash once to the bucket that owns it, and the bucket answ
 bit for each. A group of copies of any size is so reduced to one hash a part before anything
 is shuffled, and no task sees more than one part or one bucket.
 
-Memory: a part is a fourth of an input partition (`spark.sql.files.maxPartitionBytes`), dealt by
-a hash of the text so that copies stay together; a bucket is the hashes of the corpus over
-`spark.sql.shuffle.partitions`.
+Memory follows bytes, not settings: input partitions are divided so that a part has about
+`PART_BYTES` of text, and there is a bucket of hashes for each `BUCKET_BYTES` of the corpus, or
+more where `spark.sql.shuffle.partitions` asks for them. Rows are dealt to the parts of their
+partition by a hash of the text, so copies stay together; a single text or group of copies that
+is larger than a part makes a larger part.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +34,39 @@ ANSWER = "part long, step int, bucket int, body binary"
 #: Spark's own bound on buckets of a table.
 MOST_BUCKETS = 100_000
 
-#: Parts of each input partition.
-SPLIT = 4
+#: Bytes of text in a part, and of the corpus for each bucket of hashes.
+PART_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
 
 
-def buckets_of(spark: SparkSession) -> int:
+class Parts(NamedTuple):
+    """A table (doc_id, text, part), bucketed by part, and how many buckets of hashes it needs."""
+
+    rows: DataFrame
+    buckets: int
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_of(spark: SparkSession, n_bytes: int) -> int:
+    return max(shuffle_partitions(spark), -(-n_bytes // BUCKET_BYTES))
+
+
 @contextmanager
-def parts(docs: DataFrame, name: str) -> Iterator[DataFrame]:
+def parts(docs: DataFrame, name: str, part_bytes: int = PART_BYTES) -> Iterator[Parts]:
     """The rows (doc_id, text) with their part, bucketed by it; dropped at the end."""
     spark = docs.sparkSession
     table, path = f"tessera_{name}_{uuid.uuid4().hex}", scratch(spark, name)
-    rows = docs.select("doc_id", "text").withColumn("part", F.spark_partition_id().cast("long") * SPLIT + F.pmod(F.xxhash64("text"), F.lit(SPLIT)))
-    writer = rows.write.bucketBy(min(buckets_of(spark), MOST_BUCKETS), "part").option("path", path).option("compression", "zstd")
+    plain = docs.select("doc_id", "text")
+    sizes = plain.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text").cast("long")).alias("n"))
+    total, largest = (x or 0 for x in sizes.agg(F.sum("n"), F.max("n")).head())
+    split = max(1, -(-largest // part_bytes))
+    rows = plain.withColumn("part", F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("text"), F.lit(split)))
+    writer = rows.write.bucketBy(min(buckets_of(spark, total), MOST_BUCKETS), "part").option("path", path).option("compression", "zstd")
     writer.format("parquet").saveAsTable(table)
     try:
-        yield spark.table(table)
+        yield Parts(spark.table(table), buckets_of(spark, total))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         remove(spark, path)

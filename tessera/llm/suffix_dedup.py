@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NO_ID, slices, stored, table
-from tessera.llm.hashing import BYTE_VALUES, gram_hashes, mixed, pieces, raw, sliding_min, span_hashes
-from tessera.llm.parts import answered, buckets_of, by_bucket, by_part, cut, member, owned, parts, with_answers, REQUEST
+from tessera.llm.common import NO_ID, remove_stored, slices, stored, table
+from tessera.llm.hashing import BYTE_VALUES, binary_array, gram_hashes, mixed, pieces, raw, sliding_min
+from tessera.llm.parts import answered, by_bucket, by_part, cut, member, owned, parts, with_answers, REQUEST
 
 SIZE, GRAM = 50, 20
 SLICE_BYTES = 1 << 18
@@ -43,6 +43,9 @@ FINER = 8
 #: Pieces with one least hash, of all parts together, from which their windows are sent one by one.
 HOT = 1 << 16
 
+#: Windows of such pieces that are told apart at once.
+MOST_WINDOWS = 1 << 20
+
 #: Bytes that one key of the direct sort compares.
 STEP = 8
 
@@ -179,6 +182,8 @@ def least_owner(bodies: list[bytes], owners: list[np.ndarray], size: int) -> lis
     # bytes of UTF-8 are below 0xF5, so one more leaves zero for the end of a piece
     text = np.frombuffer(b"".join(b + b"\xff" for b in place), np.uint8) + np.uint8(1)
     lengths = np.fromiter((len(b) + 1 for b in place), np.int64, len(place))
+    if len(text) > np.iinfo(np.int32).max:
+        raise ValueError("a bucket of pieces holds over 2 GB: more buckets are needed")
     begins = np.cumsum(lengths) - lengths
     wanted = np.repeat((begins + lengths).astype(np.int32), lengths) - np.arange(len(text), dtype=np.int32) > size
     order = two_stage(text, wanted, size)
@@ -255,6 +260,15 @@ def ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(begins - back, counts) + np.arange(counts.sum())
 
 
+def numbered(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the distinct byte string at each place, and the place where each stands first."""
+    coded = values.dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.full(len(coded.dictionary), len(number), np.int64)
+    np.minimum.at(first, number, np.arange(len(number)))
+    return number, first
+
+
 class Shared:
     """The pieces of a part whose least hash occurs more than once in the corpus."""
 
@@ -279,7 +293,7 @@ class Shared:
     def find(self, buckets: int, answers: dict) -> None:
         """Chooses the pieces and numbers the distinct ones, in the order in which they are sent."""
         kept = member(self.least, self.hashes[self.again | answered(self.hashes, buckets, answers, 1)])
-        at, marks, owner, spans = 0, [], [], []
+        at, held, owner, spans = 0, [], [], []
         for b, (data, offsets, starts, counts) in enumerate(self.batches):
             chosen = kept[at : at + len(starts)]
             at += len(starts)
@@ -287,18 +301,12 @@ class Shared:
             docs = self.ids[b][np.searchsorted(offsets, s, "right") - 1]
             owner.append(docs)
             spans.append(np.stack([np.full(len(s), b), s, e], 1))
-            marks.append(np.stack([span_hashes(BYTE_VALUES[f][data], s, e, f) for f in (0, 1)], 1) if len(s) else np.zeros((0, 2), np.uint64))
+            held.append(binary_array(data[ranges(s, e - s)], e - s))
         self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         self.spans = np.concatenate(spans) if spans else np.zeros((0, 3), np.int64)
-        marks = np.concatenate(marks) if marks else np.zeros((0, 2), np.uint64)
+        # equal bytes have one number; a piece's bytes give its least hash
+        self.number, self.sample = numbered(pa.concat_arrays(held) if held else pa.array([], pa.large_binary()))
         least = self.least[kept]
-        order = np.lexsort((marks[:, 1], marks[:, 0], least))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (marks[order][1:] != marks[order][:-1]).any(1) | (least[order][1:] != least[order][:-1])
-        number = np.cumsum(fresh) - 1
-        self.number = np.empty(len(order), np.int64)
-        self.number[order] = number  # the distinct piece of each chosen piece
-        self.sample = order[fresh]
         self.first = np.full(len(self.sample), np.iinfo(np.int64).max)
         np.minimum.at(self.first, self.number, self.owner)
         self.send(least[self.sample], self.hashes[answered_hot(self.hashes, buckets, answers)], FINER * buckets)
@@ -309,20 +317,10 @@ class Shared:
         self.cold, self.hot = np.flatnonzero(~apart), np.flatnonzero(apart)
         counts = (spans[:, 2] - spans[:, 1] - self.size + 1)[self.hot]
         batch, start, first = np.repeat(spans[self.hot, 0], counts), ranges(spans[self.hot, 1], counts), np.repeat(self.first[self.hot], counts)
-        marks = np.zeros((len(start), 2), np.uint64)
-        for b in np.unique(batch):
-            at = np.flatnonzero(batch == b)
-            for f in (0, 1):
-                marks[at, f] = span_hashes(BYTE_VALUES[f][self.batches[b][0]], start[at], start[at] + self.size, f)
-        order = np.lexsort((marks[:, 1], marks[:, 0]))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (marks[order][1:] != marks[order][:-1]).any(1)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(fresh) - 1
-        sample = order[fresh]
+        key, number, sample = self.windows(batch, start)
         least_first = np.full(len(sample), np.iinfo(np.int64).max)
         np.minimum.at(least_first, number, first)
-        key = np.concatenate([least[self.cold], mixed(marks[sample, 0])])
+        key = np.concatenate([least[self.cold], key[sample]])
         by_key = np.argsort(key, kind="stable")
         self.sent = np.concatenate([spans[self.cold], np.stack([batch[sample], start[sample], start[sample] + self.size], 1)])[by_key]
         self.sent_first = np.concatenate([self.first[self.cold], least_first])[by_key]
@@ -332,6 +330,25 @@ class Shared:
         self.hot_later = first > least_first[number]  # another piece of the part has the window with a smaller id
         self.cuts = list(cut(owned(key[by_key], buckets), buckets))
 
+    def windows(self, batch: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, number, sample) of single windows, which are told apart by their bytes, some at a time."""
+        key, number, sample = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64), []
+        for b in np.unique(batch):
+            at = np.flatnonzero(batch == b)
+            key[at] = mixed(gram_hashes(BYTE_VALUES[0][self.batches[b][0]], self.size))[start[at]]
+        groups = 1 << max(0, (len(start) // MOST_WINDOWS).bit_length())
+        group = (key & np.uint64(groups - 1)).astype(np.int32)
+        for g in range(groups):
+            own, flat = np.flatnonzero(group == g), []
+            for b in np.unique(batch[own]):
+                at = start[own[batch[own] == b]]
+                flat.append(self.batches[b][0][ranges(at, np.full(len(at), self.size))])
+            own = own[np.argsort(batch[own], kind="stable")]
+            n, first = numbered(binary_array(np.concatenate(flat) if flat else np.zeros(0, np.uint8), np.full(len(own), self.size)))
+            number[own] = n + sum(map(len, sample))
+            sample.append(own[first])
+        return key, number, np.concatenate(sample)
+
     def requests(self, part: int) -> pa.Table:
         bodies = []
         for _, i, j in self.cuts:
@@ -348,10 +365,9 @@ class Shared:
         sent_at = np.cumsum(counts) - counts
         counts = (self.spans[:, 2] - self.spans[:, 1] - self.size + 1)[self.sample]
         begins = np.cumsum(counts) - counts
-        if len(self.hot):  # back to the order of pieces
-            sent, bits = bits, np.zeros(counts.sum(), bool)
-            bits[ranges(begins[self.cold], counts[self.cold])] = sent[ranges(sent_at[self.cold_sent], counts[self.cold])]
-            bits[ranges(begins[self.hot], counts[self.hot])] = sent[sent_at[self.hot_sent]] | self.hot_later
+        sent, bits = bits, np.zeros(counts.sum(), bool)  # back to the order of pieces
+        bits[ranges(begins[self.cold], counts[self.cold])] = sent[ranges(sent_at[self.cold_sent], counts[self.cold])]
+        bits[ranges(begins[self.hot], counts[self.hot])] = sent[sent_at[self.hot_sent]] | self.hot_later
         later = self.owner > self.first[self.number]  # the part itself has a smaller id with the whole piece
         edges = np.searchsorted(self.spans[:, 0], np.arange(len(self.batches) + 1))
         for (data, offsets, _, _), i, j in zip(self.batches, edges, edges[1:]):
@@ -370,7 +386,6 @@ class Shared:
 def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the bytes that stay, maybe cut inside a character."""
     spark = docs.sparkSession
-    buckets = buckets_of(spark)
 
     def hashes(part, rows):
         shared = Shared(rows, size, gram)
@@ -401,10 +416,12 @@ def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int =
         return pa.table({"doc_id": rows["doc_id"], "n_bytes": flat(n), "n_removed": flat(gone), "n_spans": flat(spans), "kept": pa.array(kept, pa.binary())})
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    with parts(plain, "suffixes") as texts:
+    with parts(plain, "suffixes") as (texts, buckets):
         shared = stored(by_bucket(by_part(texts, hashes, REQUEST), 1, lambda bodies: elsewhere_or_hot(bodies, hot)), "shared-hashes")
         smaller = by_bucket(with_answers(texts, shared, found, REQUEST), 2, lambda bodies: answer(bodies, size))
-        return stored(with_answers(texts, shared.union(smaller), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), "suffix-dedup")
+        out = stored(with_answers(texts, shared.union(smaller), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), "suffix-dedup")
+        remove_stored(shared)
+        return out
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def corpus(seed):
 def test_closed_corpus(spark, partitions):
     rows = corpus(1)
     docs = spark.createDataFrame([(t, i, 1) for i, t in rows], "text string, doc_id long, part int").repartition(partitions)
-    assert rows_of(I.FingerprintIndex(spark, scratch(spark, "t")).ingest(docs, closed=True)) == brute(rows, 35)
+    assert rows_of(I.FingerprintIndex(spark, scratch(spark, "t")).ingest_closed(docs)) == brute(rows, 35)
 
 
 def test_batches_and_compaction(spark):
@@ -57,12 +57,12 @@ def test_batches_and_compaction(spark):
         if seed == 2:
             index.compact()
             with pytest.raises(ValueError):
-                index.ingest(docs, closed=True)
+                index.ingest_closed(docs)
             assert index.runs().groupBy("bucket").count().where("count > 1").count() == 0
 
 
 def test_empty_table(spark):
-    assert I.FingerprintIndex(spark, scratch(spark, "t")).ingest(spark.createDataFrame([], "doc_id long, text string"), closed=True).collect() == []
+    assert I.FingerprintIndex(spark, scratch(spark, "t")).ingest_closed(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def test_equal_hashes_are_verified():
@@ -70,3 +70,42 @@ def test_equal_hashes_are_verified():
     a, b = I.body(h, c, np.zeros(3, bool)), I.body(h[1:], np.array([4, 3], np.uint64), np.zeros(2, bool))
     bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).tolist() for x, n in zip(I.recurring([a, b]), (3, 2))]
     assert bits == [[0, 0, 1], [0, 1]]
+
+
+def swapped(order):
+    """Two byte strings that differ in every place, alternating in the order of Thue and Morse: powers cancel out on them."""
+    a, b = b"a", b"b"
+    for _ in range(order):
+        a, b = a + b, b + a
+    return a.decode(), b.decode()
+
+
+@pytest.mark.parametrize("order", [10, 13])
+def test_words_that_polynomials_cannot_tell_apart(spark, order):
+    a, b = swapped(order)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words[:20] + [a] + words[20:])), (2, " ".join(words[:20] + [b] + words[20:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 4):
+        found = rows_of(I.FingerprintIndex(spark, scratch(spark, "t")).ingest_closed(docs.repartition(parts)))
+        assert found == brute(rows, 35) and all(n == 0 for _, _, n, _ in found)
+
+
+def test_a_closed_index_refuses_batches(spark):
+    path = scratch(spark, "t")
+    docs = spark.createDataFrame(corpus(1), "doc_id long, text string")
+    I.FingerprintIndex(spark, path).ingest_closed(docs)
+    with pytest.raises(ValueError, match="closed"):
+        I.FingerprintIndex(spark, path).ingest(docs)
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_runs_of_a_closed_corpus_are_compacted(spark, batches):
+    rows = corpus(1)
+    index = I.FingerprintIndex(spark, scratch(spark, "t"), expected_bytes=100)
+    assert rows_of(index.ingest_closed(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), batches)) == brute(rows, 35)
+    assert index.runs().select("run").distinct().count() == 1 and index.generation == 1
+
+
+def test_the_number_of_buckets_follows_bytes(spark):
+    assert I.FingerprintIndex(spark, scratch(spark, "t"), expected_bytes=1 << 40).buckets == (1 << 40) // I.BUCKET_BYTES

@@ -108,12 +108,53 @@ def test_blocks_of_a_large_component_are_checked_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_BYTES", 2000)
     plain = J.verify
 
-    def one(data, offsets, group, block, cross, *rest):
+    def one(hashes, first, base, slack, group, block, cross, *rest):
         if cross.any() and len(set(group.tolist())) > 1:
             raise ValueError("a call holds several groups")
-        return plain(data, offsets, group, block, cross, *rest)
+        return plain(hashes, first, base, slack, group, block, cross, *rest)
 
     monkeypatch.setattr(J, "verify", one)
-    words = [f"w{i}" for i in range(60)]
-    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(40)]
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    # two changed words: many of these are further from the centre than half the threshold allows
+    rows = [(i, " ".join(f"x{i}" if j in (rnd.randrange(60), 7) else w for j, w in enumerate(base))) for i in range(40)]
     assert rows_of(J.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_near_copies_of_one_text_are_only_counted(spark, monkeypatch):
+    """Sets near the centre are linked with each other by their weights alone: nothing is dealt to pairs of blocks."""
+    monkeypatch.setattr(J, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", 16)
+
+    def none(*_):
+        raise ValueError("pairs of blocks are compared")
+
+    monkeypatch.setattr(J, "verify", none)
+    base = [f"w{i}" for i in range(150)]
+    rnd = random.Random(5)
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[rnd.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    assert rows_of(J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows) == sorted(((i, 0, 119) for i in range(120)), key=str)
+
+
+def test_words_that_polynomials_cannot_tell_apart(spark):
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, f"{a} one two three four five"), (4, f"{b} one two three four five")]
+    assert rows_of(J.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert brute(rows)[0] == (1, 1, 0)
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from tessera.llm.common import shared_dir
+
+    folder = f"{shared_dir(spark)}/tessera".removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    J.join(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"joined"}

@@ -85,8 +85,10 @@ def test_hot_hashes_against_direct_search(spark, hot):
 def test_a_hot_hash_is_spread_over_buckets():
     """One gram of a small hash in 400 surroundings: no bucket gets more than a small share of it."""
     rnd = random.Random(6)
+    tries = ["".join(rnd.choices("ABCDEFGHIJ", k=20)) for _ in range(20_000)]
+    common = min(tries, key=lambda g: S.gram_hashes(S.BYTE_VALUES[0][np.frombuffer(g.encode(), np.uint8)], 20)[0])
     noise = lambda: "".join(rnd.choices("abcdefghijklmnop", k=60))
-    rows = S.pa.table({"doc_id": S.pa.array(range(400), S.pa.int64()), "text": [noise() + "AGJJIEGHBJJEHECHAIJC" + noise() for _ in range(400)]})
+    rows = S.pa.table({"doc_id": S.pa.array(range(400), S.pa.int64()), "text": [noise() + common + noise() for _ in range(400)]})
     largest = {}
     for hot in (100, 1 << 16):
         shared = S.Shared(rows, 50, 20)
@@ -96,3 +98,26 @@ def test_a_hot_hash_is_spread_over_buckets():
         sizes = [int((shared.sent[i:j, 2] - shared.sent[i:j, 1]).sum()) for _, i, j in shared.cuts]
         largest[hot] = max(sizes) / sum(sizes)
     assert largest[100] < 0.1 and largest[1 << 16] > 0.2
+
+
+def test_bytes_that_polynomials_cannot_tell_apart(spark):
+    """Long runs of two symbols in the order of Thue and Morse: nothing of 50 bytes recurs across the texts by hash alone."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(20):
+        a, b = ("".join(rnd.choices("abcdefgh", k=3)) for _ in range(2))
+        for _ in range(11):
+            a, b = a + b, b + a
+        rows.append((i, a if i % 2 else b))
+    rows.append((20, rows[3][1][:4000]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 50)
+    for parts in (1, 4):
+        for hot in (0, 1 << 16):
+            found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in S.deduplicate(docs.repartition(parts), hot=hot).collect()]
+            assert sorted(found, key=str) == want
+
+
+def test_windows_are_told_apart_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_WINDOWS", 300)
+    test_hot_hashes_against_direct_search(spark, 0)
