@@ -1,9 +1,14 @@
 """Token counts behind a digest cache.
 
 The cache is a Parquet table in shared storage, keyed by the SHA-256 of the normalised text
-and of the tokenizer's file. A batch is joined to it by digest; only the distinct texts that
-it misses are encoded, and their counts are appended. One representative row stands for each
-missing digest, so a group of copies is encoded once and never gathered.
+and of the tokenizer's file. A batch is grouped by digest, so that each distinct text is sent
+once by each task that has it, and joined to the cache; only the texts that it misses are
+encoded, and their counts are appended. Rows then get their counts by digest; that join is
+left to adaptive execution to split where one text has very many copies.
+
+Counts are those of the vocabulary's own library. A rank file of the same vocabulary may be
+given, which another library counts several times as fast; texts that it can't count, such as
+very long runs of white space, are counted by the vocabulary's library.
 
 Defined results: null counts as the empty text (0 tokens); repeated rows and ids each get
 their row back; a text is encoded whole whatever its length. Only the id and the text are
@@ -21,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, slices, table
+from tessera.llm.common import scratch, scratch_space, slices, stored, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks, which another library counts several times as fast.
@@ -67,6 +72,24 @@ def ranked_encoder(path: str, special: dict[str, int]):
     return lambda texts: [len(model.encode(x, allowed_special="all")) for x in texts]
 
 
+def combined_encoder(ranks: str, special: dict[str, int], vocabulary: str):
+    """Counts by the rank file, and by the vocabulary's library where that fails on a text."""
+    fast, exact = ranked_encoder(ranks, special), None
+
+    def count(texts: list[str]) -> list[int]:
+        nonlocal exact
+        out = []
+        for text in texts:
+            try:
+                out += fast([text])
+            except ValueError:  # its patterns have a bound on backtracking
+                exact = exact or encoder(vocabulary)
+                out += exact([text])
+        return out
+
+    return count
+
+
 def specials(path: str) -> dict[str, int]:
     from tokenizers import Tokenizer
 
@@ -88,7 +111,7 @@ class TokenCache:
     vocabulary on a set of probes, or the constructor raises.
     """
 
-    FIELDS = "text_digest string, n_tokens long, tokenizer string"
+    FIELDS = "text_digest binary, n_tokens long, tokenizer string"
 
     def __init__(self, spark: SparkSession, path: str, vocabulary: str, ranks: str | None = None):
         self.spark, self.path, self.version = spark, path, file_digest(vocabulary)
@@ -102,43 +125,51 @@ class TokenCache:
             spark.sparkContext.addFile(ranks)
         spark.sparkContext.addFile(vocabulary)
 
-    def entries(self) -> DataFrame:
+    def appended(self) -> DataFrame:
+        """(text_digest, n_tokens) of this tokenizer; two jobs may have appended the same digest."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
             return self.spark.createDataFrame([], self.FIELDS).select("text_digest", "n_tokens")
-        rows = self.spark.read.schema(self.FIELDS).parquet(self.path).where(F.col("tokenizer") == self.version)
-        # two jobs may have appended the same digest; they agree on the count
-        return rows.groupBy("text_digest").agg(F.min("n_tokens").alias("n_tokens"))
+        rows = self.spark.read.schema(self.FIELDS).parquet(self.path)
+        return rows.where(F.col("tokenizer") == self.version).select("text_digest", "n_tokens")
+
+    def entries(self) -> DataFrame:
+        return self.appended().groupBy("text_digest").agg(F.min("n_tokens").alias("n_tokens"))
 
     def _rows(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_digest", F.sha2(F.encode("text", "utf-8"), 256))
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_digest", F.unhex(F.sha2(F.encode("text", "utf-8"), 256)))
 
     def fill(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Encodes the distinct texts that the cache misses and appends their counts."""
         rows, name, version, ranks, special = self._rows(docs, id_col, text_col), self.name, self.version, self.ranks, self.special
-        # the key of the representative: digests are grouped without their texts, partly before the shuffle
-        missed = rows.groupBy("text_digest").agg(F.min("doc_id").alias("least")).join(self.entries(), "text_digest", "left_anti")
-        chosen = missed.select(F.col("text_digest").alias("d"), "least")
-        misses = rows.join(chosen, (F.col("text_digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text_digest", "text")
+        distinct = rows.groupBy("text_digest").agg(F.first("text").alias("text"))
+        misses = distinct.join(self.appended(), "text_digest", "left_anti")
 
         def encode(batches):
-            count = ranked_encoder(SparkFiles.get(ranks), special) if ranks else encoder(SparkFiles.get(name))
+            count = combined_encoder(SparkFiles.get(ranks), special, SparkFiles.get(name)) if ranks else encoder(SparkFiles.get(name))
             for batch in batches:
                 for part in slices(batch):
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(part.column(1).to_pylist()), pa.int64())], ["text_digest", "n_tokens"])
 
-        counts = misses.mapInArrow(encode, "text_digest string, n_tokens long").dropDuplicates(["text_digest"])
+        counts = misses.mapInArrow(encode, "text_digest binary, n_tokens long")
         counts.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(self.path)
 
     def count(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
         """Fills the cache and returns doc_id, n_bytes, n_tokens, over_limit for every row."""
         self.fill(docs, id_col, text_col)
         rows = self._rows(docs, id_col, text_col).select("doc_id", "text_digest", F.octet_length("text").cast("long").alias("n_bytes"))
-        found = rows.join(self.entries(), "text_digest", "left")
-        return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        with scratch_space(self.spark) as keep:
+            # a written table, so that the join's rows come from plain shuffles, which can be split
+            found = rows.join(keep(stored(self.entries(), "token-counts")), "text_digest", "left")
+            return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+#: The setting that names a cache to be used and extended; without it a query starts with none.
+CACHE = "spark.tessera.tokenCache"
 
 
 def op5_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = TokenCache(spark, scratch(spark, "token-cache"), vocabulary_path(), vocabulary_path(RANKS))
+    path = spark.conf.get(CACHE, None) or scratch(spark, "token-cache")
+    cache = TokenCache(spark, path, vocabulary_path(), vocabulary_path(RANKS))
     return cache.count(table(spark, sf_dir, "documents"))

@@ -47,3 +47,49 @@ def test_empty_table(spark):
 def test_another_vocabulary_is_refused(spark):
     with pytest.raises(ValueError):
         T.TokenCache(spark, scratch(spark, "t"), T.vocabulary_path(), T.vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+
+
+def test_the_query_meets_a_cache(spark):
+    sf, path = "/root/testdata/sf0.001", scratch(spark, "t")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = brute([tuple(r) for r in docs.collect()])
+    spark.conf.set(T.CACHE, path)
+    try:
+        cache = T.TokenCache(spark, path, T.vocabulary_path())
+        cache.fill(docs.where("doc_id < 100"))
+        half = spark.read.parquet(path).count()
+        assert rows_of(T.op5_token_cache(spark, sf)) == want
+        whole = spark.read.parquet(path)
+        n = docs.select("text").distinct().count()
+        assert 0 < half < n == whole.count() == whole.select("text_digest").distinct().count()
+        # counts that are stored are used: spoiled ones come back
+        spoiled = scratch(spark, "t")
+        whole.selectExpr("text_digest", "n_tokens + 1000000 AS n_tokens", "tokenizer").write.parquet(spoiled)
+        spark.conf.set(T.CACHE, spoiled)
+        assert rows_of(T.op5_token_cache(spark, sf)) == [(k, n, t + 1_000_000) for k, n, t in want]
+        assert spark.read.parquet(spoiled).count() == n
+    finally:
+        spark.conf.unset(T.CACHE)
+
+
+@pytest.mark.parametrize("c", [" ", "\n", "\u3000"])
+def test_long_runs_of_white_space(spark, c):
+    rows = [(1, f"a{c * 2_000_000}b"), (2, c * 1_000_000), (3, "x" * 1_000_000)]
+    cache = T.TokenCache(spark, scratch(spark, "t"), T.vocabulary_path(), T.vocabulary_path(T.RANKS))
+    assert rows_of(cache.count(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_both_libraries_agree_on_all_characters():
+    path = T.vocabulary_path()
+    special = T.specials(path)
+    one, two = T.encoder(path), T.ranked_encoder(T.vocabulary_path(T.RANKS), special)
+    for low in range(0, 0x110000, 4096):
+        texts = ["".join(f"a{c}1{c} {c}{c}!" for c in map(chr, range(i, i + 64)) if not "\ud800" <= c <= "\udfff") for i in range(low, low + 4096, 64)]
+        assert one(texts) == two(texts)
+
+
+def test_a_hot_text_and_repeated_rows(spark):
+    rows = [(7, "the same text")] * 3000 + [(i, f"text {i}") for i in range(50)]
+    cache = T.TokenCache(spark, scratch(spark, "t"), T.vocabulary_path(), T.vocabulary_path(T.RANKS))
+    assert rows_of(cache.count(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute(rows)
+    assert spark.read.parquet(cache.path).count() == 51
