@@ -8,15 +8,17 @@ a bracket, solve the dual. They run on the counts of equal (source, size) pairs,
 exact and small however many rows a source has.
 
 Rates become whole copies: every document gets the whole part, and the fractional part against
-a hash of the document decides on one more. A threshold for each source, found by two rounds of
-histograms over those hashes, makes the copies' words meet the target to about one document.
+a hash of the document decides on one more. Rows that repeat id, text and source are counted as
+one and spread evenly over the hash's range, so that a share of them is taken. A threshold for each
+source, found by two rounds of histograms over those hashes, makes the copies' words meet the
+target to about one document. If the dual is not solved after `ROUNDS` steps, `mix` fails.
 
 Everything is DataFrame code. Sources are numbered by ranges, so no task sees all of them, and
 the join of documents with their source's numbers is salted unless the sources are few.
 
 Defined results: null and empty texts have size 0 and take nothing; a null source is a source
-of its own, numbered last; repeated rows share their decision; without any words all targets
-are 0. Only the three named columns are read.
+of its own, numbered last; repeated rows are numbered by `nth` and decided one by one; without any
+words all targets are 0. Only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed_columns, stored, table
+from tessera.llm.common import keyed_columns, scratch_space, stored, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 ROUNDS, TOLERANCE, BINS = 60, 1e-9, 4096
+#: Numbers that one row holds while repeated rows are written out.
+RUN = 4096
 #: Sources up to which their table is broadcast (under a megabyte), and salts beyond.
 FEW_SOURCES, SALTS = 10_000, 32
 
@@ -38,11 +42,20 @@ WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, kd, th, source, size, u): the row's key, and a hash of it in [0, 1)."""
+    """(doc_id, kd, th, source, size, u, nth): the row's key, a number in [0, 1) and which of its repetitions it is.
+
+    Equal rows are counted and written out again, a row for each; long runs in two steps, so that
+    no row holds more than `RUN` numbers.
+    """
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
     own = keyed_columns(id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), own["__kd"].alias("kd"), own["__th"].alias("th"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    return rows.withColumn("u", F.shiftrightunsigned(F.xxhash64("kd", "th"), 11) / float(1 << 53))
+    each = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    u = F.shiftrightunsigned(F.xxhash64("kd", "th"), 11) / float(1 << 53)
+    steps = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN))).alias("begin"))
+    stop = F.least(F.col("n"), F.col("begin") + RUN) - 1
+    spread = steps.select("*", F.explode(F.sequence("begin", stop)).alias("nth"))
+    return spread.select(*rows.columns, F.pmod(u + F.col("nth") / F.col("n"), F.lit(1.0)).alias("u"), "nth")
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -90,7 +103,7 @@ def solve(sources: DataFrame, histogram: DataFrame, few: bool, most: float = MOS
     state = kept(state)
     for _ in range(rounds):
         if state.where("NOT done").isEmpty():
-            break
+            return state.select(*rows.columns, "multiplier")
         open_ = state.where("NOT done")
         joined = histogram.join(near_(open_.select(F.col("source").alias("s"), "multiplier", "mean")), F.col("source").eqNullSafe(F.col("s")))
         words = F.col("n") * F.col("size")
@@ -105,6 +118,8 @@ def solve(sources: DataFrame, histogram: DataFrame, few: bool, most: float = MOS
         inside = (step > low) & (step < high)
         moved = F.when(near, F.col("multiplier")).when(inside, step).otherwise((low + high) / 2)
         state = kept(both.select(*rows.columns, moved.alias("multiplier"), low.alias("low"), high.alias("high"), near.alias("done")))
+    if not state.where("NOT done").isEmpty():
+        raise RuntimeError(f"the dual is not solved to {tolerance} within {rounds} steps")
     return state.select(*rows.columns, "multiplier")
 
 
@@ -129,9 +144,10 @@ def cuts(rows: DataFrame, need: DataFrame, bin_col: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, kd, th, source, size, u, source_size, target, rate, copies) of every row."""
-    rows = stored(sized(docs, id_col, source_col, text_col), "sizes")
-    return _mixed(rows, weights, share, most)
+    """(doc_id, kd, th, source, size, u, nth, source_size, target, rate, copies) of every row."""
+    with scratch_space(docs.sparkSession) as keep:
+        rows = stored(sized(docs, id_col, source_col, text_col), "sizes")
+        return keep(stored(_mixed(rows, weights, share, most), "mixed"))
 
 
 def _mixed(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:

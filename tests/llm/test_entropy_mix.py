@@ -72,3 +72,24 @@ def test_edge_cases(spark, monkeypatch, few):
     check(rows, E.mix(docs).collect(), 1.01)
     assert E.mix(docs.limit(0)).collect() == []
     assert {r.copies for r in E.mix(docs.where("text IS NULL")).collect()} == {0}
+
+
+@pytest.mark.parametrize("run", [7, 4096])
+def test_repeated_rows_reach_the_target(spark, monkeypatch, run):
+    monkeypatch.setattr(E, "RUN", run)
+    rows = [(1, "a", "w x y z")] * 2000 + [(i, "b", "p q") for i in range(2, 502)] + [(1, "b", "w x y z")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    out = E.mix(docs).collect()
+    check(rows, out, 0.51)
+    assert len(out) == len(rows) and sum(r.copies > 1 for r in out if r.source == "a") not in (0, 2000)
+    again = sorted((r.doc_id, r.source, r.copies) for r in E.mix(docs.repartition(5)).collect())
+    assert again == sorted((r.doc_id, r.source, r.copies) for r in out)
+
+
+def test_an_unsolved_dual_is_an_error(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = E.sized(docs)
+    sources = rows.groupBy("source").agg(E.F.sum("size").alias("total"), E.F.count("*").alias("documents"))
+    histogram = rows.groupBy("source", "size").agg(E.F.count("*").alias("n"))
+    with pytest.raises(RuntimeError, match="not solved"):
+        E.solve(E.targets(sources), histogram, True, rounds=2)

@@ -36,7 +36,7 @@ def test_each_stage_against_its_brute_force(spark):
     before = rows(kept)
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     kept = C.stored(C.decontaminate(spark, kept, sf), "t")
-    bad = {k for k, n, hit, _ in hits(before, items) if hit and 20 * hit >= n}
+    bad = {k for k, n, hit, _, _ in hits(before, items) if hit and 20 * hit >= n}
     assert rows(kept) == [x for x in before if x[0] not in bad]
 
     sizes = [(r.source, size_of(r.text)) for r in kept.collect()]

@@ -19,7 +19,7 @@ def brute(docs, items, window=13):
         if w:
             k = min(len(w), window)
             for i in range(len(w) - k + 1):
-                spans.setdefault(tuple(w[i : i + k]), set()).add(str(key))
+                spans.setdefault(tuple(w[i : i + k]), set()).add(key)
     lengths = {len(s) for s in spans}
     out = []
     for key, text in docs:
@@ -31,12 +31,12 @@ def brute(docs, items, window=13):
                 if got:
                     hit |= set(range(i, i + k))
                     found |= got
-        out.append((key, len(w), len(hit), sorted(found)))
+        out.append((key, len(w), len(hit), len(found), sorted(str(x) for x in found if x is not None)))
     return sorted(out, key=str)
 
 
 def found(df):
-    return sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in df.collect()), key=str)
+    return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"]) for r in df.collect()), key=str)
 
 
 def cases():
@@ -48,13 +48,13 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("few", [200_000, 0])
+@pytest.mark.parametrize("few", [1 << 24, 0])
 def test_against_direct_search(spark, monkeypatch, few):
-    monkeypatch.setattr(N, "FEW_WINDOWS", few)
+    monkeypatch.setattr(N, "FEW_BYTES", few)
     docs, items = cases()
     d = spark.createDataFrame([(t, i, "x", 1) for i, t in docs], "text string, doc_id long, fp string, length int").repartition(3)
     b = spark.createDataFrame([(*r, "y") for r in items], "item_id long, text string, doc_id string")
-    assert found(N.decontaminate(d, b)) == brute(docs, [(("None" if i is None else i), t) for i, t in items if i is not None])
+    assert found(N.decontaminate(d, b)) == brute(docs, items)
 
 
 def test_empty_tables(spark):
@@ -71,7 +71,25 @@ def test_a_real_table_and_the_digest(spark):
     want = brute(docs, items)
     out = {r.doc_id: r for r in N.op6_winnow(spark, sf).collect()}
     assert sum(x[2] > 0 for x in want) >= 3
-    for key, n, hit, ids in want:
+    for key, n, hit, _, ids in want:
         r = out[key]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(ids), hit > 0 and 20 * hit >= n)
         assert r.items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
+def test_items_without_an_id_are_hit(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text), (2, "other words")], "doc_id long, text string")
+    one = spark.createDataFrame([(None, text)], "item_id long, text string")
+    assert found(N.decontaminate(docs, one)) == [(1, 20, 20, 1, []), (2, 2, 0, 0, [])]
+    two = spark.createDataFrame([(None, text), (7, text), (None, "other words"), (8, text)], "item_id long, text string")
+    assert found(N.decontaminate(docs, two)) == [(1, 20, 20, 3, ["7", "8"]), (2, 2, 2, 1, [])]
+
+
+def test_documents_are_read_once_for_all_lengths(spark):
+    lengths = [1, 3, 5, 8, 13]
+    rows = spark.createDataFrame([(1, ["a", "b"] * 20)], "kd long, w array<string>")
+    plan = N.with_fingerprints(rows.selectExpr("transform(w, x -> xxhash64(x)) AS h"), "h", lengths, 5)
+    assert [c for c in plan.columns if c.startswith("fp_")] == [f"fp_{k}" for k in lengths]
+    out = plan.head()
+    assert [len(out[f"fp_{k}"]) for k in lengths] == [40 - k + 1 for k in lengths]
