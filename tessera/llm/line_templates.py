@@ -2,14 +2,19 @@
 
 A line is parsed to a fixed depth: its number of tokens, then its first `depth` tokens, where a
 token with a digit counts as variable. Lines with one such path share a leaf. In a leaf, a token
-that stands in at least `min_docs` lines at its place is constant; any other is a variable field
-and becomes a wildcard. What is left is the line's template. A template whose constant tokens
-are at least `similar` of its tokens, found in at least `min_docs` documents, is boilerplate:
-its lines are dropped, but for the document with the smallest id, which keeps them.
+behind the path is constant if it fills at least one in `one_in` of the leaf's lines at its place
+(and `min_docs` of them); any other is a variable field and becomes a wildcard. Constancy is a
+share, so a template stays the same however often its lines occur. What is left is the line's
+template. A template with constants in at least `similar` of the places behind the path (a line
+no longer than the path has none to fill), found in at least `min_docs` documents, is
+boilerplate: its lines are dropped, but for the document with the smallest id, which keeps them.
+Lines of `exact_tokens` tokens or more that stand word for word in two documents are dropped in
+the same way, unless that is None.
 
 Leaves of fewer than `min_docs` documents hold no such template, so only the lines of the other
-leaves go on; counts are combined before each shuffle. Tables of leaves and templates are
-broadcast up to a stated number of rows, and joined by shuffles beyond it.
+leaves go on; counts are combined before each shuffle, and a leaf has at most `one_in` constants
+a place. Tables of leaves, constants and templates are broadcast up to a counted number of
+bytes, and joined by shuffles beyond it. Templates and whole lines are compared by 128-bit digests.
 
 Defined results: null and empty texts have no lines and come back as they are; blank lines are
 never dropped, and a text that loses nothing is unchanged; rows that repeat id and text count as
@@ -22,11 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, keyed_columns, stored, table
+from tessera.llm.common import keyed, keyed_columns, scratch_space, stored, table
 
-DEPTH, MIN_DOCS, SIMILAR = 3, 5, 0.5
-#: Rows of (hash, id) up to which a table is broadcast: about 5 MB.
-FEW = 200_000
+DEPTH, MIN_DOCS, SIMILAR, ONE_IN, EXACT_TOKENS = 3, 5, 0.5, 8, 10
+#: Bytes, as counted, up to which a table is broadcast.
+FEW_BYTES = 8 << 20
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 WILD = "<*>"
@@ -49,39 +54,68 @@ def leaf(line: Column, depth: int) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast where a count shows that it is small."""
-    return F.broadcast(df) if df.count() <= FEW else df
+    """Broadcast where a count of its bytes shows that it is small."""
+    sizes = [F.coalesce(F.aggregate(f.name, F.lit(0), lambda n, x: n + F.octet_length(x) + 8), F.lit(0)) if f.dataType.simpleString() == "array<string>" else F.lit(16) for f in df.schema.fields]
+    n = df.agg(F.sum(sum(sizes[1:], sizes[0]) + 32)).head()[0] or 0
+    return F.broadcast(df) if n <= FEW_BYTES else df
 
 
-def dropped_lines(docs: DataFrame, depth: int, min_docs: int, similar: float) -> DataFrame:
-    """(kd, th, gone): the numbers of the lines that each document loses."""
-    parsed = docs.select("kd", "th", tokens(F.col("text")).alias("lines"))
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.encode(text, "utf-8")))
+
+
+def template_lines(parsed: DataFrame, depth: int, min_docs: int, similar: float, one_in: int) -> DataFrame:
+    """(kd, th, i, template, least): lines of templates that stand in enough documents, with the smallest id of those."""
     parsed = parsed.withColumn("leaves", F.transform("lines", lambda line: leaf(line, depth)))
     leaves = parsed.select(F.explode(F.array_distinct("leaves")).alias("leaf")).where("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("n"))
     leaves = stored(leaves.where(F.col("n") >= min_docs).select("leaf"), "leaves")
     lines = parsed.select("kd", "th", F.posexplode(F.arrays_zip("leaves", "lines")).alias("i", "line")).select("kd", "th", "i", F.col("line.leaves").alias("leaf"), F.col("line.lines").alias("line"))
-    # each token behind the path as a hash of its place and itself; null where it is variable
-    behind = F.transform(F.slice("line", depth + 1, F.greatest(F.size("line") - depth, F.lit(0))), lambda t, i: F.when(~t.rlike("[0-9]"), F.xxhash64(i, t)))
-    ahead = F.size(F.filter(F.slice("line", 1, depth), lambda t: ~t.rlike("[0-9]")))
-    held = lines.join(small(leaves), "leaf").select("kd", "th", "i", "leaf", F.size("line").alias("n"), ahead.alias("ahead"), behind.alias("behind"))
-    held = stored(held.withColumn("behind", F.filter("behind", lambda h: h.isNotNull())), "lines")
-    often = held.select("leaf", F.explode("behind").alias("t")).groupBy("leaf", "t").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs)
+    # each token behind the path with its place; none where it is variable
+    behind = F.transform(F.slice("line", depth + 1, F.greatest(F.size("line") - depth, F.lit(0))), lambda t, i: F.when(~t.rlike("[0-9]"), F.concat(i.cast("string"), F.lit(" "), t)))
+    path = F.transform(F.slice("line", 1, depth), masked)
+    held = lines.join(small(leaves), "leaf").select("kd", "th", "i", "leaf", F.size("line").alias("n"), path.alias("path"), F.filter(behind, lambda t: t.isNotNull()).alias("behind"))
+    held = stored(held, "lines")
+    filled = held.groupBy("leaf").agg(F.count("*").alias("lines"))
+    often = held.select("leaf", F.explode("behind").alias("t")).groupBy("leaf", "t").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    often = often.join(filled, "leaf").where(F.col("n") * one_in >= F.col("lines"))
     often = stored(often.groupBy("leaf").agg(F.collect_set("t").alias("often")), "constants")
-    constant = F.array_intersect("behind", F.coalesce("often", F.array().cast("array<long>")))
+    constant = F.array_intersect("behind", F.coalesce("often", F.array().cast("array<string>")))
     found = held.join(small(often), "leaf", "left").withColumn("constant", constant)
-    found = found.where(F.col("ahead") + F.size("constant") >= F.col("n") * similar).where(F.col("ahead") + F.size("constant") > 0)
-    found = stored(found.select("kd", "th", "i", F.xxhash64("leaf", "constant").alias("template")), "templates")
+    filling = F.when(F.col("n") > depth, F.size("constant") >= (F.col("n") - depth) * similar).otherwise(F.exists("path", lambda t: t != WILD))
+    text = F.array_join(F.concat(F.array(F.col("n").cast("string")), "path", "constant"), "\n")
+    found = stored(found.where(filling).select("kd", "th", "i", digest(text).alias("template")), "templates")
     per_doc = found.groupBy("template", "kd", "th").agg(F.lit(1).alias("one"))
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("kd").alias("least")).where(F.col("docs") >= min_docs)
-    recurring = stored(recurring.select("template", "least"), "recurring")
-    gone = found.join(small(recurring), "template").where(F.col("kd") != F.col("least"))
-    return gone.groupBy("kd", "th").agg(F.collect_set("i").alias("gone"))
+    return found.join(small(stored(recurring.select("template", "least"), "recurring")), "template").select("kd", "th", "i", "least")
+
+
+def exact_lines(parsed: DataFrame, exact_tokens: int) -> DataFrame:
+    """(kd, th, i, least): long lines that stand in more than one document."""
+    digests = F.transform("lines", lambda line: F.when(F.size(line) >= exact_tokens, digest(F.array_join(line, " "))))
+    parsed = parsed.select("kd", "th", digests.alias("digests"))
+    key = F.struct("kd", "th")
+    each = parsed.select(key.alias("doc"), F.explode(F.array_distinct("digests")).alias("line")).where("line IS NOT NULL")
+    again = each.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
+    again = stored(again.select("line", F.col("first.kd").alias("least")), "exact-lines")
+    lines = parsed.select("kd", "th", F.posexplode("digests").alias("i", "line")).where("line IS NOT NULL")
+    return lines.join(small(again), "line").select("kd", "th", "i", "least")
+
+
+def dropped_lines(docs: DataFrame, depth: int, min_docs: int, similar: float, one_in: int, exact_tokens: int | None) -> DataFrame:
+    """(kd, th, gone): the numbers of the lines that each document loses."""
+    parsed = docs.select("kd", "th", tokens(F.col("text")).alias("lines"))
+    found = template_lines(parsed, depth, min_docs, similar, one_in)
+    if exact_tokens is not None:
+        found = found.unionByName(exact_lines(parsed, exact_tokens))
+    return found.where(F.col("kd") != F.col("least")).groupBy("kd", "th").agg(F.collect_set("i").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, one_in: int = ONE_IN, exact_tokens: int | None = EXACT_TOKENS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of docs with text replaced, and n_lines, n_dropped in place of any columns of these names."""
-    keys = keyed(docs, id_col, text_col)
-    gone = stored(dropped_lines(keys, depth, min_docs, similar), "dropped-lines")
+    with scratch_space(docs.sparkSession) as keep:
+        gone = keep(stored(dropped_lines(keyed(docs, id_col, text_col), depth, min_docs, similar, one_in, exact_tokens), "dropped-lines"))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*others).withColumns(keyed_columns(id_col, text_col))
     # documents that lose lines grow with the corpus, so the same join is used at every size
@@ -104,18 +138,21 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
-t AS (SELECT r, doc_id, i, list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{WILD}' ELSE x END) AS m FROM l),
+t AS (SELECT r, doc_id, i, w, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{WILD}' ELSE x END) AS m
+      FROM (SELECT r, doc_id, i, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM l)),
 p AS (SELECT r, doc_id, i, m, len(m) AS n, m[1:{DEPTH}] AS path FROM t WHERE len(m) > 0),
-f AS (SELECT n, path FROM p GROUP BY n, path HAVING count(DISTINCT r) >= {MIN_DOCS}),
-c AS (SELECT p.* FROM p JOIN f ON p.n = f.n AND p.path = f.path),
-k AS (SELECT r, doc_id, i, n, path, unnest(m) AS tok, unnest(range(len(m))) AS pos FROM c),
-o AS (SELECT n, path, pos, tok FROM k WHERE tok <> '{WILD}' AND pos >= {DEPTH} GROUP BY n, path, pos, tok HAVING count(*) >= {MIN_DOCS}),
+f AS (SELECT n, path, count(*) AS lines FROM p GROUP BY n, path HAVING count(DISTINCT r) >= {MIN_DOCS}),
+c AS (SELECT p.*, f.lines FROM p JOIN f ON p.n = f.n AND p.path = f.path),
+k AS (SELECT r, doc_id, i, n, path, lines, unnest(m) AS tok, unnest(range(len(m))) AS pos FROM c),
+o AS (SELECT n, path, pos, tok FROM k WHERE tok <> '{WILD}' AND pos >= {DEPTH} GROUP BY n, path, pos, tok HAVING count(*) >= {MIN_DOCS} AND count(*) * {ONE_IN} >= max(lines)),
 g AS (SELECT k.r, k.doc_id, k.i, k.n, k.path, list(CASE WHEN k.pos >= {DEPTH} AND o.tok IS NULL THEN '{WILD}' ELSE k.tok END ORDER BY k.pos) AS template,
-             count(*) FILTER (k.tok <> '{WILD}' AND (k.pos < {DEPTH} OR o.tok IS NOT NULL)) AS constant
+             count(*) FILTER (k.pos >= {DEPTH} AND o.tok IS NOT NULL) AS constant, count(*) FILTER (k.pos < {DEPTH} AND k.tok <> '{WILD}') AS ahead
       FROM k LEFT JOIN o ON k.n = o.n AND k.path = o.path AND k.pos = o.pos AND k.tok = o.tok GROUP BY k.r, k.doc_id, k.i, k.n, k.path),
-h AS (SELECT * FROM g WHERE constant > 0 AND constant >= {SIMILAR} * n),
+h AS (SELECT * FROM g WHERE CASE WHEN n > {DEPTH} THEN constant >= {SIMILAR} * (n - {DEPTH}) ELSE ahead > 0 END),
 w AS (SELECT template, min(doc_id) AS least FROM h GROUP BY template HAVING count(DISTINCT r) >= {MIN_DOCS}),
-x AS (SELECT h.r, h.i FROM h JOIN w ON h.template = w.template WHERE h.doc_id <> w.least),
+e AS (SELECT w, min(doc_id) AS least FROM t WHERE len(w) >= {EXACT_TOKENS} GROUP BY w HAVING count(DISTINCT r) > 1),
+x AS (SELECT h.r, h.i FROM h JOIN w ON h.template = w.template WHERE h.doc_id <> w.least
+      UNION SELECT t.r, t.i FROM t JOIN e ON t.w = e.w WHERE t.doc_id <> e.least),
 y AS (SELECT l.r, count(x.i) AS n_dropped, coalesce(string_agg(CASE WHEN x.i IS NULL THEN line END, chr(10) ORDER BY l.i), '') AS kept,
              count(*) FILTER (regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS n_lines
       FROM l LEFT JOIN x ON l.r = x.r AND l.i = x.i GROUP BY l.r)

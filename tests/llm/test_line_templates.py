@@ -8,33 +8,38 @@ import pytest
 from tessera.llm import line_templates as T
 
 
-def brute(rows, depth=3, min_docs=5, similar=0.5):
+def brute(rows, depth=3, min_docs=5, similar=0.5, one_in=8, exact_tokens=10):
     key = lambda r: (-(1 << 63) if r[0] is None else r[0], r[1])
-    parsed = []
+    parsed, whole = [], defaultdict(list)
     for r in {key(r): r for r in rows}.values():
         for i, line in enumerate((r[1] or "").split("\n")):
-            m = ["<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line)]
+            w = re.findall(r"[^\x20\x09-\x0D]+", line)
+            m = ["<*>" if re.search("[0-9]", t) else t for t in w]
             if m:
                 parsed.append((key(r), i, (len(m), *m[:depth]), m))
+            if exact_tokens and len(w) >= exact_tokens:
+                whole[tuple(w)].append((key(r), i))
     docs = defaultdict(set)
     for k, _, leaf, _ in parsed:
         docs[leaf].add(k)
     parsed = [p for p in parsed if len(docs[p[2]]) >= min_docs]
-    often = defaultdict(int)
+    often, lines = defaultdict(int), defaultdict(int)
     for _, _, leaf, m in parsed:
+        lines[leaf] += 1
         for j, t in enumerate(m):
             often[leaf, j, t] += 1
     found = defaultdict(list)
     for k, i, leaf, m in parsed:
-        t = tuple(x if j < depth or often[leaf, j, x] >= min_docs else "<*>" for j, x in enumerate(m))
-        constant = sum(x != "<*>" for x in t)
-        if constant and constant >= similar * len(m):
+        constant = [j >= depth and x != "<*>" and often[leaf, j, x] >= max(min_docs, lines[leaf] / one_in) for j, x in enumerate(m)]
+        t = tuple(x if j < depth or c else "<*>" for j, (x, c) in enumerate(zip(m, constant)))
+        if sum(constant) >= similar * (len(m) - depth) if len(m) > depth else any(x != "<*>" for x in m):
             found[t].append((k, i))
     gone = set()
-    for hits in found.values():
-        if len({k for k, _ in hits}) >= min_docs:
-            least = min(k[0] for k, _ in hits)
-            gone |= {(k, i) for k, i in hits if k[0] != least}
+    for groups, least_docs in ((found, min_docs), (whole, 2)):
+        for hits in groups.values():
+            if len({k for k, _ in hits}) >= least_docs:
+                least = min(k[0] for k, _ in hits)
+                gone |= {(k, i) for k, i in hits if k[0] != least}
     out = []
     for r in rows:
         lines = (r[1] or "").split("\n")
@@ -54,12 +59,12 @@ def corpus():
         if i % 3 == 0:
             lines.insert(0, "All rights reserved.")
         rows.append((i, "\n".join(lines) + rnd.choice(["", "\n", "\n\n  \n"])))
-    return [*rows, (7, rows[7][1]), (None, rows[9][1]), (100, None), (101, ""), (102, "\n"), (103, "All rights reserved."), (0, "other\nAll rights reserved."), (104, "long line " * 20_000), (105, "All rights reserved.\n" * 500)]
+    return [*rows, (7, rows[7][1]), (None, rows[9][1]), (100, None), (101, ""), (102, "\n"), (103, "All rights reserved."), (0, "other\nAll rights reserved."), (104, "long line " * 20_000), (105, "All rights reserved.\n" * 500), (106, "a line of ten words that stands in two documents in full"), (107, "first\na line of ten words that stands in two documents in full")]
 
 
-@pytest.mark.parametrize("few", [200_000, 0])
+@pytest.mark.parametrize("few", [8 << 20, 0])
 def test_against_direct_parsing(spark, monkeypatch, few):
-    monkeypatch.setattr(T, "FEW", few)
+    monkeypatch.setattr(T, "FEW_BYTES", few)
     rows = corpus()
     docs = spark.createDataFrame([(t, k, "x", 1) for k, t in rows], "text string, doc_id long, leaf string, n_lines int").repartition(3)
     out = T.dedup_lines(docs)
@@ -79,3 +84,27 @@ def test_the_sql(spark):
     want = sorted(con.execute(T.SQL).fetchall())
     found = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in T.op2_line_templates(spark, sf).collect())
     assert found == want and sum(r[2] for r in found) > 0
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_a_template_is_the_same_however_often_it_occurs(spark, times):
+    """Word-valued fields stay variable when the table grows: one document keeps its line."""
+    rnd = random.Random(times)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    names, sections = [word() for _ in range(200)], [word() for _ in range(50)]
+    rows = [(i, f"Article written by {rnd.choice(names)} for {rnd.choice(sections)} desk today") for i in range(300 * times)]
+    out = T.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in out.where("n_dropped = 0").collect()] == [0]
+
+
+def test_lines_that_share_only_their_first_words_stay(spark):
+    rnd = random.Random(6)
+    rows = [(i, "Was erlytion that. " + " ".join("".join(rnd.choices("abcdefghij", k=7)) for _ in range(1 + i % 3))) for i in range(60)]
+    assert T.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_dropped > 0").isEmpty()
+
+
+def test_whole_lines_can_be_left_alone(spark):
+    line = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(i, line) for i in range(4)], "doc_id long, text string")
+    assert T.dedup_lines(docs).where("n_dropped > 0").count() == 3
+    assert T.dedup_lines(docs, exact_tokens=None).where("n_dropped > 0").count() == 0
