@@ -9,38 +9,47 @@ bytes are equally likely. The language whose tree codes a text in the fewest bit
 Frozen trees make the cost a function of (longest known context, byte), so it is tabulated
 once; scoring a text is then a lookup for every byte of it, in numpy, with no loop over bytes.
 
-Fitting takes a bounded sample of labelled rows: at most `per_label` rows of each label, those
-with the smallest hash of id and text, and of each row at most `sample_bytes` bytes, taken at
-its start. Texts that are scored are scored whole. Every label of the rows is learned. Labels are
-fitted in tasks by groups of `GROUP` and scored in passes over these groups, so that a worker
-holds the tables of one group however many labels there are.
-
-Defined results: `und` with score 0 if the text is null, has no letter, or nothing was learned;
-ties go to the label that sorts first. The score is the share of the winner among the languages'
-probabilities per byte, and `bits` the winner's bits a byte.
+Fitting takes a bounded sample of labelled rows: at most `per_label` distinct texts of each label,
+those with the smallest hashes, whole. Hashes are ranked before any text is moved, and texts that
+repeat count once, so the sample is bounded whatever the rows are. Every label of the rows is
+learned. Labels are fitted in tasks by groups of `GROUP`, each with the same number of contexts,
+and scored in passes over these groups, so that a worker holds the tables of one group however
+many labels there are; counts of all groups are sent to the workers, packed (some megabytes each).
+
+Defined results: `und` with score 0 if the text is null, has no letter, or nothing was learned; a
+label `und` of the rows is learned like any other; ties go to the label that sorts first. The score
+is the share of the winner among the languages' probabilities per byte, and `bits` the winner's
+bits a byte. Repeated rows each get their row; a text is scored whole whatever its length.
 """
 
 from __future__ import annotations
 
 import pickle
-from functools import cached_property
+import zlib
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, stored, table
+from tessera.llm.common import scratch_space, slices, stored, table
 from tessera.llm.hashing import raw
 
 ORDER = 3
 UND = "und"
-PER_LABEL, SAMPLE_BYTES = 400, 4096
+#: Texts of each label that are learned.
+PER_LABEL = 300
 #: Labels whose tables are held at once.
 GROUP = 4
-#: Rows of 256 costs in the tables of a full group; rarer contexts are left out beyond it.
-MOST_ROWS = 60_000
+#: Contexts in the tables of a group; rarer ones are left out beyond it.
+CONTEXTS = 15_000
+#: Sampled texts up to which the table of their hashes is broadcast: some 30 MB.
+FEW_SAMPLED = 1_000_000
+#: Bytes of sampled texts that are counted at once.
+COUNT_BYTES = 1 << 22
 #: Bytes of text that go through all groups before the next ones, where there is more than one.
 PASS_BYTES = 1 << 25
 
@@ -68,7 +77,7 @@ class ContextTrees:
     are made from the counts when they are first used, so that counts alone are sent around.
     """
 
-    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, most_rows: int = MOST_ROWS):
+    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, most: int = CONTEXTS):
         self.order, self.labels = order, sorted(samples)
         counted = [self._counts(samples[k], order) for k in self.labels]
         known, often = [], []
@@ -83,7 +92,6 @@ class ContextTrees:
             known.append(found)
             often.append(share)
         # a context is at most as frequent as its suffixes, so a frequency bound keeps suffixes of what it keeps
-        most = max(1, most_rows // max(1, len(samples)))
         total = np.sort(np.concatenate(often or [np.zeros(0)]))[::-1]
         least = 0 if len(total) <= most else total[most]
         self.known = [k[(n > least) | (o == 0)] for o, (k, n) in enumerate(zip(known, often))] or [np.zeros(0, np.uint32)] * (order + 1)
@@ -113,14 +121,26 @@ class ContextTrees:
     @staticmethod
     def _counts(texts: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each order (contexts, bytes, counts), the pairs sorted."""
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        full = contexts(data, offsets, order)
+        chunks: list[list[bytes]] = [[]]
+        for text in texts:
+            if chunks[-1] and sum(map(len, chunks[-1])) + len(text) > COUNT_BYTES:
+                chunks.append([])
+            chunks[-1].append(text)
+        pairs: list[list[np.ndarray]] = [[] for _ in range(order + 1)]
+        times: list[list[np.ndarray]] = [[] for _ in range(order + 1)]
+        for chunk in chunks:
+            data = np.frombuffer(b"".join(chunk), np.uint8)
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in chunk])]).astype(np.int64)
+            full = contexts(data, offsets, order)
+            for o in range(order + 1):
+                found, n = np.unique((full & np.uint32((1 << 8 * o) - 1)).astype(np.uint64) << np.uint64(8) | data, return_counts=True)
+                pairs[o].append(found)
+                times[o].append(n)
         out = []
         for o in range(order + 1):
-            pairs = (full & np.uint32((1 << 8 * o) - 1)).astype(np.uint64) << np.uint64(8) | data
-            found, times = np.unique(pairs, return_counts=True)
-            out.append(((found >> np.uint64(8)).astype(np.uint32), (found & np.uint64(255)).astype(np.uint8), times.astype(np.int32)))
+            found, at = np.unique(np.concatenate(pairs[o]), return_inverse=True)
+            n = np.bincount(at, np.concatenate(times[o]), len(found))
+            out.append(((found >> np.uint64(8)).astype(np.uint32), (found & np.uint64(255)).astype(np.uint8), n.astype(np.int64)))
         return out
 
     @staticmethod
@@ -162,39 +182,49 @@ class ContextTrees:
         return out
 
 
-def fit(rows: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_label: int = PER_LABEL, sample_bytes: int = SAMPLE_BYTES) -> list[Broadcast]:
-    """Trees of each group of labels, in the order of labels, from a bounded sample: GROUP * per_label * sample_bytes bytes a group, give or take."""
-    spark = rows.sparkSession
+def sampled(rows: DataFrame, label_col: str, text_col: str, per_label: int) -> DataFrame:
+    """(label, h, text): of each label the distinct texts with the smallest hashes.
+
+    The first rows by rank are found in each task before they are shuffled, so a label with any
+    number of rows sends a few hashes, and its texts are joined afterwards.
+    """
     label = F.col(label_col).cast("string")
-    labelled = rows.where(label.isNotNull() & F.col(text_col).isNotNull() & (label != UND)).select(label.alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    counts = sorted(tuple(r) for r in labelled.groupBy("label").count().collect())
-    if not counts:
-        return []
-    most_rows = MOST_ROWS // min(GROUP, len(counts))
-    # a share of the hash range that holds about half as many rows again as are wanted
-    shares = spark.createDataFrame([(k, i // GROUP, min(1.0, (1.5 * per_label + 20) / n)) for i, (k, n) in enumerate(counts)], "label string, group int, share double")
-    chosen = labelled.join(F.broadcast(shares), "label").where(F.shiftrightunsigned("h", 11) < F.col("share") * float(1 << 53))
+    labelled = rows.where(label.isNotNull() & F.col(text_col).isNotNull()).select(label.alias("label"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    distinct = labelled.groupBy("label", "h").agg(F.lit(1).alias("one"))
+    place = F.row_number().over(W.partitionBy("label").orderBy("h"))
+    chosen = distinct.withColumn("place", place).where(F.col("place") <= per_label).select("label", "h")
+    chosen = stored(chosen, "sample")
+    chosen = F.broadcast(chosen) if chosen.count() <= FEW_SAMPLED else chosen
+    return labelled.join(chosen, ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
+
+
+def fit(rows: DataFrame, label_col: str = "lang", text_col: str = "text", per_label: int = PER_LABEL) -> list[Broadcast]:
+    """Packed trees of each group of labels, in the order of labels, from a bounded sample of rows."""
+    spark = rows.sparkSession
 
     def learn(key, sample):
         samples: dict[str, list[bytes]] = {}
-        for name, _, body in sorted(zip(*(sample[c].to_pylist() for c in ("label", "h", "body")))):
-            if len(samples.setdefault(name, [])) < per_label:
-                samples[name].append(body[:sample_bytes])
-        trees = ContextTrees(samples, most_rows=most_rows * len(samples))
-        return pa.table({"group": pa.array([key[0].as_py()], pa.int32()), "trees": pa.array([pickle.dumps(trees)], pa.binary())})
-
-    taken = chosen.select("group", "label", "h", F.encode(F.substring("text", 1, sample_bytes), "utf-8").alias("body"))
-    learned = stored(taken.groupBy("group").applyInArrow(learn, "group int, trees binary"), "context-trees")
-    groups = {r.group: spark.sparkContext.broadcast(pickle.loads(r.trees)) for r in learned.toLocalIterator()}
+        for name, _, text in sorted(zip(*(sample[c].to_pylist() for c in ("label", "h", "text")))):
+            samples.setdefault(name, []).append(text.encode("utf-8", "surrogatepass"))
+        body = zlib.compress(pickle.dumps(ContextTrees(samples)), 1)
+        return pa.table({"group": pa.array([key[0].as_py()], pa.int32()), "trees": pa.array([body], pa.binary())})
+
+    with scratch_space(spark):
+        sample = stored(sampled(rows, label_col, text_col, per_label), "sampled-texts")
+        labels = sorted(r.label for r in sample.select("label").distinct().toLocalIterator())
+        if not labels:
+            return []
+        of = spark.createDataFrame([(k, i // GROUP) for i, k in enumerate(labels)], "label string, group int")
+        learned = stored(sample.join(of, "label").groupBy("group").applyInArrow(learn, "group int, trees binary"), "context-trees")
+        groups = {r.group: spark.sparkContext.broadcast(bytes(r.trees)) for r in learned.toLocalIterator()}
     return [groups[g] for g in sorted(groups)]
 
 
-def released(model: Broadcast) -> ContextTrees:
-    """The trees of a broadcast, which reads them again the next time."""
-    trees = model.value
-    if getattr(model, "_path", None):
-        vars(model).pop("_value", None)
-    return trees
+@lru_cache(maxsize=1)
+def unpacked(body: bytes) -> tuple[ContextTrees, np.ndarray]:
+    """Trees and their lookup table; a worker holds the last ones."""
+    trees = pickle.loads(zlib.decompress(body))
+    return trees, trees.lookup()
 
 
 def has_letter(text: Column) -> Column:
@@ -213,8 +243,7 @@ def identify(docs: DataFrame, models: list[Broadcast], text_col: str = "text") -
         n = [part.num_rows for part in parts]
         names, least, total = [np.full(k, UND, object) for k in n], [np.full(k, np.inf) for k in n], [np.zeros(k) for k in n]
         for model in models:
-            trees = model.value if len(models) == 1 else released(model)
-            lookup = trees.lookup() if len(models) > 1 else looked_up(trees)
+            trees, lookup = unpacked(model.value)
             for i, part in enumerate(parts):
                 data, offsets = raw(part.column(place))
                 per_byte = trees.bits(data, offsets, lookup) / np.maximum(1, np.diff(offsets))[:, None]
@@ -231,11 +260,6 @@ def identify(docs: DataFrame, models: list[Broadcast], text_col: str = "text") -
             out = [pa.array(np.where(letter, names[i], UND), pa.string()), pa.array(np.where(letter, share, 0.0)), pa.array(np.where(letter, least[i], 0.0))]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in range(len(columns))] + out, columns + ["lang_pred", "score", "bits"])
 
-    def looked_up(trees):
-        if not hasattr(trees, "_lookup"):
-            trees._lookup = trees.lookup()
-        return trees._lookup
-
     def predict(batches):
         wanted = PASS_BYTES if len(models) > 1 else 0
         parts, held = [], 0

@@ -70,7 +70,7 @@ def test_code_lengths():
 
 
 def test_probabilities_sum_to_one():
-    trees = P.ContextTrees({"a": [b"abracadabra" * 3], "b": [b"the cat sat"]}, 3, most_rows=40)
+    trees = P.ContextTrees({"a": [b"abracadabra" * 3], "b": [b"the cat sat"]}, 3, most=20)
     assert np.allclose(np.exp2(-trees.costs.astype(float)).sum(2), 1, atol=1e-4)
     assert trees.costs.shape[0] * trees.costs.shape[1] <= 42
 
@@ -107,7 +107,7 @@ def test_every_label_is_learned(spark):
     asked = [(10_000 + i, text(k), k) for i, k in enumerate(labels)]
     models = P.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
     out = P.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string").repartition(2), models).collect()
-    assert [k for m in models for k in m.value.labels] == labels
+    assert [k for m in models for k in P.unpacked(m.value)[0].labels] == labels
     assert {r.lang_pred for r in out} == set(labels) and all(r.lang_pred == r.lang for r in out)
     assert all(0 < r.score <= 1 for r in out)
 
@@ -115,5 +115,90 @@ def test_every_label_is_learned(spark):
 def test_a_label_with_few_bytes_keeps_contexts():
     rnd = random.Random(3)
     much = [bytes(rnd.choices(b"abcdefgh", k=4000)) for _ in range(5)]
-    few = P.ContextTrees({"few": [b"xyzxyzxyzxyz"], "much": much}, 3, most_rows=200)
+    few = P.ContextTrees({"few": [b"xyzxyzxyzxyz"], "much": much}, 3, most=100)
     assert int.from_bytes(b"xyz", "big") in few.known[3].tolist()
+
+
+def counted(train, order):
+    trees = {}
+    for t in train:
+        t0 = b"\0" * order + t
+        for i in range(order, len(t0)):
+            for o in range(order + 1):
+                c = trees.setdefault((o, t0[i - o : i]), {})
+                c[t0[i]] = c.get(t0[i], 0) + 1
+    return trees
+
+
+def quick_bits(model, text, order):
+    """The same code length with the distribution of each context kept."""
+    trees, known = model
+
+    def of(context):
+        if context not in known:
+            up = of(context[1:]) if context else [1 / 256] * 256
+            c = trees.get((len(context), context))
+            if c:
+                n, d = sum(c.values()), len(c)
+                rest = sum(p for b, p in enumerate(up) if b not in c)
+                up = [c[b] / (n + d) if b in c else p * d / (n + d) / rest for b, p in enumerate(up)]
+            known[context] = up
+        return known[context]
+
+    t0 = b"\0" * order + text
+    return -sum(math.log2(of(t0[i - order : i])[t0[i]]) for i in range(order, len(t0)))
+
+
+def test_predictions_against_brute_force(spark):
+    """The query's predictions and scores, by walking down the contexts of every byte of every text."""
+    rnd = random.Random(11)
+    letters = {"xx": "abcde ", "yy": "bcdef ", "zz": "cdefg é", "und": "xyz "}
+    rows = [(i, "".join(rnd.choices(letters[k], k=rnd.randint(1, 60))), k if rnd.random() < 0.8 else None) for i, k in enumerate(rnd.choices(sorted(letters), k=60))]
+    rows += [(100, None, "xx"), (101, "123", "yy"), (102, "", "zz"), (103, rows[0][1], rows[0][2]), (None, "abc cab", None), (104, "a" * 500, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = {}
+    for key, text, label in rows:
+        if label and text is not None and zlib.crc32(str("" if key is None else key).encode()) % 5:
+            train.setdefault(label, set()).add(text)
+    labels = sorted(train)
+    trees = {k: (counted([t.encode() for t in train[k]], P.ORDER), {}) for k in labels}
+    want = []
+    for key, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            want.append((key, "und", 0.0))
+            continue
+        per_byte = [quick_bits(trees[k], text.encode(), P.ORDER) / len(text.encode()) for k in labels]
+        best = min(range(len(labels)), key=lambda i: per_byte[i])
+        want.append((key, labels[best], 1 / sum(2 ** (per_byte[best] - x) for x in per_byte)))
+    out = P.identify(docs.repartition(3), P.fit(docs.where(~P.held_out()))).collect()
+    for (key, label, score), r in zip(sorted(want, key=str), sorted(out, key=lambda r: str((r.doc_id, r.lang_pred, r.score)))):
+        assert (r.doc_id, r.lang_pred) == (key, label) and math.isclose(r.score, score, rel_tol=1e-3, abs_tol=1e-9)
+
+
+def test_repeated_rows_and_whole_texts(spark):
+    """A label of repeated rows is learned beside a larger one, and what stands at the end of a long text counts."""
+    rows = [(i, "only one text of this label", "y") for i in range(3000)] + [(i, "quite another one", "x") for i in range(3000, 3300)]
+    rows += [(4000, "aa bb " * 3000 + "qq ww " * 3000, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert P.sampled(docs, "lang", "text", 2).count() == 3
+    asked = spark.createDataFrame([(1, "one text of this label"), (2, "quite another"), (3, "qq ww qq")], "doc_id long, text string")
+    out = {r.doc_id: r.lang_pred for r in P.identify(asked, P.fit(docs)).collect()}
+    assert out == {1: "y", 2: "x", 3: "z"}
+
+
+def test_the_sample_is_cut_before_it_is_shuffled(spark):
+    rows = [(i, f"text {i}", "x" if i % 3 else "y") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {(r.label, r.text) for r in P.sampled(docs, "lang", "text", 20).collect()}
+    h = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    want = {(k, t) for k in "xy" for t in sorted((t for _, t, x in rows if x == k), key=h.get)[:20]}
+    assert found == want
+
+
+def test_texts_are_counted_in_chunks(monkeypatch):
+    rnd = random.Random(4)
+    texts = [bytes(rnd.choices(b"abc ", k=50)) for _ in range(9)]
+    whole = P.ContextTrees._counts(texts, 2)
+    monkeypatch.setattr(P, "COUNT_BYTES", 120)
+    for a, b in zip(whole, P.ContextTrees._counts(texts, 2)):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
