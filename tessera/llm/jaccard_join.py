@@ -369,8 +369,9 @@ def verified(nodes: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
     held = nodes.select("node", "kd", "th", "n_bytes", "copies").join(roots, "node")
     weight = held.groupBy("root").agg(F.ceil(F.sum(F.col("n_bytes") + 512) / BLOCK_BYTES).cast("int").alias("blocks"), F.count("*").alias("members"))
     held = stored(held.join(weight, "root").drop("n_bytes"), "held")
-    # copies of one set may have different texts and equal keys; any one of them has the node's set
-    texts = keyed(docs).select("kd", "th", "text").join(held, ["kd", "th"]).dropDuplicates(["node"])
+    # copies of one set may have different texts and equal keys; any one of them has the node's set.
+    # Candidates grow with the corpus, so the same join is used at every size.
+    texts = keyed(docs).select("kd", "th", "text").join(held.hint("merge"), ["kd", "th"]).dropDuplicates(["node"])
 
     def check(key, rows):
         hashes, first = grams(*raw(rows["text"]), n)
