@@ -105,6 +105,17 @@ def remove_stored(df: DataFrame) -> None:
     remove(df.sparkSession, df._stored_at)
 
 
+#: Numbers that one row holds while rows are written out again.
+RUN = 4096
+
+
+def numbered_copies(df: DataFrame, n: str, out: str) -> DataFrame:
+    """Each row n times, numbered from 0; in two steps, so that no row holds many numbers. The column n stays."""
+    steps = df.where(F.col(n) > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(RUN).cast("long"))).alias("__begin"))
+    stop = F.least(F.col(n), F.col("__begin") + RUN) - 1
+    return steps.select(*df.columns, F.explode(F.sequence("__begin", stop)).alias(out))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path with the file system that holds it."""
     jvm = spark.sparkContext._jvm

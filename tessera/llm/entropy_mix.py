@@ -29,12 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed_columns, scratch_space, stored, table
+from tessera.llm.common import keyed_columns, numbered_copies, scratch_space, stored, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 ROUNDS, TOLERANCE, BINS = 60, 1e-9, 4096
-#: Numbers that one row holds while repeated rows are written out.
-RUN = 4096
 #: Sources up to which their table is broadcast (under a megabyte), and salts beyond.
 FEW_SOURCES, SALTS = 10_000, 32
 
@@ -44,17 +42,14 @@ WORDS = "[^\\x20\\x09-\\x0D]+"
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, kd, th, source, size, u, nth): the row's key, a number in [0, 1) and which of its repetitions it is.
 
-    Equal rows are counted and written out again, a row for each; long runs in two steps, so that
-    no row holds more than `RUN` numbers.
+    Equal rows are counted and written out again, a row for each.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
     own = keyed_columns(id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), own["__kd"].alias("kd"), own["__th"].alias("th"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
     each = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
     u = F.shiftrightunsigned(F.xxhash64("kd", "th"), 11) / float(1 << 53)
-    steps = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN))).alias("begin"))
-    stop = F.least(F.col("n"), F.col("begin") + RUN) - 1
-    spread = steps.select("*", F.explode(F.sequence("begin", stop)).alias("nth"))
+    spread = numbered_copies(each, "n", "nth")
     return spread.select(*rows.columns, F.pmod(u + F.col("nth") / F.col("n"), F.lit(1.0)).alias("u"), "nth")
 
 

@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import scratch_space, stored, table
 
 
 class Rule(NamedTuple):
@@ -136,7 +136,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = RATI
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     rule, decided = decide(F.col("host"), F.col("path"), rules)
     judged = rows.withColumns({"rule": rule, "decided": decided})
-    blocked = hosts(judged, ratio).where("blocked").select("host", F.lit("block").alias("spread"))
+    with scratch_space(pages.sparkSession) as keep:
+        blocked = keep(stored(hosts(judged, ratio).where("blocked").select("host", F.lit("block").alias("spread")), "blocked-hosts"))
     out = judged.drop("html").join(blocked, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("decided", "spread", F.lit("allow")).alias("verdict"))
 

@@ -7,7 +7,8 @@ value a row. `packets` parses any binary column of Matroska files into a packet
 Defined results: a null text is stored as an empty one, an empty one as 64 zero bytes;
 equal texts give equal files; a null or damaged file yields no packets, and `read_back`
 raises on it, since it only reads what `store` wrote. Texts of any length are held whole
-in one row, and no rows meet, so repeated rows and skew have no effect.
+in one row, and no rows meet, so repeated rows and skew have no effect. Rows go through a task
+in slices of about `CHUNK_BYTES`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import slices, table
 
 #: Element ids of the format (fixed values).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -33,6 +34,8 @@ TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, FLAG_LACING = 0xAE,
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
+LEVEL_ONE = frozenset({INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS})
 MASTERS = frozenset({EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS})
 
 #: 8,000 samples a second, so that a frame of 512 samples lasts 64 milliseconds.
@@ -128,19 +131,34 @@ def _vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int, int]:
 def elements(data: bytes, start: int, end: int) -> Iterator[tuple[int, int, int]]:
     """(id, first byte, end) of the elements in a range, masters before what they hold.
 
-    A master of unknown size reaches to the end of its parent, which gives its clusters
-    as nested ranges; ids still tell them apart.
+    A segment or cluster of unknown size, as streams have them, is given with the end of its
+    parent; what it holds ends where the next element of the segment's level begins.
     """
-    while start < end:
+    opened = [(end, 0, False)]  # end, id and unknown size of each master that is open
+    while True:
+        while len(opened) > 1 and start >= opened[-1][0]:
+            opened.pop()
+        if start >= opened[-1][0]:
+            return
         kind, at = _vint(data, start, keep_marker=True)
         n, at = _vint(data, at)
-        stop = end if n < 0 else at + n
-        if stop > end:
+        if kind in LEVEL_ONE:
+            while opened[-1][2] and opened[-1][1] != SEGMENT:
+                opened.pop()
+        elif kind in (EBML, SEGMENT):
+            while opened[-1][2]:
+                opened.pop()
+        if n < 0 and kind not in MASTERS:
+            raise ValueError("an element that holds data has no size")
+        stop = opened[-1][0] if n < 0 else at + n
+        if stop > opened[-1][0]:
             raise ValueError("an element reaches beyond its parent")
         yield kind, at, stop
         if kind in MASTERS:
-            yield from elements(data, at, stop)
-        start = stop
+            opened.append((stop, kind, n < 0))
+            start = at
+        else:
+            start = stop
 
 
 def _laces(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
@@ -211,12 +229,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def write(batches):
         for batch in batches:
-            texts = batch.column(1)
-            for start in range(0, batch.num_rows, 512):
-                part = texts.slice(start, 512).to_pylist()
-                media = [mux(payload(t)) for t in part]
+            for part in slices(batch):
+                texts = part.column(1).to_pylist()
+                media = [mux(payload(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, 512), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in part], pa.int64()), pa.array(media, pa.binary())],
+                    [part.column(0), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(media, pa.binary())],
                     ["doc_id", "n_bytes", "media"],
                 )
 
@@ -268,15 +285,15 @@ def read_back(files: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
+            for part in slices(batch, "media"):
                 rows = []
-                for data in batch.column(2).slice(start, 512).to_pylist():
+                for data in part.column(2).to_pylist():
                     found, codecs, cues, clusters = demux(data)
                     body = b"".join(data[p.start : p.start + p.size] for p in found)
                     rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), _feature(data, body, found, codecs, cues, clusters)))
                 sizes, shas, tails, lengths, digests, features = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, 512), batch.column(1).slice(start, 512), pa.array(sizes, pa.int64()), pa.array(shas), pa.array(tails, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests), pa.array(features)],
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(shas), pa.array(tails, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests), pa.array(features)],
                     ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from tessera.llm import common
 from tessera.llm import entropy_mix as E
 
 
@@ -76,7 +77,7 @@ def test_edge_cases(spark, monkeypatch, few):
 
 @pytest.mark.parametrize("run", [7, 4096])
 def test_repeated_rows_reach_the_target(spark, monkeypatch, run):
-    monkeypatch.setattr(E, "RUN", run)
+    monkeypatch.setattr(common, "RUN", run)
     rows = [(1, "a", "w x y z")] * 2000 + [(i, "b", "p q") for i in range(2, 502)] + [(1, "b", "w x y z")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
     out = E.mix(docs).collect()

@@ -86,7 +86,7 @@ def test_a_real_table(spark):
 def test_scores_settle_along_a_chain(spark):
     n = 30
     edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(n - 1)] + [("h3", "h1", 2), ("h9", "h20", 1)]
-    flow = L.flows(spark.createDataFrame(edges, "source string, target string, n long")).localCheckpoint()
+    flow = L.stored(L.flows(spark.createDataFrame(edges, "source string, target string, n long")), "t")
     start = spark.createDataFrame([("trust", "h0", 1.0), ("distrust", f"h{n - 1}", 0.5), ("distrust", "h5", 0.5)], "kind string, host string, seed double")
     found = {(r.kind, r.host): r.score for r in L.propagate(start, flow).collect()}
     a = np.zeros((n, n))

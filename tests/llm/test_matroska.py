@@ -51,3 +51,20 @@ def test_unknown_sizes():
     data = M._element(M.EBML, b"") + M.SEGMENT.to_bytes(4, "big") + b"\xff" + M._element(M.TRACKS, b"") + body
     packets, _, _, clusters = M.demux(data)
     assert clusters == 1 and packets[0].timestamp == 7 and data[packets[0].start :][: packets[0].size] == b"data"
+
+
+def test_streamed_files_of_many_clusters(spark):
+    """Segment and clusters of unknown size: each cluster ends where the next one begins."""
+    unknown = lambda kind, body: kind.to_bytes((kind.bit_length() + 7) // 8, "big") + b"\xff" + body
+    n = 5000
+    cluster = lambda i: unknown(M.CLUSTER, M._number(M.TIMESTAMP, i) + M._element(M.SIMPLE_BLOCK, b"\x81\0\x01\x80" + i.to_bytes(4, "big")))
+    data = M._element(M.EBML, b"") + unknown(M.SEGMENT, M._element(M.TRACKS, b"") + b"".join(map(cluster, range(n))) + M._element(M.CUES, b""))
+    rows = sorted(M.packets(spark.createDataFrame([(1, data)], "doc_id long, media binary")).collect(), key=lambda r: r.packet)
+    assert [(r.cluster, r.timestamp, data[r.start : r.start + r.size]) for r in rows] == [(i, i + 1, i.to_bytes(4, "big")) for i in range(n)]
+
+
+def test_slices_of_few_bytes():
+    from tessera.llm.common import slices
+
+    batch = M.pa.RecordBatch.from_pydict({"id": list(range(6)), "media": [b"x" * n for n in (10, 60, 40, 500, 0, 1)]})
+    assert [p.column(0).to_pylist() for p in slices(batch, "media", 100)] == [[0, 1], [2], [3], [4, 5]]

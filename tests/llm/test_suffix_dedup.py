@@ -118,6 +118,14 @@ def test_bytes_that_polynomials_cannot_tell_apart(spark):
             assert sorted(found, key=str) == want
 
 
-def test_windows_are_told_apart_in_groups(spark, monkeypatch):
-    monkeypatch.setattr(S, "MOST_WINDOWS", 300)
-    test_hot_hashes_against_direct_search(spark, 0)
+@pytest.mark.parametrize("most", [30, 1 << 20])
+def test_windows_are_told_apart_in_groups(monkeypatch, most):
+    monkeypatch.setattr(S, "MOST_WINDOWS", most)
+    rows = corpus()
+    shared = S.Shared(S.pa.table({"doc_id": S.pa.array([k for k, _ in rows], S.pa.int64()), "text": [t for _, t in rows]}), 50, 20)
+    (data, offsets, starts, counts) = shared.batches[0]
+    at = S.ranges(starts, counts)
+    key, number, sample = shared.windows(np.zeros(len(at), np.int64), at)
+    each = [data[i : i + 50].tobytes() for i in at]
+    assert len(sample) == len(set(each)) and [each[sample[n]] for n in number] == each
+    assert len(set(zip(each, key.tolist()))) == len(set(each))
