@@ -18,8 +18,12 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, values: list[
     packed = F.struct(F.col(on), *[F.col(v) for v in values])
     right_rows = right.where(F.col(by).isNotNull() & F.col(on).isNotNull()).groupBy(by, on).agg(F.max(packed).alias("__r"))
     rows = left.withColumn("__r", F.lit(None).cast(right_rows.schema["__r"].dataType)).withColumn("__left", F.lit(True))
+    # rows that can match nothing are dealt over all tasks instead of meeting in one
+    spread = F.when(F.col(by).isNull() | F.col(on).isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("__alone", spread)
+    right_rows = right_rows.withColumn("__alone", F.lit(None).cast("long"))
     both = rows.unionByName(right_rows.withColumn("__left", F.lit(False)), allowMissingColumns=True)
-    order = W.partitionBy(by).orderBy(F.col(on).asc_nulls_first(), "__left").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy(by, "__alone").orderBy(F.col(on).asc_nulls_first(), "__left").rowsBetween(W.unboundedPreceding, W.currentRow)
     found = both.withColumn("__last", F.last("__r", ignorenulls=True).over(order)).where("__left")
     known = F.col(by).isNotNull() & F.col(on).isNotNull()
     return found.select(*left.columns, *[F.when(known, F.col("__last")[v]).alias(prefix + v) for v in [on, *values]])

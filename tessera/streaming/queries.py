@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
 from tessera.sources.files import read_table, stream
-from tessera.streaming.windows import drain, first_seen, tumbling_counts
+from tessera.streaming.windows import closed_sessions, drain, first_seen, milestones, tumbling_counts
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder that driver and executors share; a temporary one only in local mode where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
@@ -41,3 +45,18 @@ def stream_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, lambda rows: first_seen(rows).select("event_id", "user_id", "event_type"))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS events FROM s GROUP BY user_id, n HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that the watermark has closed."""
+    return streamed(spark, sf_dir, closed_sessions).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, unnest(range(20, n + 1, 20)) AS milestone FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def stream_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed(spark, sf_dir, lambda rows: milestones(rows, 20))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -20,6 +22,30 @@ def first_seen(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return timed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else timed.dropDuplicates(["event_id"])
 
 
+def closed_sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """(user_id, start, events): runs of a user's events with at most the gap between neighbours."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if events.isStreaming else timed
+    grouped = timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
+    return grouped.select("user_id", F.col("w.start").alias("start"), "events")
+
+
+def milestones(events: DataFrame, every: int) -> DataFrame:
+    """(user_id, milestone): a row whenever a user's events so far pass a multiple of `every`.
+
+    The state of a user is one number, so it is the same however the stream is cut into batches.
+    """
+
+    def passed(key, frames, state):
+        before = state.get[0] if state.exists else 0
+        now = before + sum(len(f) for f in frames)
+        state.update((now,))
+        found = list(range(before - before % every + every, now + 1, every))
+        yield pd.DataFrame({"user_id": [key[0]] * len(found), "milestone": found}).astype("int64")
+
+    return events.groupBy("user_id").applyInPandasWithState(passed, "user_id long, milestone long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def drain(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends what is final to Parquet files until the input is used up; a rerun goes on where it stopped."""
     query = result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
