@@ -44,6 +44,9 @@ RULES = (
 DAMPING, TOLERANCE, RATIO = 0.85, 1e-6, 1.0
 #: A round is one link; scores that have not settled by then are an error.
 ROUNDS = 1000
+#: Targets from which a host's links are dealt over salts, and hosts of that kind up to which
+#: they are broadcast (some megabytes; there are at most links / HUB of them).
+HUB, SALTS, FEW_HUBS = 100_000, 64, 50_000
 #: Rounds between two writes of the scores, which cut the lineage.
 WRITE_EVERY = 4
 
@@ -83,12 +86,18 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def flows(edges: DataFrame) -> DataFrame:
-    """(kind, source, target, share): trust follows links, distrust goes against them."""
+    """(kind, source, target, share, salt, salts): trust follows links, distrust goes against them.
+
+    The links of a host with very many targets are dealt over `SALTS` salts.
+    """
     both = edges.select(F.lit("trust").alias("kind"), "source", "target", "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "n")
     )
-    total = both.groupBy("kind", "source").agg(F.sum("n").alias("total"))
-    return both.join(total, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("total")).alias("share"))
+    # written, so that the join is between plain shuffles, which can be split
+    total = stored(both.groupBy("kind", "source").agg(F.sum("n").alias("total"), F.count("*").alias("targets")), "out-links")
+    salts = F.when(F.col("targets") > HUB, SALTS).otherwise(1)
+    shares = both.join(total, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("total")).alias("share"), salts.alias("salts"))
+    return shares.withColumn("salt", F.pmod(F.xxhash64("target"), F.col("salts")).cast("int"))
 
 
 def seeds(judged: DataFrame) -> DataFrame:
@@ -105,10 +114,22 @@ def propagate(start: DataFrame, flow: DataFrame, damping: float = DAMPING, round
 
     So hosts that are still being reached, or whose scores are small, count as moving too.
     """
+    hubs = stored(flow.where("salts > 1").groupBy("kind", "source").agg(F.max("salts").alias("__salts")), "hubs")
+    n_hubs = hubs.count()
+    near = F.broadcast(hubs) if n_hubs <= FEW_HUBS else hubs
+
+    def sent(scores: DataFrame) -> DataFrame:
+        """The scores of sources, those of hubs once for each salt."""
+        out = scores.withColumnRenamed("host", "source")
+        if not n_hubs:
+            return out.withColumn("salt", F.lit(0))
+        out = out.join(near, ["kind", "source"], "left")
+        return out.select("kind", "source", "score", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)).alias("salt"))
+
     restart = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("gain"))
     scores = written = start.select("kind", "host", F.col("seed").alias("score"))
     for i in range(rounds):
-        moved = scores.withColumnRenamed("host", "source").join(flow, ["kind", "source"]).select("kind", F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("gain"))
+        moved = sent(scores).join(flow, ["kind", "source", "salt"]).select("kind", F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("gain"))
         scores = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("gain").alias("score"))
         if (i + 1) % WRITE_EVERY == 0 or i + 1 == rounds:
             scores = stored(scores, "scores")

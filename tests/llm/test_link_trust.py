@@ -83,7 +83,9 @@ def test_a_real_table(spark):
     assert sorted((tuple(r) for r in L.judge(pages).collect()), key=str) == brute([tuple(r) for r in pages.collect()])
 
 
-def test_scores_settle_along_a_chain(spark):
+@pytest.mark.parametrize("hub", [100_000, 1])
+def test_scores_settle_along_a_chain(spark, monkeypatch, hub):
+    monkeypatch.setattr(L, "HUB", hub)
     n = 30
     edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(n - 1)] + [("h3", "h1", 2), ("h9", "h20", 1)]
     flow = L.stored(L.flows(spark.createDataFrame(edges, "source string, target string, n long")), "t")
