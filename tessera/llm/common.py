@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -57,8 +58,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-#: The folders written since a `scratch_space` was opened, innermost last.
-_spaces: list[list[str]] = []
+_of_thread = threading.local()
+
+
+def _spaces() -> list[list[str]]:
+    """The folders written since each `scratch_space` of this thread was opened, innermost last."""
+    return vars(_of_thread).setdefault("spaces", [])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -66,8 +71,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if _spaces:
-        _spaces[-1].append(path)
+    if _spaces():
+        _spaces()[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -81,7 +86,7 @@ def scratch_space(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
     outermost ones stay for as long as the caller wants to read the result.
     """
     own: list[str] = []
-    _spaces.append(own)
+    _spaces().append(own)
     kept: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
@@ -91,11 +96,11 @@ def scratch_space(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
     try:
         yield keep
     finally:
-        _spaces.pop()
+        _spaces().pop()
         for path in own:
             if path in kept:
-                if _spaces:
-                    _spaces[-1].append(path)
+                if _spaces():
+                    _spaces()[-1].append(path)
             else:
                 remove(spark, path)
 
