@@ -64,10 +64,9 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "utf-8")))
 
 
-def template_lines(parsed: DataFrame, depth: int, min_docs: int, similar: float, one_in: int) -> DataFrame:
-    """(kd, th, i, template, least): lines of templates that stand in enough documents, with the smallest id of those."""
-    parsed = parsed.withColumn("leaves", F.transform("lines", lambda line: leaf(line, depth)))
-    leaves = parsed.select(F.explode(F.array_distinct("leaves")).alias("leaf")).where("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("n"))
+def template_lines(parsed: DataFrame, marks: DataFrame, depth: int, min_docs: int, similar: float, one_in: int) -> DataFrame:
+    """(kd, th, i, least): lines of templates that stand in enough documents, with the smallest id of those."""
+    leaves = marks.select(F.explode(F.array_distinct("leaves")).alias("leaf")).where("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("n"))
     leaves = stored(leaves.where(F.col("n") >= min_docs).select("leaf"), "leaves")
     lines = parsed.select("kd", "th", F.posexplode(F.arrays_zip("leaves", "lines")).alias("i", "line")).select("kd", "th", "i", F.col("line.leaves").alias("leaf"), F.col("line.lines").alias("line"))
     # each token behind the path with its place; none where it is variable
@@ -89,24 +88,28 @@ def template_lines(parsed: DataFrame, depth: int, min_docs: int, similar: float,
     return found.join(small(stored(recurring.select("template", "least"), "recurring")), "template").select("kd", "th", "i", "least")
 
 
-def exact_lines(parsed: DataFrame, exact_tokens: int) -> DataFrame:
+def exact_lines(marks: DataFrame) -> DataFrame:
     """(kd, th, i, least): long lines that stand in more than one document."""
-    digests = F.transform("lines", lambda line: F.when(F.size(line) >= exact_tokens, digest(F.array_join(line, " "))))
-    parsed = parsed.select("kd", "th", digests.alias("digests"))
-    key = F.struct("kd", "th")
-    each = parsed.select(key.alias("doc"), F.explode(F.array_distinct("digests")).alias("line")).where("line IS NOT NULL")
+    each = marks.select(F.struct("kd", "th").alias("doc"), F.explode(F.array_distinct("digests")).alias("line")).where("line IS NOT NULL")
     again = each.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
     again = stored(again.select("line", F.col("first.kd").alias("least")), "exact-lines")
-    lines = parsed.select("kd", "th", F.posexplode("digests").alias("i", "line")).where("line IS NOT NULL")
+    lines = marks.select("kd", "th", F.posexplode("digests").alias("i", "line")).where("line IS NOT NULL")
     return lines.join(small(again), "line").select("kd", "th", "i", "least")
 
 
 def dropped_lines(docs: DataFrame, depth: int, min_docs: int, similar: float, one_in: int, exact_tokens: int | None) -> DataFrame:
     """(kd, th, gone): the numbers of the lines that each document loses."""
     parsed = docs.select("kd", "th", tokens(F.col("text")).alias("lines"))
-    found = template_lines(parsed, depth, min_docs, similar, one_in)
+    parsed = parsed.withColumn("leaves", F.transform("lines", lambda line: leaf(line, depth)))
+    marks = parsed.select("kd", "th", "leaves")
+    if exact_tokens is not None:
+        whole = lambda line: F.when(F.size(line) >= exact_tokens, digest(F.array_join(line, " ")))
+        marks = parsed.select("kd", "th", "leaves", F.transform("lines", whole).alias("digests"))
+    # hashes of lines are a small part of the texts, and are read again for each count
+    marks = stored(marks, "line-marks")
+    found = template_lines(parsed, marks, depth, min_docs, similar, one_in)
     if exact_tokens is not None:
-        found = found.unionByName(exact_lines(parsed, exact_tokens))
+        found = found.unionByName(exact_lines(marks))
     return found.where(F.col("kd") != F.col("least")).groupBy("kd", "th").agg(F.collect_set("i").alias("gone"))
 
 
