@@ -46,6 +46,8 @@ PER_LABEL = 300
 GROUP = 4
 #: Contexts in the tables of a group; rarer ones are left out beyond it.
 CONTEXTS = 15_000
+#: Salts in which the hashes of a label are ranked first.
+SALTS = 64
 #: Sampled texts up to which the table of their hashes is broadcast: some 30 MB.
 FEW_SAMPLED = 1_000_000
 #: Bytes of sampled texts that are counted at once.
@@ -185,14 +187,17 @@ class ContextTrees:
 def sampled(rows: DataFrame, label_col: str, text_col: str, per_label: int) -> DataFrame:
     """(label, h, text): of each label the distinct texts with the smallest hashes.
 
-    The first rows by rank are found in each task before they are shuffled, so a label with any
-    number of rows sends a few hashes, and its texts are joined afterwards.
+    Hashes are ranked within salts first, so that the task of a label gets `SALTS * per_label` of
+    them at most, however many rows the label has; the texts are joined afterwards.
     """
     label = F.col(label_col).cast("string")
     labelled = rows.where(label.isNotNull() & F.col(text_col).isNotNull()).select(label.alias("label"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     distinct = labelled.groupBy("label", "h").agg(F.lit(1).alias("one"))
-    place = F.row_number().over(W.partitionBy("label").orderBy("h"))
-    chosen = distinct.withColumn("place", place).where(F.col("place") <= per_label).select("label", "h")
+    chosen = distinct.withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for group in (["label", "salt"], ["label"]):
+        place = F.row_number().over(W.partitionBy(*group).orderBy("h"))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= per_label).drop("place")
+    chosen = chosen.select("label", "h")
     chosen = stored(chosen, "sample")
     chosen = F.broadcast(chosen) if chosen.count() <= FEW_SAMPLED else chosen
     return labelled.join(chosen, ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
