@@ -15,6 +15,8 @@ from tessera.llm.line_templates import SQL as LINES_SQL
 from tessera.llm.line_templates import op2_line_templates
 from tessera.llm.link_trust import op10_link_trust
 from tessera.llm.matroska import op7_matroska
+from tessera.llm.merkle import SQL as MERKLE_SQL
+from tessera.llm.merkle import op12_merkle_manifest
 from tessera.llm.ppm import op3_ppm_language
 from tessera.llm.suffix_dedup import SQL as SUFFIX_SQL
 from tessera.llm.suffix_dedup import op9_suffix_dedup
@@ -33,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_link_trust": op10_link_trust,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -41,4 +44,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_winnow": WINNOW_SQL,
     "op8_jaccard_join": JACCARD_SQL,
     "op9_suffix_dedup": SUFFIX_SQL,
+    "op12_merkle_manifest": MERKLE_SQL,
 }
