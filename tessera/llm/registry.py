@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.conversation_repair import SQL as REPAIR_SQL
+from tessera.llm.conversation_repair import op13_conversation_repair
 from tessera.llm.entropy_mix import op4_entropy_mix
 from tessera.llm.fingerprint_index import SQL as FINGERPRINTS_SQL
 from tessera.llm.fingerprint_index import op1_fingerprint_index
@@ -36,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_link_trust": op10_link_trust,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -45,4 +48,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_jaccard_join": JACCARD_SQL,
     "op9_suffix_dedup": SUFFIX_SQL,
     "op12_merkle_manifest": MERKLE_SQL,
+    "op13_conversation_repair": REPAIR_SQL,
 }
