@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.conversation_repair import SQL as REPAIR_SQL
 from tessera.llm.conversation_repair import op13_conversation_repair
+from tessera.llm.embedding_links import SQL as EMBEDDINGS_SQL
+from tessera.llm.embedding_links import op11_embedding_links
 from tessera.llm.entropy_mix import op4_entropy_mix
 from tessera.llm.fingerprint_index import SQL as FINGERPRINTS_SQL
 from tessera.llm.fingerprint_index import op1_fingerprint_index
@@ -37,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_link_trust": op10_link_trust,
+    "op11_embedding_links": op11_embedding_links,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -47,6 +50,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_winnow": WINNOW_SQL,
     "op8_jaccard_join": JACCARD_SQL,
     "op9_suffix_dedup": SUFFIX_SQL,
+    "op11_embedding_links": EMBEDDINGS_SQL,
     "op12_merkle_manifest": MERKLE_SQL,
     "op13_conversation_repair": REPAIR_SQL,
 }
