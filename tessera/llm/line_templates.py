@@ -1,20 +1,23 @@
 """Line dedup by a tree of line templates, with DataFrame operations only.
 
 A line is parsed to a fixed depth: its number of tokens, then its first `depth` tokens, where a
-token with a digit counts as variable. Lines with one such path share a leaf. In a leaf, a token
-behind the path is constant if it fills at least one in `one_in` of the leaf's lines at its place
-(and `min_docs` of them); any other is a variable field and becomes a wildcard. Constancy is a
-share, so a template stays the same however often its lines occur. What is left is the line's
-template. A template with constants in at least `similar` of the places behind the path (a line
-no longer than the path has none to fill), found in at least `min_docs` documents, is
-boilerplate: its lines are dropped, but for the document with the smallest id, which keeps them.
-Lines of `exact_tokens` tokens or more that stand word for word in two documents are dropped in
-the same way, unless that is None.
-
-Leaves of fewer than `min_docs` documents hold no such template, so only the lines of the other
-leaves go on; counts are combined before each shuffle, and a leaf has at most `one_in` constants
-a place. Tables of leaves, constants and templates are broadcast up to a counted number of
-bytes, and joined by shuffles beyond it. Templates and whole lines are compared by 128-bit digests.
+token with a digit counts as variable. Lines with one such path share a leaf. Below the leaf a
+line goes down by its most frequent tokens: of the tokens behind the path, with their places, those
+that stand in most documents of the leaf come first (of equally frequent ones the first place), none
+in fewer than `min_docs`, until a share `similar` of the places is fixed. Each such way is a
+template of its own; its other places are variable. So templates that share a leaf do not dilute
+each other, and lines that only share the leaf change nothing, unless they put a word that one
+template's variable field holds in more documents than that template has. A line no longer than the
+path is a template if its path has a token that is not variable. A line without enough frequent
+tokens has no template. A template found in at least `min_docs` documents is boilerplate: its lines
+are dropped, but for the document with the smallest id, which keeps them. Lines of `exact_tokens`
+tokens or more that stand word for word in two documents are dropped in the same way, unless that
+is None.
+
+Leaves of fewer than `min_docs` documents hold no template, so only the lines of the other leaves
+go on. Tokens are counted by documents, in two steps, so that a leaf of any size is spread. Tables
+of leaves, tokens and templates are broadcast up to a counted number of bytes, and joined by
+shuffles beyond it. Templates and whole lines are compared by 128-bit digests.
 
 Defined results: null and empty texts have no lines and come back as they are; blank lines are
 never dropped, and a text that loses nothing is unchanged; rows that repeat id and text count as
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import keyed, keyed_columns, scratch_space, stored, table
 
-DEPTH, MIN_DOCS, SIMILAR, ONE_IN, EXACT_TOKENS = 3, 5, 0.5, 8, 10
+DEPTH, MIN_DOCS, SIMILAR, EXACT_TOKENS = 3, 5, 0.5, 10
 #: Bytes, as counted, up to which a table is broadcast.
 FEW_BYTES = 8 << 20
 
@@ -64,25 +67,27 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "utf-8")))
 
 
-def template_lines(parsed: DataFrame, marks: DataFrame, depth: int, min_docs: int, similar: float, one_in: int) -> DataFrame:
+def template_lines(parsed: DataFrame, marks: DataFrame, depth: int, min_docs: int, similar: float) -> DataFrame:
     """(kd, th, i, least): lines of templates that stand in enough documents, with the smallest id of those."""
     leaves = marks.select(F.explode(F.array_distinct("leaves")).alias("leaf")).where("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("n"))
     leaves = stored(leaves.where(F.col("n") >= min_docs).select("leaf"), "leaves")
     lines = parsed.select("kd", "th", F.posexplode(F.arrays_zip("leaves", "lines")).alias("i", "line")).select("kd", "th", "i", F.col("line.leaves").alias("leaf"), F.col("line.lines").alias("line"))
-    # each token behind the path with its place; none where it is variable
-    behind = F.transform(F.slice("line", depth + 1, F.greatest(F.size("line") - depth, F.lit(0))), lambda t, i: F.when(~t.rlike("[0-9]"), F.concat(i.cast("string"), F.lit(" "), t)))
+    # the tokens behind the path with their places, but for variable ones
+    behind = F.transform(F.slice("line", depth + 1, F.greatest(F.size("line") - depth, F.lit(0))), lambda t, i: F.when(~t.rlike("[0-9]"), F.struct(i.alias("place"), t.alias("token"))))
     path = F.transform(F.slice("line", 1, depth), masked)
-    held = lines.join(small(leaves), "leaf").select("kd", "th", "i", "leaf", F.size("line").alias("n"), path.alias("path"), F.filter(behind, lambda t: t.isNotNull()).alias("behind"))
+    need = F.ceil(F.greatest(F.size("line") - depth, F.lit(0)) * similar).cast("int")
+    held = lines.join(small(leaves), "leaf").select("kd", "th", "i", "leaf", F.size("line").alias("n"), need.alias("need"), path.alias("path"), F.filter(behind, lambda t: t.isNotNull()).alias("behind"))
     held = stored(held, "lines")
-    filled = held.groupBy("leaf").agg(F.count("*").alias("lines"))
-    often = held.select("leaf", F.explode("behind").alias("t")).groupBy("leaf", "t").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    often = often.join(filled, "leaf").where(F.col("n") * one_in >= F.col("lines"))
-    often = stored(often.groupBy("leaf").agg(F.collect_set("t").alias("often")), "constants")
-    constant = F.array_intersect("behind", F.coalesce("often", F.array().cast("array<string>")))
-    found = held.join(small(often), "leaf", "left").withColumn("constant", constant)
-    filling = F.when(F.col("n") > depth, F.size("constant") >= (F.col("n") - depth) * similar).otherwise(F.exists("path", lambda t: t != WILD))
-    text = F.array_join(F.concat(F.array(F.col("n").cast("string")), "path", "constant"), "\n")
-    found = stored(found.where(filling).select("kd", "th", "i", digest(text).alias("template")), "templates")
+    each = held.where(F.size("behind") >= F.col("need")).select("kd", "th", "i", "leaf", "n", "need", "path", F.explode("behind").alias("t")).select("*", "t.place", "t.token").drop("t")
+    often = each.groupBy("leaf", "place", "token", "kd", "th").agg(F.lit(1).alias("one")).groupBy("leaf", "place", "token").agg(F.count("*").alias("docs"))
+    often = stored(often.where(F.col("docs") >= min_docs), "tokens")
+    ranked = F.array_sort(F.collect_set(F.struct((-F.col("docs")).alias("first"), "place", "token")))
+    found = each.join(small(often), ["leaf", "place", "token"]).groupBy("kd", "th", "i", "leaf").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first("path").alias("path"), ranked.alias("ranked"))
+    fixed = F.array_sort(F.transform(F.slice("ranked", 1, F.col("need")), lambda t: F.struct(t["place"].alias("place"), t["token"].alias("token"))))
+    found = found.where(F.size("ranked") >= F.col("need")).select("kd", "th", "i", "n", "path", F.transform(fixed, lambda t: F.concat_ws(" ", t["place"].cast("string"), t["token"])).alias("fixed"))
+    short = held.where(F.col("n") <= depth).where(F.exists("path", lambda t: t != WILD)).select("kd", "th", "i", "n", "path", F.array().cast("array<string>").alias("fixed"))
+    text = F.array_join(F.concat(F.array(F.col("n").cast("string")), "path", "fixed"), "\n")
+    found = stored(found.unionByName(short).select("kd", "th", "i", digest(text).alias("template")), "templates")
     per_doc = found.groupBy("template", "kd", "th").agg(F.lit(1).alias("one"))
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("kd").alias("least")).where(F.col("docs") >= min_docs)
     return found.join(small(stored(recurring.select("template", "least"), "recurring")), "template").select("kd", "th", "i", "least")
@@ -97,7 +102,7 @@ def exact_lines(marks: DataFrame) -> DataFrame:
     return lines.join(small(again), "line").select("kd", "th", "i", "least")
 
 
-def dropped_lines(docs: DataFrame, depth: int, min_docs: int, similar: float, one_in: int, exact_tokens: int | None) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int, min_docs: int, similar: float, exact_tokens: int | None) -> DataFrame:
     """(kd, th, gone): the numbers of the lines that each document loses."""
     parsed = docs.select("kd", "th", tokens(F.col("text")).alias("lines"))
     parsed = parsed.withColumn("leaves", F.transform("lines", lambda line: leaf(line, depth)))
@@ -107,18 +112,18 @@ def dropped_lines(docs: DataFrame, depth: int, min_docs: int, similar: float, on
         marks = parsed.select("kd", "th", "leaves", F.transform("lines", whole).alias("digests"))
     # hashes of lines are a small part of the texts, and are read again for each count
     marks = stored(marks, "line-marks")
-    found = template_lines(parsed, marks, depth, min_docs, similar, one_in)
+    found = template_lines(parsed, marks, depth, min_docs, similar)
     if exact_tokens is not None:
         found = found.unionByName(exact_lines(marks))
     return found.where(F.col("kd") != F.col("least")).groupBy("kd", "th").agg(F.collect_set("i").alias("gone"))
 
 
 def dedup_lines(
-    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, one_in: int = ONE_IN, exact_tokens: int | None = EXACT_TOKENS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similar: float = SIMILAR, exact_tokens: int | None = EXACT_TOKENS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of docs with text replaced, and n_lines, n_dropped in place of any columns of these names."""
     with scratch_space(docs.sparkSession) as keep:
-        gone = keep(stored(dropped_lines(keyed(docs, id_col, text_col), depth, min_docs, similar, one_in, exact_tokens), "dropped-lines"))
+        gone = keep(stored(dropped_lines(keyed(docs, id_col, text_col), depth, min_docs, similar, exact_tokens), "dropped-lines"))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*others).withColumns(keyed_columns(id_col, text_col))
     # documents that lose lines grow with the corpus, so the same join is used at every size
@@ -144,14 +149,14 @@ l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FR
 t AS (SELECT r, doc_id, i, w, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{WILD}' ELSE x END) AS m
       FROM (SELECT r, doc_id, i, list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM l)),
 p AS (SELECT r, doc_id, i, m, len(m) AS n, m[1:{DEPTH}] AS path FROM t WHERE len(m) > 0),
-f AS (SELECT n, path, count(*) AS lines FROM p GROUP BY n, path HAVING count(DISTINCT r) >= {MIN_DOCS}),
-c AS (SELECT p.*, f.lines FROM p JOIN f ON p.n = f.n AND p.path = f.path),
-k AS (SELECT r, doc_id, i, n, path, lines, unnest(m) AS tok, unnest(range(len(m))) AS pos FROM c),
-o AS (SELECT n, path, pos, tok FROM k WHERE tok <> '{WILD}' AND pos >= {DEPTH} GROUP BY n, path, pos, tok HAVING count(*) >= {MIN_DOCS} AND count(*) * {ONE_IN} >= max(lines)),
-g AS (SELECT k.r, k.doc_id, k.i, k.n, k.path, list(CASE WHEN k.pos >= {DEPTH} AND o.tok IS NULL THEN '{WILD}' ELSE k.tok END ORDER BY k.pos) AS template,
-             count(*) FILTER (k.pos >= {DEPTH} AND o.tok IS NOT NULL) AS constant, count(*) FILTER (k.pos < {DEPTH} AND k.tok <> '{WILD}') AS ahead
-      FROM k LEFT JOIN o ON k.n = o.n AND k.path = o.path AND k.pos = o.pos AND k.tok = o.tok GROUP BY k.r, k.doc_id, k.i, k.n, k.path),
-h AS (SELECT * FROM g WHERE CASE WHEN n > {DEPTH} THEN constant >= {SIMILAR} * (n - {DEPTH}) ELSE ahead > 0 END),
+f AS (SELECT n, path FROM p GROUP BY n, path HAVING count(DISTINCT r) >= {MIN_DOCS}),
+c AS (SELECT p.* FROM p JOIN f ON p.n = f.n AND p.path = f.path),
+k AS (SELECT * FROM (SELECT r, doc_id, i, n, path, unnest(m) AS tok, unnest(range(len(m))) AS pos FROM c) WHERE tok <> '{WILD}' AND pos >= {DEPTH}),
+o AS (SELECT n, path, pos, tok, count(DISTINCT r) AS docs FROM k GROUP BY n, path, pos, tok HAVING count(DISTINCT r) >= {MIN_DOCS}),
+g AS (SELECT k.r, k.doc_id, k.i, k.n, k.path, list({{'pos': k.pos, 'tok': k.tok}} ORDER BY o.docs DESC, k.pos) AS ranked
+      FROM k JOIN o ON k.n = o.n AND k.path = o.path AND k.pos = o.pos AND k.tok = o.tok GROUP BY k.r, k.doc_id, k.i, k.n, k.path),
+h AS (SELECT r, doc_id, i, {{'n': n, 'path': path, 'fixed': list_sort(ranked[1:ceil({SIMILAR} * (n - {DEPTH}))::BIGINT])}} AS template FROM g WHERE len(ranked) >= ceil({SIMILAR} * (n - {DEPTH}))
+      UNION ALL SELECT r, doc_id, i, {{'n': n, 'path': path, 'fixed': []}} AS template FROM c WHERE n <= {DEPTH} AND len(list_filter(path, lambda x: x <> '{WILD}')) > 0),
 w AS (SELECT template, min(doc_id) AS least FROM h GROUP BY template HAVING count(DISTINCT r) >= {MIN_DOCS}),
 e AS (SELECT w, min(doc_id) AS least FROM t WHERE len(w) >= {EXACT_TOKENS} GROUP BY w HAVING count(DISTINCT r) > 1),
 x AS (SELECT h.r, h.i FROM h JOIN w ON h.template = w.template WHERE h.doc_id <> w.least
