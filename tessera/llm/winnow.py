@@ -134,17 +134,17 @@ def _hits(rows: DataFrame, benchmark: DataFrame, window: int, gram: int, item_id
     found = with_fingerprints(hashed, "h", lengths, gram).select("kd", "th", F.explode(own).alias("f")).select("kd", "th", "f.length", "f.fp")
     found = found.join(small(marks, n_bytes), ["length", "fp"], "left_semi")
     # a document's own fingerprints that the benchmark has; repeated rows agree on them
-    matched = stored(found.groupBy("kd", "th").agg(F.collect_set(F.struct("length", "fp")).alias("matched")), "matched")
-    near = rows.join(matched, ["kd", "th"]).dropDuplicates(["kd", "th", "text"]).select("kd", "th", F.sha2("text", 256).alias("digest"), words(F.col("text")).alias("w"), "matched")
-    near = with_fingerprints(near.withColumn("h", F.transform("w", lambda w: F.xxhash64(w))), "h", lengths, gram)
-
-    def places(k: int) -> Column:
-        """Consecutive windows share their fingerprint, so a place is kept by looking its own up."""
-        wanted = F.transform(F.filter("matched", lambda m: m["length"] == k), lambda m: m["fp"])
-        at = F.filter(F.transform(f"fp_{k}", lambda fp, i: F.when(F.array_contains(wanted, fp), i)), lambda i: i.isNotNull())
-        return F.transform(at, lambda i: F.struct(F.lit(k).alias("length"), i.alias("at"), F.array_join(F.slice("w", i + 1, F.lit(k)), " ").alias("span")))
-
-    starts = near.select("kd", "th", "digest", F.explode(of_all_lengths(lengths, places)).alias("p")).select("kd", "th", "digest", "p.length", "p.at", "p.span")
+    matched = stored(found.distinct(), "matched")
+    near = rows.join(matched.select("kd", "th").distinct(), ["kd", "th"]).dropDuplicates(["kd", "th", "text"])
+    near = stored(near.select(F.monotonically_increasing_id().alias("row"), "kd", "th", F.sha2("text", 256).alias("digest"), words(F.col("text")).alias("w")), "near-texts")
+    # consecutive windows share their fingerprint; each place looks its own up by a join, so a long text with many hits takes time in proportion
+    marked = with_fingerprints(near.select("row", F.transform("w", lambda w: F.xxhash64(w)).alias("h")), "h", lengths, gram)
+    places = of_all_lengths(lengths, lambda k: F.transform(f"fp_{k}", lambda fp, i: F.struct(F.lit(k).alias("length"), i.alias("at"), fp.alias("fp"))))
+    places = marked.select("row", F.explode(places).alias("p")).select("row", "p.length", "p.at", "p.fp")
+    wanted = near.select("row", "kd", "th").join(matched, ["kd", "th"]).select("row", "length", "fp")
+    places = places.join(wanted, ["row", "length", "fp"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("length", "at")).alias("places"))
+    spans_at = F.transform("places", lambda p: F.struct(p["length"].alias("length"), p["at"].alias("at"), F.array_join(F.slice("w", p["at"] + 1, p["length"]), " ").alias("span")))
+    starts = near.join(places, "row").select("kd", "th", "digest", F.explode(spans_at).alias("p")).select("kd", "th", "digest", "p.length", "p.at", "p.span")
     hits = stored(starts.join(small(windows_, n_bytes), ["length", "span"], "left_semi"), "hit-places")
     end = F.col("at") + F.col("length")
     before = F.max(end).over(W.partitionBy("kd", "th", "digest").orderBy("at", "length").rowsBetween(W.unboundedPreceding, -1))
