@@ -110,7 +110,8 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     Stage one sorts suffixes that are smaller than their successors. Stage two scans the buckets
     of first bytes upwards: the predecessor of a suffix that is already in place is larger than
     it and comes next in the bucket of its own first byte, before that bucket's sorted suffixes.
-    A bucket is scanned in waves, since a suffix may induce another one in the same bucket.
+    A suffix may induce another one in the same bucket, which happens along a run of one byte; all
+    suffixes of a bucket's runs are put in place in one step, by their distance from the run's end.
     """
     big = larger(text)
     # what the wanted suffixes are induced from: everything up to the next small suffix
@@ -128,9 +129,24 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
         placed[text[-1]].append(np.array([len(text) - 1], np.int32))
     out = []
 
-    def induce(wave: np.ndarray, c: int) -> np.ndarray:
-        """Places the larger predecessors; returns those that stay in bucket c."""
-        before = wave[wave > 0] - 1
+    # where each run of one byte begins whose suffixes are all needed
+    begins = np.arange(len(text), dtype=np.int32)
+    if len(text):
+        begins[1:][(text[1:] == text[:-1]) & need[1:] & need[:-1]] = 0
+        np.maximum.accumulate(begins, out=begins)
+
+    def with_runs(wave: np.ndarray) -> np.ndarray:
+        """The suffixes, then those before them in their runs: nearer ones first, in the order of what they lead to."""
+        back = wave - begins[wave]
+        if not back.any():
+            return wave
+        own = np.repeat(wave, back + 1)
+        steps = ranges(np.zeros(len(wave), np.int32), back + 1).astype(np.int32)
+        return (own - steps)[np.argsort(steps, kind="stable")]
+
+    def induce(found: np.ndarray, c: int) -> None:
+        """Places the larger predecessors that belong to other buckets."""
+        before = found[found > 0] - 1
         before = before[big[before] & need[before]]
         chars = text[before]
         by_char = np.argsort(chars, kind="stable")
@@ -139,16 +155,12 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
         for i, j in zip([0, *cuts], [*cuts, len(chars)]):
             if i < j and chars[i] != c:
                 placed[chars[i]].append(before[by_char[i:j]])
-        return before[by_char[chars == c]]
 
     for c in np.unique(text[need]):
-        wave = np.concatenate(placed[c]) if placed[c] else np.zeros(0, np.int32)
-        while len(wave):
-            out.append(wave)
-            wave = induce(wave, c)
-        wave = small[edges[c] : edges[c + 1]]
-        out.append(wave)
-        induce(wave, c)
+        large = with_runs(np.concatenate(placed[c])) if placed[c] else np.zeros(0, np.int32)
+        for found in (large, small[edges[c] : edges[c + 1]]):
+            out.append(found)
+            induce(found, c)
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 

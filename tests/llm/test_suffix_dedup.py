@@ -129,3 +129,28 @@ def test_windows_are_told_apart_in_groups(monkeypatch, most):
     each = [data[i : i + 50].tobytes() for i in at]
     assert len(sample) == len(set(each)) and [each[sample[n]] for n in number] == each
     assert len(set(zip(each, key.tolist()))) == len(set(each))
+
+
+def test_runs_of_one_byte():
+    """Pieces with runs of every length up to 200, against direct search."""
+    rnd = random.Random(9)
+    for size in (2, 5, 50):
+        for k in range(40):
+            bodies = [b"".join(bytes([rnd.choice(b"abz\0")]) * (1 + (5 * k + 7 * j) % 200 if rnd.random() < 0.4 else rnd.randint(1, 3)) for j in range(8)) for _ in range(4)]
+            bodies = [b for b in bodies if len(b) >= size]
+            owners = [rnd.randint(1, 9) for _ in bodies]
+            least = {}
+            for b, o in zip(bodies, owners):
+                for i in range(len(b) - size + 1):
+                    least[b[i : i + size]] = min(least.get(b[i : i + size], o), o)
+            if bodies:
+                found = S.least_owner(bodies, np.array(owners), size)
+                assert [x.tolist() for x in found] == [[least[b[i : i + size]] for i in range(len(b) - size + 1)] for b in bodies]
+
+
+def test_a_long_run_is_one_step():
+    import time
+
+    began = time.monotonic()
+    found = S.least_owner([b"z" * 4_000_000, b"a" + b"z" * 3_000_000], np.array([2, 1]), 50)
+    assert [set(x.tolist()) for x in found] == [{1}, {1}] and time.monotonic() - began < 30
