@@ -17,7 +17,8 @@ is None.
 Leaves of fewer than `min_docs` documents hold no template, so only the lines of the other leaves
 go on. Tokens are counted by documents, in two steps, so that a leaf of any size is spread. Tables
 of leaves, tokens and templates are broadcast up to a counted number of bytes, and joined by
-shuffles beyond it. Templates and whole lines are compared by 128-bit digests.
+shuffles beyond it. Tokens travel as 64-bit hashes of leaf, place and token; templates and whole
+lines are compared by 128-bit digests.
 
 Defined results: null and empty texts have no lines and come back as they are; blank lines are
 never dropped, and a text that loses nothing is unchanged; rows that repeat id and text count as
@@ -76,15 +77,17 @@ def template_lines(parsed: DataFrame, marks: DataFrame, depth: int, min_docs: in
     behind = F.transform(F.slice("line", depth + 1, F.greatest(F.size("line") - depth, F.lit(0))), lambda t, i: F.when(~t.rlike("[0-9]"), F.struct(i.alias("place"), t.alias("token"))))
     path = F.transform(F.slice("line", 1, depth), masked)
     need = F.ceil(F.greatest(F.size("line") - depth, F.lit(0)) * similar).cast("int")
-    held = lines.join(small(leaves), "leaf").select("kd", "th", "i", "leaf", F.size("line").alias("n"), need.alias("need"), path.alias("path"), F.filter(behind, lambda t: t.isNotNull()).alias("behind"))
-    held = stored(held, "lines")
-    each = held.where(F.size("behind") >= F.col("need")).select("kd", "th", "i", "leaf", "n", "need", "path", F.explode("behind").alias("t")).select("*", "t.place", "t.token").drop("t")
-    often = each.groupBy("leaf", "place", "token", "kd", "th").agg(F.lit(1).alias("one")).groupBy("leaf", "place", "token").agg(F.count("*").alias("docs"))
-    often = stored(often.where(F.col("docs") >= min_docs), "tokens")
-    ranked = F.array_sort(F.collect_set(F.struct((-F.col("docs")).alias("first"), "place", "token")))
-    found = each.join(small(often), ["leaf", "place", "token"]).groupBy("kd", "th", "i", "leaf").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first("path").alias("path"), ranked.alias("ranked"))
-    fixed = F.array_sort(F.transform(F.slice("ranked", 1, F.col("need")), lambda t: F.struct(t["place"].alias("place"), t["token"].alias("token"))))
-    found = found.where(F.size("ranked") >= F.col("need")).select("kd", "th", "i", "n", "path", F.transform(fixed, lambda t: F.concat_ws(" ", t["place"].cast("string"), t["token"])).alias("fixed"))
+    # a token of a leaf at a place, as a number
+    keys = F.transform(F.filter(behind, lambda t: t.isNotNull()), lambda t: F.struct(t["place"].alias("place"), F.xxhash64("leaf", t["place"], t["token"]).alias("key")))
+    own = [F.monotonically_increasing_id().alias("line"), "kd", "th", "i", F.size("line").alias("n"), need.alias("need"), path.alias("path"), keys.alias("keys")]
+    held = stored(lines.join(small(leaves), "leaf").select(*own), "lines")
+    each = held.where(F.size("keys") >= F.col("need")).select("line", F.xxhash64("kd", "th").alias("doc"), F.inline("keys"))
+    often = each.groupBy("key", "doc").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    often = stored(often, "tokens").hint("merge")  # the same join at every size; a frequent token's rows can be split
+    ranked = each.select("line", "place", "key").join(often, "key").groupBy("line").agg(F.array_sort(F.collect_list(F.struct((-F.col("docs")).alias("first"), "place", "key"))).alias("ranked"))
+    fixed = F.array_sort(F.transform(F.slice("ranked", 1, F.col("need")), lambda t: F.struct(t["place"].alias("place"), t["key"].alias("key"))))
+    found = held.select("line", "kd", "th", "i", "n", "need", "path").join(ranked, "line").where(F.size("ranked") >= F.col("need"))
+    found = found.select("kd", "th", "i", "n", "path", F.transform(fixed, lambda t: F.concat_ws(" ", t["place"].cast("string"), t["key"].cast("string"))).alias("fixed"))
     short = held.where(F.col("n") <= depth).where(F.exists("path", lambda t: t != WILD)).select("kd", "th", "i", "n", "path", F.array().cast("array<string>").alias("fixed"))
     text = F.array_join(F.concat(F.array(F.col("n").cast("string")), "path", "fixed"), "\n")
     found = stored(found.unionByName(short).select("kd", "th", "i", digest(text).alias("template")), "templates")
