@@ -11,7 +11,10 @@ Rates become whole copies: every document gets the whole part, and the fractiona
 a hash of the document decides on one more. Rows that repeat id, text and source are counted as
 one and spread evenly over the hash's range, so that a share of them is taken. A threshold for each
 source, found by two rounds of histograms over those hashes, makes the copies' words meet the
-target to about one document. If the dual is not solved after `ROUNDS` steps, `mix` fails.
+target to about one document. What is then missing or too much is closed by single copies: from
+the largest size that still fits downwards, of each size those with the least hashes, one copy more
+(or less) for each. So no document is left that would bring its source nearer to the target. If the
+dual is not solved after `ROUNDS` steps, `mix` fails.
 
 Everything is DataFrame code. Sources are numbered by ranges, so no task sees all of them, and
 the join of documents with their source's numbers is salted unless the sources are few.
@@ -142,7 +145,44 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """(doc_id, kd, th, source, size, u, nth, source_size, target, rate, copies) of every row."""
     with scratch_space(docs.sparkSession) as keep:
         rows = stored(sized(docs, id_col, source_col, text_col), "sizes")
-        return keep(stored(_mixed(rows, weights, share, most), "mixed"))
+        return keep(stored(closed(stored(_mixed(rows, weights, share, most), "rounded"), most), "mixed"))
+
+
+def closed(rows: DataFrame, most: int) -> DataFrame:
+    """The rows with a copy more or less for some, so that no further one would bring its source nearer to the target."""
+    gaps = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
+    gaps = stored(gaps.select("source", F.when(F.col("gap") < 0, -1).otherwise(1).alias("sign"), F.floor(F.abs("gap")).alias("gap")).where("gap > 0"), "gaps")
+    few = gaps.count() <= FEW_SOURCES
+    room = F.when(F.col("sign") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    useful = lambda df: with_source(df, gaps, few).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & room)
+    order = F.struct("u", "kd", "th", "nth")
+    fit = useful(rows)
+    sizes = fit.groupBy("source", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"), F.first("sign").alias("sign"))
+    # down the sizes of a source, at most as many as its gap has words; the gap is halved or a size used up by each that is taken
+    start = F.struct(F.first("gap").alias("gap"), F.array().cast("array<struct<size:bigint,k:bigint>>").alias("taken"))
+    down = F.reverse(F.array_sort(F.collect_list(F.struct("size", "n"))))
+    by_source = sizes.groupBy("source").agg(down.alias("sizes"), start.alias("start"))
+
+    def step(state: Column, x: Column) -> Column:
+        k = F.least(x["n"], F.floor(state["gap"] / x["size"]))
+        taken = F.when(k > 0, F.concat(state["taken"], F.array(F.struct(x["size"].alias("size"), k.alias("k"))))).otherwise(state["taken"])
+        return F.struct((state["gap"] - k * x["size"]).alias("gap"), taken.alias("taken"))
+
+    chosen = by_source.select("source", F.explode(F.aggregate("sizes", F.col("start"), step)["taken"]).alias("t")).select("source", F.col("t.size").alias("size"), F.col("t.k").alias("k"))
+    chosen = stored(chosen, "closing")
+    highest = chosen.agg(F.max("k")).head()[0]
+    if not highest:
+        return rows
+    near = F.broadcast if few else lambda df: df
+    named = chosen.select(F.col("source").alias("s"), F.col("size").alias("z"), "k")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    # at most `highest` of a source and size leave a task, which is less than a gap has words
+    ranked = fit.join(near(named), same).select("source", "size", "k", order.alias("o")).withColumn("rank", F.row_number().over(W.partitionBy("source", "size").orderBy("o"))).where(F.col("rank") <= highest)
+    upto = stored(ranked.where(F.col("rank") == F.col("k")).select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("o").alias("upto")), "closing-limits")
+    signs = near(gaps.select(F.col("source").alias("g"), "sign"))
+    out = rows.join(near(upto), same, "left").join(signs, F.col("source").eqNullSafe(F.col("g")), "left")
+    moved = F.when(F.coalesce(room & (order <= F.col("upto")), F.lit(False)), F.col("sign")).otherwise(0)
+    return out.select(*[c if c != "copies" else (F.col("copies") + moved).alias("copies") for c in rows.columns])
 
 
 def _mixed(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
