@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, scratch_space, slices, stored, table
+from tessera.llm.common import remove, scratch, scratch_space, slices, stored, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks, which another library counts several times as fast.
@@ -133,8 +133,12 @@ class TokenCache:
         rows = self.spark.read.schema(self.FIELDS).parquet(self.path)
         return rows.where(F.col("tokenizer") == self.version).select("text_digest", "n_tokens")
 
-    def entries(self) -> DataFrame:
-        return self.appended().groupBy("text_digest").agg(F.min("n_tokens").alias("n_tokens"))
+    def entries(self, of: DataFrame | None = None) -> DataFrame:
+        """A count for each digest, or for those digests only that another table names."""
+        rows = self.appended()
+        if of is not None:  # what is grouped and written follows the batch, not the history
+            rows = rows.join(of.select("text_digest").distinct(), "text_digest", "left_semi")
+        return rows.groupBy("text_digest").agg(F.min("n_tokens").alias("n_tokens"))
 
     def _rows(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -161,7 +165,7 @@ class TokenCache:
         rows = self._rows(docs, id_col, text_col).select("doc_id", "text_digest", F.octet_length("text").cast("long").alias("n_bytes"))
         with scratch_space(self.spark) as keep:
             # a written table, so that the join's rows come from plain shuffles, which can be split
-            found = rows.join(keep(stored(self.entries(), "token-counts")), "text_digest", "left")
+            found = rows.join(keep(stored(self.entries(rows), "token-counts")), "text_digest", "left")
             return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
@@ -170,6 +174,10 @@ CACHE = "spark.tessera.tokenCache"
 
 
 def op5_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = spark.conf.get(CACHE, None) or scratch(spark, "token-cache")
+    named = spark.conf.get(CACHE, None)
+    path = named or scratch(spark, "token-cache")
     cache = TokenCache(spark, path, vocabulary_path(), vocabulary_path(RANKS))
-    return cache.count(table(spark, sf_dir, "documents"))
+    out = cache.count(table(spark, sf_dir, "documents"))
+    if not named:
+        remove(spark, path)  # the counts of the result are a table of their own
+    return out
