@@ -4,8 +4,11 @@ Rules name a host with its subdomains and the start of a path; the longest rule
 page decides. Hosts of pages that a rule allows are trusted seeds, hosts of pages that a rule
 blocks are distrusted ones, each by the share of its rule-decided pages. Personalised PageRank
 spreads trust along links and distrust against them (who links to a blocked host is suspect).
-Rounds go on until every score has settled, else the query fails. A host is blocked when its
-distrust exceeds `ratio` times its trust; hosts that neither reaches are allowed.
+All scores of a kind sum to one, and what further rounds can still move shrinks with each round, so
+rounds go on until that is less than `RESIDUAL`, at most log(RESIDUAL) / log(damping) rounds whatever
+the graph. A host is blocked when its distrust exceeds `ratio` times its trust, and `FLOOR`: less
+distrust than that, as of a host some 120 links behind a blocked one, counts as none. Hosts that
+distrust does not reach are allowed.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule
 and is allowed; null html has no links; links within a host and relative links count for
@@ -41,9 +44,9 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-DAMPING, TOLERANCE, RATIO = 0.85, 1e-6, 1.0
-#: A round is one link; scores that have not settled by then are an error.
-ROUNDS = 1000
+DAMPING, RATIO = 0.85, 1.0
+#: What all scores of a kind together may still move, and the distrust that counts.
+RESIDUAL, FLOOR = 1e-11, 1e-9
 #: Targets from which a host's links are dealt over salts, and hosts of that kind up to which
 #: they are broadcast (some megabytes; there are at most links / HUB of them).
 HUB, SALTS, FEW_HUBS = 100_000, 64, 50_000
@@ -109,10 +112,10 @@ def seeds(judged: DataFrame) -> DataFrame:
     return both.join(F.broadcast(total), "kind").select("kind", "host", (F.col("seed") / F.col("total")).alias("seed"))  # two rows at most
 
 
-def propagate(start: DataFrame, flow: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(kind, host, score): both PageRanks at once, until no host moves by more than the tolerance times its score.
+def propagate(start: DataFrame, flow: DataFrame, damping: float = DAMPING, residual: float = RESIDUAL) -> DataFrame:
+    """(kind, host, score): both PageRanks at once, until no kind's scores can move by more than the residual in all.
 
-    So hosts that are still being reached, or whose scores are small, count as moving too.
+    A round moves the scores by at most `damping` times what the round before moved them by.
     """
     hubs = stored(flow.where("salts > 1").groupBy("kind", "source").agg(F.max("salts").alias("__salts")), "hubs")
     n_hubs = hubs.count()
@@ -128,27 +131,27 @@ def propagate(start: DataFrame, flow: DataFrame, damping: float = DAMPING, round
 
     restart = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("gain"))
     scores = written = start.select("kind", "host", F.col("seed").alias("score"))
-    for i in range(rounds):
-        moved = sent(scores).join(flow, ["kind", "source", "salt"]).select("kind", F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("gain"))
-        scores = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("gain").alias("score"))
-        if (i + 1) % WRITE_EVERY == 0 or i + 1 == rounds:
-            scores = stored(scores, "scores")
-            both = written.select("kind", "host", (-F.col("score")).alias("d"), F.lit(0.0).alias("score")).unionByName(scores.select("kind", "host", F.col("score").alias("d"), "score"))
-            change = both.groupBy("kind", "host").agg(F.abs(F.sum("d")).alias("d"), F.sum("score").alias("score"))
-            if change.where(F.col("d") > F.col("score") * tolerance).isEmpty():
-                return scores
-            written = scores
-    raise RuntimeError(f"the scores of hosts have not settled to {tolerance} within {rounds} rounds")
-
-
-def hosts(judged: DataFrame, ratio: float = RATIO, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    left = damping**WRITE_EVERY / (1 - damping**WRITE_EVERY)
+    while True:
+        for _ in range(WRITE_EVERY):
+            moved = sent(scores).join(flow, ["kind", "source", "salt"]).select("kind", F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("gain"))
+            scores = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("gain").alias("score"))
+        scores = stored(scores, "scores")
+        both = written.select("kind", "host", (-F.col("score")).alias("d")).unionByName(scores.select("kind", "host", F.col("score").alias("d")))
+        change = both.groupBy("kind", "host").agg(F.abs(F.sum("d")).alias("d")).groupBy("kind").agg(F.sum("d").alias("d"))
+        if change.where(F.col("d") * left > residual).isEmpty():
+            return scores
+        written = scores
+
+
+def hosts(judged: DataFrame, ratio: float = RATIO, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust, blocked) of every host that trust or distrust reaches."""
     flow = stored(flows(stored(links(judged), "links")), "flows")
     start = stored(seeds(judged), "seeds")
-    scores = propagate(start, flow, damping, rounds) if not flow.isEmpty() else start.select("kind", "host", F.col("seed").alias("score"))
+    scores = propagate(start, flow, damping) if not flow.isEmpty() else start.select("kind", "host", F.col("seed").alias("score"))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     out = scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
-    return out.withColumn("blocked", F.col("distrust") > F.col("trust") * ratio)
+    return out.withColumn("blocked", (F.col("distrust") > F.col("trust") * ratio) & (F.col("distrust") > FLOOR))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = RATIO) -> DataFrame:
