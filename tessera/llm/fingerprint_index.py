@@ -338,7 +338,8 @@ def op1_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "fingerprints")
     index = FingerprintIndex(spark, path, expected_bytes=size)
     out = index.ingest_closed(docs)
-    remove(spark, path)  # the query keeps no index
+    for at in (path, f"{path}-notes"):  # the query keeps no index
+        remove(spark, at)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
