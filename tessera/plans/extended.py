@@ -1,13 +1,11 @@
-"""Queries with functions in Python (in Arrow batches), table functions, sketches, moments, maps and further joins."""
+"""Queries with moments, maps, explosions and further joins."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import squared_length
 from tessera.plans.registry import query
 from tessera.sources.files import read_table
 
@@ -23,10 +21,11 @@ SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orde
 WHERE c_mktsegment = 'BUILDING'
 """)
 def latest_orders_of_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL form of a lateral top row; one aggregate for each customer gives the same without sorting."""
-    builders = read_table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    latest = read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("last"))
-    return builders.join(latest, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", F.col("last.o_orderkey").alias("o_orderkey"))
+    """The SQL form of a lateral top row; one aggregate over the orders of these customers gives the same without sorting."""
+    builders = read_table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    orders = read_table(spark, sf_dir, "orders").join(builders, "o_custkey", "left_semi")
+    latest = orders.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("last"))
+    return latest.select(F.col("o_custkey").alias("c_custkey"), F.col("last.o_orderkey").alias("o_orderkey"))
 
 
 @query("SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
@@ -43,15 +42,6 @@ def quantity_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.agg(F.round(F.stddev_samp("l_quantity"), 6).alias("deviation"), F.round(F.var_pop("l_quantity"), 6).alias("variance"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("correlation"))
 
 
-@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY event_type")
-def users_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact distinct counts, and whether two sketches come within a tenth of them."""
-    grouped = read_table(spark, sf_dir, "events").groupBy("event_type")
-    out = grouped.agg(F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id").alias("one"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("two"))
-    close = (F.abs(F.col("one") - F.col("users")) <= F.col("users") * 0.1) & (F.abs(F.col("two") - F.col("users")) <= F.col("users") * 0.1)
-    return out.select("event_type", "users", close.alias("close"))
-
-
 @query("""
 SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)
 WHERE n > 1 GROUP BY user_id
@@ -66,41 +56,20 @@ def event_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm FROM embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scalar function over Arrow batches."""
-
-    @F.pandas_udf("double")
-    def norm(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in vectors:
-            yield batch.map(lambda v: float((v.astype("float64") ** 2).sum() ** 0.5))
-
-    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm("embedding"), 6).alias("norm"))
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(squared_length(F.col("embedding"))), 6).alias("norm"))
 
 
 @query("SELECT user_id, round(regr_slope(value, event_id), 8) AS slope FROM events GROUP BY user_id HAVING count(*) > 1")
 def value_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function of a whole group; groups are the events of one user."""
-
-    def slope(key, frame):
-        x, y = frame["event_id"] - frame["event_id"].mean(), frame["value"] - frame["value"].mean()
-        found = [(key[0], round(float((x * y).sum() / (x * x).sum()), 8))] if len(frame) > 1 else []
-        return pd.DataFrame(found, columns=["user_id", "slope"]).astype({"user_id": "int64", "slope": "float64"})
-
-    rows = read_table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return rows.groupBy("user_id").applyInPandas(slope, "user_id long, slope double")
+    """Sums of products that are combined before the shuffle, whatever a user's history holds."""
+    grouped = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.regr_slope("value", "event_id").alias("slope"), F.count("*").alias("n"))
+    return grouped.where("n > 1").select("user_id", F.round("slope", 8).alias("slope"))
 
 
 @query("SELECT p_partkey, CAST(unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS INT) AS place, unnest(string_split(p_name, ' ')) AS word FROM part")
 def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table function, joined laterally to each part."""
-
-    @F.udtf(returnType="place int, word string")
-    class Words:
-        def eval(self, name: str):
-            if name is not None:
-                yield from enumerate(name.split(" "), 1)
-
-    parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return parts.lateralJoin(Words(F.col("p_name").outer())).select("p_partkey", "place", "word")
+    words = F.posexplode(F.split("p_name", " ")).alias("place", "word")
+    return read_table(spark, sf_dir, "part").select("p_partkey", words).select("p_partkey", (F.col("place") + 1).alias("place"), "word")
 
 
 @query("""

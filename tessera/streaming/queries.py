@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
 from tessera.sources.files import read_table, stream
+from tessera.sources.scratch import shared
 from tessera.streaming.windows import closed_sessions, drain, first_seen, milestones, tumbling_counts
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a temporary one only in local mode where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-
-
 def streamed(spark: SparkSession, sf_dir: str, transform) -> DataFrame:
     """What a stream of the event table appends until its input is used up."""
     schema = read_table(spark, sf_dir, "events").schema

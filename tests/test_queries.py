@@ -34,8 +34,12 @@ def test_query(spark, con, name):
     assert sorted((tuple(same(r[c]) for c in sorted(names)) for r in df.collect()), key=str) == want
 
 
+#: Queries whose rows are approximate, each with a test of its own.
+APPROXIMATE = {"probable_neighbours"}
+
+
 def test_every_query_has_sql():
-    assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
+    assert set(registry.QUERIES) == set(registry.ORACLE_SQL) | APPROXIMATE
 
 
 def test_entry(spark):
