@@ -22,5 +22,5 @@ def query(sql: str | None):
     return add
 
 
-from tessera.plans import events, extended, patterns, relational, search  # noqa: E402, F401  they register their queries
+from tessera.plans import events, extended, patterns, relational, scale, search  # noqa: E402, F401  they register their queries
 from tessera.streaming import queries as streams  # noqa: E402, F401
