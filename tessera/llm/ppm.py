@@ -12,9 +12,10 @@ once; scoring a text is then a lookup for every byte of it, in numpy, with no lo
 Fitting takes a bounded sample of labelled rows: at most `per_label` distinct texts of each label,
 those with the smallest hashes, whole. Hashes are ranked before any text is moved, and texts that
 repeat count once, so the sample is bounded whatever the rows are. Every label of the rows is
-learned. Labels are fitted in tasks by groups of `GROUP`, each with the same number of contexts,
-and scored in passes over these groups, so that a worker holds the tables of one group however
-many labels there are; counts of all groups are sent to the workers, packed (some megabytes each).
+learned, with up to `CONTEXTS` contexts each. Labels are fitted in tasks by groups of `GROUP` and
+scored in passes over these groups, so that a worker holds the tables of one group however many
+labels there are; which labels share a group changes no code length. Counts of all groups are sent
+to the workers, packed (some megabytes each).
 
 Defined results: `und` with score 0 if the text is null, has no letter, or nothing was learned; a
 label `und` of the rows is learned like any other; ties go to the label that sorts first. The score
@@ -44,8 +45,8 @@ UND = "und"
 PER_LABEL = 300
 #: Labels whose tables are held at once.
 GROUP = 4
-#: Contexts in the tables of a group; rarer ones are left out beyond it.
-CONTEXTS = 15_000
+#: Contexts in the tree of a label; rarer ones are left out beyond it, in each label alike.
+CONTEXTS = 8_000
 #: Salts in which the hashes of a label are ranked first.
 SALTS = 64
 #: Sampled texts up to which the table of their hashes is broadcast: some 30 MB.
@@ -82,23 +83,24 @@ class ContextTrees:
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, most: int = CONTEXTS):
         self.order, self.labels = order, sorted(samples)
         counted = [self._counts(samples[k], order) for k in self.labels]
-        known, often = [], []
-        for o in range(order + 1 if counted else 0):
-            found = np.unique(np.concatenate([c[o][0] for c in counted]))
-            share = np.zeros(len(found))  # the largest in any label, so that labels with few bytes keep contexts too
-            for c in counted:
-                own, of = np.unique(c[o][0], return_inverse=True)
-                times = np.bincount(of, c[o][2]) / max(1, c[o][2].sum())
-                at = np.searchsorted(found, own)
-                share[at] = np.maximum(share[at], times)
-            known.append(found)
-            often.append(share)
-        # a context is at most as frequent as its suffixes, so a frequency bound keeps suffixes of what it keeps
-        total = np.sort(np.concatenate(often or [np.zeros(0)]))[::-1]
-        least = 0 if len(total) <= most else total[most]
-        self.known = [k[(n > least) | (o == 0)] for o, (k, n) in enumerate(zip(known, often))] or [np.zeros(0, np.uint32)] * (order + 1)
+        # each label keeps its own most frequent contexts, whatever other labels it is held with; a context is
+        # at most as frequent as its suffixes, so a bound on the frequency keeps the suffixes of what it keeps
+        kept = [self._frequent(c, most) for c in counted]
+        self.known = [np.unique(np.concatenate([k[o] for k in kept])) for o in range(order + 1)] if kept else [np.zeros(0, np.uint32)] * (order + 1)
         self.begins = np.cumsum([0] + [len(k) for k in self.known])
-        self.counted = [[tuple(x[np.isin(c[o][0], k)] for x in c[o]) for o, k in enumerate(self.known)] for c in counted]
+        self.counted = [[tuple(x[np.isin(c[o][0], k[o])] for x in c[o]) for o in range(order + 1)] for c, k in zip(counted, kept)]
+
+    @staticmethod
+    def _frequent(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> list[np.ndarray]:
+        """For each order the contexts that are more frequent than the one after the first `most`, and that of order 0."""
+        own, times = [], []
+        for found, _, n in counts:
+            different, of = np.unique(found, return_inverse=True)
+            own.append(different)
+            times.append(np.bincount(of, n, len(different)))
+        total = np.sort(np.concatenate(times))[::-1]
+        least = 0 if len(total) <= most else total[most]
+        return [k[(n > least) | (o == 0)] for o, (k, n) in enumerate(zip(own, times))]
 
     @cached_property
     def costs(self) -> np.ndarray:
