@@ -68,3 +68,17 @@ def test_slices_of_few_bytes():
 
     batch = M.pa.RecordBatch.from_pydict({"id": list(range(6)), "media": [b"x" * n for n in (10, 60, 40, 500, 0, 1)]})
     assert [p.column(0).to_pylist() for p in slices(batch, "media", 100)] == [[0, 1], [2], [3], [4, 5]]
+
+
+def test_a_file_written_by_hand():
+    """Byte by byte after the public format: unknown segment size, a simple block, a block with Xiph lacing in a group."""
+    head = bytes.fromhex("1A45DFA3 8B 4282 88") + b"matroska"
+    tracks = bytes.fromhex("1654AE6B 8C AE 8A D7 81 02 86 85") + b"V_VP8"
+    simple = bytes.fromhex("A3 87 82 000A 80") + b"abc"
+    group = bytes.fromhex("A0 8D A1 8B 82 0014 02 01 02") + b"de" + b"fgh"
+    cluster = bytes.fromhex("1F43B675 9C E7 82 03E8") + simple + group
+    data = head + bytes.fromhex("18538067 01FFFFFFFFFFFFFF") + tracks + cluster
+    packets, codecs, cues, _ = M.demux(data)
+    assert [data[p.start : p.start + p.size] for p in packets] == [b"abc", b"de", b"fgh"]
+    assert [(p.track, p.timestamp) for p in packets[:2]] == [(2, 1010), (2, 1020)] and {p.cluster for p in packets} == {0}
+    assert codecs == {2: "V_VP8"} and cues == []
