@@ -156,6 +156,9 @@ def recurring(bodies: list[bytes]) -> list[bytes]:
     return [np.packbits(twice[p]).tobytes() for p in places]
 
 
+#: Bytes of fingerprints in the largest bucket beyond which compaction splits all of them.
+MOST_BYTES = 64 << 20
+
 OUTPUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -183,9 +186,10 @@ class FingerprintIndex:
     """Runs of window fingerprints under `path`, a folder that driver and executors share.
 
     The runs are in the latest complete generation g<n> of the folder; compaction writes the
-    next one before it deletes the old, so an index can be opened again after a failure. The
-    number of buckets is fixed when the index is made: one for each `BUCKET_BYTES` of the text
-    that is expected, and the session's shuffle partitions at least.
+    next one before it deletes the old, so an index can be opened again after a failure. There is a
+    bucket for each `BUCKET_BYTES` of the text that is expected when the index is made, and the
+    session's shuffle partitions at least. Compaction of an open index splits all buckets when the
+    largest holds more than `MOST_BYTES` of fingerprints, so that no task grows with its history.
     """
 
     def __init__(self, spark: SparkSession, path: str, size: int = SIZE, gram: int = GRAM, expected_bytes: int = 0):
@@ -198,7 +202,7 @@ class FingerprintIndex:
                 self.generation = max(whole)
                 runs = [int(name[4:]) for name in self._names(self.path) if name.startswith("run=")]
                 self.count = 1 + max(runs, default=-1)
-                notes = dict(r.value.split("=") for r in self.spark.read.text(f"{path}-notes").collect())  # two lines
+                notes = dict(r.value.split("=") for r in self.spark.read.text(self._notes_at(self.generation)).collect())  # two lines
                 self.buckets, self.closed = int(notes["buckets"]), notes["closed"] == "True"
 
     def _hadoop(self, path: str):
@@ -213,9 +217,13 @@ class FingerprintIndex:
         where, files = self._hadoop(path)
         return [x.getPath().getName() for x in files.listStatus(where)]
 
-    def _note(self) -> None:
-        notes = [(f"buckets={self.buckets}",), (f"closed={self.closed}",)]
-        self.spark.createDataFrame(notes, "value string").coalesce(1).write.mode("overwrite").text(f"{self.base}-notes")
+    def _notes_at(self, generation: int) -> str:
+        return f"{self.base}-notes/g{generation}"
+
+    def _note(self, generation: int, buckets: int) -> None:
+        """Written before the generation that it tells of, so that whichever is found whole has its notes."""
+        notes = [(f"buckets={buckets}",), (f"closed={self.closed}",)]
+        self.spark.createDataFrame(notes, "value string").coalesce(1).write.mode("overwrite").text(self._notes_at(generation))
 
     @property
     def path(self) -> str:
@@ -227,7 +235,7 @@ class FingerprintIndex:
     def append(self, requests: DataFrame) -> int:
         """Adds the fingerprints of a batch as a run and returns its number."""
         if not self.count:
-            self._note()
+            self._note(self.generation, self.buckets)
         run = self.count
         requests.select(F.lit(run).alias("run"), "bucket", "part", "body").write.mode("append").partitionBy("run").parquet(self.path)
         self.count += 1
@@ -251,20 +259,29 @@ class FingerprintIndex:
         from there, so they are gone with the next compaction.
         """
 
+        old, had, more = self.path, self.count, 1
+        if had and not self.closed:  # the answers of a closed index name the buckets that were asked
+            largest = self.runs().groupBy("bucket").agg(F.sum(F.octet_length("body").cast("long")).alias("n")).agg(F.max("n")).head()[0]
+            more = max(1, -(-largest // MOST_BYTES))
+        buckets = self.buckets * more
+
         def fuse(key, rows):
             bodies = rows["body"].to_pylist()
             hashes, checks, twice, places = merge(bodies)
             own = np.flatnonzero(rows["part"].to_numpy() >= 0)
             told = answer_rows(rows, own, [np.packbits(twice[p]).tobytes() for p in places])
-            one = pa.table({"part": pa.array([-1], pa.int64()), "step": pa.array([0], pa.int32()), "bucket": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([body(hashes, checks, twice)], pa.binary())})
+            pieces = list(cut(owned(hashes, buckets), buckets))
+            n, merged = len(pieces), [body(hashes[i:j], checks[i:j], twice[i:j]) for _, i, j in pieces]
+            one = pa.table({"part": pa.array([-1] * n, pa.int64()), "step": pa.array([0] * n, pa.int32()), "bucket": pa.array([b for b, _, _ in pieces], pa.int32()), "body": pa.array(merged, pa.binary())})
             return pa.concat_tables([one, told])
 
-        old, had = self.path, self.count
         if had:
+            self._note(self.generation + 1, buckets)
             fused = self.runs().groupBy("bucket").applyInArrow(fuse, ANSWER)
             fused.withColumn("run", F.when(F.col("step") == 0, 0).otherwise(-1)).write.mode("overwrite").partitionBy("run").parquet(f"{self.base}/g{self.generation + 1}")
-            self.generation, self.count = self.generation + 1, 1
+            self.generation, self.count, self.buckets = self.generation + 1, 1, buckets
             remove(self.spark, old)
+            remove(self.spark, self._notes_at(self.generation - 1))
         return self.spark.read.schema(ANSWER).parquet(f"{self.path}/run=-1") if had and self._exists(f"{self.path}/run=-1") else self.spark.createDataFrame([], ANSWER)
 
     def _chosen(self, texts: DataFrame, known: DataFrame | None) -> DataFrame:

@@ -109,3 +109,22 @@ def test_runs_of_a_closed_corpus_are_compacted(spark, batches):
 
 def test_the_number_of_buckets_follows_bytes(spark):
     assert I.FingerprintIndex(spark, scratch(spark, "t"), expected_bytes=1 << 40).buckets == (1 << 40) // I.BUCKET_BYTES
+
+
+def test_an_open_index_splits_its_buckets(spark, monkeypatch):
+    """Batches, compactions and openings in turn; the rows are those of an index that never splits."""
+    rows, found, path = corpus(3), [], scratch(spark, "t")
+    batches = [rows[k::4] for k in range(4)]
+    monkeypatch.setattr(I, "MOST_BYTES", 2000)
+    for n, batch in enumerate(batches):
+        index = I.FingerprintIndex(spark, path)
+        buckets = index.buckets
+        found.append(rows_of(index.ingest(spark.createDataFrame(batch, "doc_id long, text string").repartition(3))))
+        if n < 3:
+            index.compact()
+            assert index.buckets >= buckets
+    assert I.FingerprintIndex(spark, path).buckets == index.buckets > 4
+    monkeypatch.setattr(I, "MOST_BYTES", 1 << 40)
+    whole = I.FingerprintIndex(spark, scratch(spark, "t"))
+    assert found == [rows_of(whole.ingest(spark.createDataFrame(b, "doc_id long, text string"))) for b in batches]
+    assert sum(x[2] for f in found for x in f) > 0
