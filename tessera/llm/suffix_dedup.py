@@ -129,20 +129,21 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
         placed[text[-1]].append(np.array([len(text) - 1], np.int32))
     out = []
 
-    # where each run of one byte begins whose suffixes are all needed
-    begins = np.arange(len(text), dtype=np.int32)
-    if len(text):
-        begins[1:][(text[1:] == text[:-1]) & need[1:] & need[:-1]] = 0
-        np.maximum.accumulate(begins, out=begins)
+    # places that go on a run of one byte, all of whose suffixes are needed, and where their runs begin
+    goes_on = np.zeros(len(text), bool)
+    goes_on[1:] = (text[1:] == text[:-1]) & need[1:] & need[:-1]
+    inner = np.flatnonzero(goes_on).astype(np.int32)
+    begins = np.where(goes_on[inner - 1], np.int32(0), inner - np.int32(1)) if len(inner) else inner
+    np.maximum.accumulate(begins, out=begins)
 
     def with_runs(wave: np.ndarray) -> np.ndarray:
         """The suffixes, then those before them in their runs: nearer ones first, in the order of what they lead to."""
-        back = wave - begins[wave]
-        if not back.any():
+        last = wave[goes_on[wave]]
+        if not len(last):
             return wave
-        own = np.repeat(wave, back + 1)
-        steps = ranges(np.zeros(len(wave), np.int32), back + 1).astype(np.int32)
-        return (own - steps)[np.argsort(steps, kind="stable")]
+        back = last - begins[np.searchsorted(inner, last)]
+        steps = ranges(np.ones(len(last), np.int32), back).astype(np.int32)
+        return np.concatenate([wave, (np.repeat(last, back) - steps)[np.argsort(steps, kind="stable")]])
 
     def induce(found: np.ndarray, c: int) -> None:
         """Places the larger predecessors that belong to other buckets."""
