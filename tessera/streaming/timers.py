@@ -15,59 +15,61 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 GIVEN_UP = "user_id long, click_id long, given_up long"
 
 
-class Abandoned(StatefulProcessor):
-    """Gives out each click that no purchase of its user follows within the patience.
-
-    Open clicks are a map from id to time, recent purchases a list of times, since a click may arrive
-    after its purchase. A click's timer stands at the end of its patience; when the watermark has come
-    to it, every purchase that could matter is there, so what is given out does not depend on how the
-    stream is cut into batches. Purchases older than any click that may still come are dropped then.
-    """
-
-    def __init__(self, patience_ms: int):
-        self.patience = patience_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.clicks = handle.getMapState("clicks", "click_id long", "at long")
-        self.purchases = handle.getListState("purchases", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)  # of one user and one batch
-        bought = [int(t) for f in frames for t in f.loc[f["event_type"] == "purchase", "at"]]
-        for f in frames:
-            for click, at in f.loc[f["event_type"] == "click", ["event_id", "at"]].itertuples(index=False):
-                self.clicks.updateValue((int(click),), (int(at),))
-                self.handle.registerTimer(self._due(int(at)))
-        if bought:
-            self.purchases.appendList([(t,) for t in bought])
-            # a purchase has no timer but the one that drops it
-            self.handle.registerTimer(max(self._due(t) for t in bought))
-        yield pd.DataFrame({"user_id": [], "click_id": [], "given_up": []}).astype("int64")
-
-    def _due(self, at: int) -> int:
-        """Timers are in milliseconds, times in microseconds; the first millisecond at which the patience is over."""
-        return -(-at // 1000) + self.patience
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        bought = sorted(t for (t,) in self.purchases.get()) if self.purchases.exists() else []
-        due = [(click, at) for (click,), (at,) in self.clicks.iterator() if self._due(at) <= now] if self.clicks.exists() else []
-        out = []
-        for click, at in due:
-            self.clicks.removeKey((click,))
-            if not any(at <= t <= at + self.patience * 1000 for t in bought):
-                out.append((key[0], click, at + self.patience * 1000))
-        # an open click is due later than now, so purchases from before its time are of no use
-        kept = [t for t in bought if self._due(t) > now]
-        if len(kept) < len(bought):
-            self.purchases.clear()
-            if kept:
-                self.purchases.put([(t,) for t in kept])
-        yield pd.DataFrame(sorted(out), columns=["user_id", "click_id", "given_up"]).astype("int64")
-
-    def close(self) -> None:
-        pass
+def processor(patience_ms: int) -> StatefulProcessor:
+    """The class is made here so that it travels by value: the process that reads its state's schema has no packages of ours."""
+
+    class Abandoned(StatefulProcessor):
+        """Gives out each click that no purchase of its user follows within the patience.
+
+        Open clicks are a map from id to time, recent purchases a list of times, since a click may arrive
+        after its purchase. A click's timer stands at the end of its patience; when the watermark has come
+        to it, every purchase that could matter is there, so what is given out does not depend on how the
+        stream is cut into batches. Purchases older than any click that may still come are dropped then.
+        """
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.clicks = handle.getMapState("clicks", "click_id long", "at long")
+            self.purchases = handle.getListState("purchases", "at long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            frames = list(rows)  # of one user and one batch
+            bought = [int(t) for f in frames for t in f.loc[f["event_type"] == "purchase", "at"]]
+            for f in frames:
+                for click, at in f.loc[f["event_type"] == "click", ["event_id", "at"]].itertuples(index=False):
+                    self.clicks.updateValue((int(click),), (int(at),))
+                    self.handle.registerTimer(self._due(int(at)))
+            if bought:
+                self.purchases.appendList([(t,) for t in bought])
+                # a purchase has no timer but the one that drops it
+                self.handle.registerTimer(max(self._due(t) for t in bought))
+            yield pd.DataFrame({"user_id": [], "click_id": [], "given_up": []}).astype("int64")
+
+        def _due(self, at: int) -> int:
+            """Timers are in milliseconds, times in microseconds; the first millisecond at which the patience is over."""
+            return -(-at // 1000) + patience_ms
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            bought = sorted(t for (t,) in self.purchases.get()) if self.purchases.exists() else []
+            due = [(click, at) for (click,), (at,) in self.clicks.iterator() if self._due(at) <= now] if self.clicks.exists() else []
+            out = []
+            for click, at in due:
+                self.clicks.removeKey((click,))
+                if not any(at <= t <= at + patience_ms * 1000 for t in bought):
+                    out.append((key[0], click, at + patience_ms * 1000))
+            # an open click is due later than now, so purchases from before its time are of no use
+            kept = [t for t in bought if self._due(t) > now]
+            if len(kept) < len(bought):
+                self.purchases.clear()
+                if kept:
+                    self.purchases.put([(t,) for t in kept])
+            yield pd.DataFrame(sorted(out), columns=["user_id", "click_id", "given_up"]).astype("int64")
+
+        def close(self) -> None:
+            pass
+
+    return Abandoned()
 
 
 def abandoned(events: DataFrame, patience: str = "6 hours", late: str = "1 hour") -> DataFrame:
@@ -80,4 +82,4 @@ def abandoned(events: DataFrame, patience: str = "6 hours", late: str = "1 hour"
     patience_ms = int(number) * {"minutes": 60_000, "hours": 3_600_000, "days": 86_400_000}[unit]
     timed = events.where("event_type IN ('click', 'purchase')").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     rows = timed.select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("at"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Abandoned(patience_ms), GIVEN_UP, "append", "eventTime")
+    return rows.groupBy("user_id").transformWithStateInPandas(processor(patience_ms), GIVEN_UP, "append", "eventTime")
