@@ -95,5 +95,5 @@ WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = c.user_id AND p.ts >= c.ts A
     AND c.ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 """)
 def stream_abandoned_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks without a purchase within six hours, given out by a timer each."""
+    """Clicks without a purchase within six hours, given out by timers."""
     return streamed(spark, sf_dir, abandoned).withColumn("given_up", F.timestamp_micros("given_up").cast("timestamp_ntz"))

@@ -21,28 +21,29 @@ def processor(patience_ms: int) -> StatefulProcessor:
     class Abandoned(StatefulProcessor):
         """Gives out each click that no purchase of its user follows within the patience.
 
-        Open clicks are a map from id to time, recent purchases a list of times, since a click may arrive
-        after its purchase. A click's timer stands at the end of its patience; when the watermark has come
-        to it, every purchase that could matter is there, so what is given out does not depend on how the
-        stream is cut into batches. Purchases older than any click that may still come are dropped then.
+        Open clicks and recent purchases are lists, since a click may arrive after its purchase. A timer
+        stands at the end of the patience of a user's first open click; when the watermark has come to it,
+        every purchase that could matter is there, so all clicks whose patience has ended by the watermark
+        are settled, and the next timer is set. What is given out does not depend on how the stream
+        is cut into batches. Purchases that no open or later click can see are dropped then.
         """
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.clicks = handle.getMapState("clicks", "click_id long", "at long")
+            self.clicks = handle.getListState("clicks", "click_id long, at long")
             self.purchases = handle.getListState("purchases", "at long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            frames = list(rows)  # of one user and one batch
-            bought = [int(t) for f in frames for t in f.loc[f["event_type"] == "purchase", "at"]]
-            for f in frames:
-                for click, at in f.loc[f["event_type"] == "click", ["event_id", "at"]].itertuples(index=False):
-                    self.clicks.updateValue((int(click),), (int(at),))
-                    self.handle.registerTimer(self._due(int(at)))
+            frame = pd.concat(list(rows))  # of one user and one batch
+            bought = frame.loc[frame["event_type"] == "purchase", "at"].tolist()
+            clicks = frame.loc[frame["event_type"] == "click", ["event_id", "at"]].values.tolist()
+            if clicks:
+                self.clicks.appendList([(int(i), int(t)) for i, t in clicks])
+                self.handle.registerTimer(min(self._due(int(t)) for _, t in clicks))
             if bought:
-                self.purchases.appendList([(t,) for t in bought])
-                # a purchase has no timer but the one that drops it
-                self.handle.registerTimer(max(self._due(t) for t in bought))
+                self.purchases.appendList([(int(t),) for t in bought])
+                if not clicks:  # there has to be some timer that drops them
+                    self.handle.registerTimer(max(self._due(int(t)) for t in bought))
             yield pd.DataFrame({"user_id": [], "click_id": [], "given_up": []}).astype("int64")
 
         def _due(self, at: int) -> int:
@@ -50,21 +51,23 @@ def processor(patience_ms: int) -> StatefulProcessor:
             return -(-at // 1000) + patience_ms
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            now = expiredTimerInfo.getExpiryTimeInMs()
-            bought = sorted(t for (t,) in self.purchases.get()) if self.purchases.exists() else []
-            due = [(click, at) for (click,), (at,) in self.clicks.iterator() if self._due(at) <= now] if self.clicks.exists() else []
-            out = []
-            for click, at in due:
-                self.clicks.removeKey((click,))
-                if not any(at <= t <= at + patience_ms * 1000 for t in bought):
-                    out.append((key[0], click, at + patience_ms * 1000))
-            # an open click is due later than now, so purchases from before its time are of no use
-            kept = [t for t in bought if self._due(t) > now]
-            if len(kept) < len(bought):
-                self.purchases.clear()
-                if kept:
-                    self.purchases.put([(t,) for t in kept])
-            yield pd.DataFrame(sorted(out), columns=["user_id", "click_id", "given_up"]).astype("int64")
+            now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+            clicks = list(self.clicks.get()) if self.clicks.exists() else []
+            bought = [t for (t,) in self.purchases.get()] if self.purchases.exists() else []
+            due = [(i, t) for i, t in clicks if self._due(t) <= now]
+            open_ = [(i, t) for i, t in clicks if self._due(t) > now]
+            out = [(key[0], i, t + patience_ms * 1000) for i, t in due if not any(t <= p <= t + patience_ms * 1000 for p in bought)]
+            seen = [(t,) for t in bought if self._due(t) > now]
+            for state, kept, had in ((self.clicks, open_, clicks), (self.purchases, seen, bought)):
+                if had and not kept:
+                    state.clear()
+                elif len(kept) < len(had):
+                    state.put(kept)
+            if open_:
+                self.handle.registerTimer(min(self._due(t) for _, t in open_))
+            elif seen:
+                self.handle.registerTimer(max(self._due(t) for (t,) in seen))
+            yield pd.DataFrame(out, columns=["user_id", "click_id", "given_up"]).astype("int64")
 
         def close(self) -> None:
             pass
