@@ -77,7 +77,7 @@ def stream_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
 SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM c LEFT JOIN p ON p.user_id = c.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 12 HOUR
-WHERE p.event_id IS NOT NULL OR c.ts + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+WHERE p.event_id IS NOT NULL OR c.ts + INTERVAL 12 HOUR <= least((SELECT max(ts) FROM c), (SELECT max(ts) FROM p)) - INTERVAL 1 HOUR
 """)
 def stream_clicks_to_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams joined over an interval: clicks with the purchases of the next twelve hours, and clicks that are certain to have none."""
@@ -92,7 +92,7 @@ def stream_clicks_to_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')
 SELECT c.user_id, c.event_id AS click_id, c.ts + INTERVAL 6 HOUR AS given_up FROM c
 WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = c.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR)
-    AND c.ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+    AND c.ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events WHERE event_type IN ('click', 'purchase')) - INTERVAL 1 HOUR
 """)
 def stream_abandoned_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks without a purchase within six hours, given out by timers."""
