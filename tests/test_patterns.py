@@ -124,3 +124,40 @@ def test_no_exact_count_in_the_plans_of_sketches(spark):
     for f in (patterns.users_by_sketch, patterns.buyers_among_clickers):
         plan = f(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "theta" in plan.lower() and "count(" not in plan and "distinct" not in plan.lower()
+
+
+@pytest.fixture
+def many_users(spark, tmp_path):
+    """Seven times the users that a sketch counts exactly, on a few days of two weeks."""
+    rows = spark.range(60_000).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds(1_704_067_200 + F.pmod(F.xxhash64("id"), F.lit(14)) * 86_400).cast("timestamp_ntz").alias("ts"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(30_000)).alias("user_id"),
+        F.element_at(F.array(F.lit("click"), F.lit("purchase"), F.lit("view")), (F.col("id") % 3 + 1).cast("int")).alias("event_type"),
+        (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(50_000)) / 100).alias("value"),
+    )
+    rows.coalesce(2).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def beside_sql(spark, sf, name):
+    import duckdb
+
+    from tessera.plans import registry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
+    df = registry.QUERIES[name](spark, sf)
+    found = con.execute(registry.ORACLE_SQL[name])
+    return sorted(map(tuple, df.select(*[d[0] for d in found.description]).collect()), key=str), sorted(found.fetchall(), key=str)
+
+
+def test_more_users_than_a_sketch_holds(spark, many_users):
+    found, want = beside_sql(spark, many_users, "users_by_sketch")
+    assert found == want and min(n for _, n in want) > 2 << rollups.LG_ENTRIES
+
+
+def test_full_slices_are_an_error(spark, many_users):
+    days = rollups.daily_sketches(spark.read.parquet(f"{many_users}/events.parquet"), 1)
+    with pytest.raises(Exception, match="more slices"):
+        rollups.distinct_users(days, ["event_type"]).collect()
