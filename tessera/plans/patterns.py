@@ -55,9 +55,10 @@ WITH m AS (SELECT DISTINCT date_trunc('week', ts)::DATE AS week, user_id, event_
 SELECT a.week, count(*) AS users FROM m a JOIN m b ON a.week = b.week AND a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' GROUP BY a.week
 """)
 def buyers_among_clickers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of a week who clicked and bought, by the intersection of two merged sketches."""
-    days = daily_sketches(read_table(spark, sf_dir, "events")).withColumn("week", F.to_date(F.date_trunc("week", "day")))
-    return shared_users(rolled_up(days, ["week", "event_type"]), "week", "click", "purchase").where("users > 0")
+    """Users of a week who clicked and bought, by intersections of merged sketches, one for each slice of users."""
+    events = read_table(spark, sf_dir, "events")
+    days = daily_sketches(events, user_slices(events)).withColumn("week", F.to_date(F.date_trunc("week", "day")))
+    return shared_users(days, "week", "click", "purchase").where("users > 0")
 
 
 @query("""

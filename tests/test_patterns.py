@@ -157,7 +157,14 @@ def test_more_users_than_a_sketch_holds(spark, many_users):
     assert found == want and min(n for _, n in want) > 2 << rollups.LG_ENTRIES
 
 
+def test_more_shared_users_than_a_sketch_holds(spark, many_users):
+    found, want = beside_sql(spark, many_users, "buyers_among_clickers")
+    assert found == want and min(n for _, n in want) > 500
+
+
 def test_full_slices_are_an_error(spark, many_users):
     days = rollups.daily_sketches(spark.read.parquet(f"{many_users}/events.parquet"), 1)
     with pytest.raises(Exception, match="more slices"):
         rollups.distinct_users(days, ["event_type"]).collect()
+    with pytest.raises(Exception, match="more slices"):
+        rollups.shared_users(days.withColumn("all", F.lit(1)), "all", "click", "purchase").collect()
