@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.frequent import heavy_hitters
 from tessera.operators.patterns import Step, match_rows
-from tessera.operators.rollups import daily_sketches, distinct_users, quantile, rolled_up, shared_users, user_slices
+from tessera.operators.rollups import daily_sketches, distinct_users, exact_quantiles_of, rolled_up, shared_users, user_slices
 from tessera.plans.registry import query
 from tessera.sources.files import read_table
 
@@ -66,6 +66,8 @@ WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type
 SELECT event_type, min(value) FILTER (k >= 0.5 * n) AS half, min(value) FILTER (k >= 0.9 * n) AS most FROM r GROUP BY event_type
 """)
 def value_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantiles by KLL sketches of days, merged; exact while a sketch keeps all values, as at the check's size, within its rank error beyond."""
-    merged = rolled_up(daily_sketches(read_table(spark, sf_dir, "events")), ["event_type"])
-    return merged.select("event_type", quantile(F.col("values"), 0.5).alias("half"), quantile(F.col("values"), 0.9).alias("most"))
+    """Quantiles by KLL sketches of days, merged, and the exact ranks of the values within their error."""
+    events = read_table(spark, sf_dir, "events")
+    found = exact_quantiles_of(events, rolled_up(daily_sketches(events), ["event_type"]), [0.5, 0.9])
+    of = lambda share: F.max(F.when(F.col("share") == share, F.col("quantile")))
+    return found.groupBy("event_type").agg(of(0.5).alias("half"), of(0.9).alias("most"))

@@ -162,6 +162,11 @@ def test_more_shared_users_than_a_sketch_holds(spark, many_users):
     assert found == want and min(n for _, n in want) > 500
 
 
+def test_more_values_than_a_sketch_holds(spark, many_users):
+    found, want = beside_sql(spark, many_users, "value_quantiles")
+    assert found == want
+
+
 def test_full_slices_are_an_error(spark, many_users):
     days = rollups.daily_sketches(spark.read.parquet(f"{many_users}/events.parquet"), 1)
     with pytest.raises(Exception, match="more slices"):
