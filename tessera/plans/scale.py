@@ -9,12 +9,12 @@ from tessera.operators.graph import triangles
 from tessera.operators.quantiles import exact_quantiles
 from tessera.plans.registry import query
 from tessera.sources.files import read_table
-from tessera.sources.layout import write_clustered
+from tessera.sources.layout import files_for, write_clustered
 from tessera.sources.scratch import shared
 
 SHARES = [0.5, 0.9]
-#: Rows of a file of the clustered layout.
-ROWS_A_FILE = 2_000
+#: Rows of a stretch of the clustered layout, which is a file or a page of one.
+ROWS_A_STRETCH = 2_000
 
 
 @query("""
@@ -48,8 +48,8 @@ WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-07-0
 def lines_in_a_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of half a year and a tenth of the parts, out of files along a curve over both."""
     lines, path = read_table(spark, sf_dir, "lineitem"), shared(spark, "clustered")
-    write_clustered(lines, path, ["l_shipdate", "l_partkey"], max(1, lines.count() // ROWS_A_FILE))
+    write_clustered(lines, path, ["l_shipdate", "l_partkey"], files_for(lines.count(), ROWS_A_STRETCH), page=ROWS_A_STRETCH)
     most = read_table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0
     box = "l_shipdate >= TIMESTAMP_NTZ '1997-01-01' AND l_shipdate < TIMESTAMP_NTZ '1997-07-01'"
-    found = spark.read.schema(lines.schema).parquet(path).where(box).where(F.col("l_partkey") < most / 10)
+    found = spark.read.schema(lines.schema).parquet(path).where(box).where(F.col("l_partkey") < -(-most // 10))  # whole numbers, so that the scan is given it
     return found.select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")

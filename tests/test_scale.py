@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import directed, triangles, undirected
 from tessera.operators.quantiles import exact_quantiles
-from tessera.sources.layout import write_clustered
+from tessera.sources.layout import files_for, with_places, write_clustered
 
 
 def test_triangles_with_a_hub(spark):
@@ -67,3 +67,28 @@ def test_a_box_reads_few_row_groups(spark, tmp_path):
     assert all_ >= 60 and read <= 0.1 * all_
     box = F.col("l_shipdate").between(low, high) & F.col("l_partkey").between(part_low, part_high)
     assert back.where(box).count() == lines.where(box).count() > 0
+
+
+def test_places_are_found_by_halving(spark):
+    """As by a count of all cuts below, with nulls and few different values, and by nothing that visits every cut."""
+    rnd = random.Random(4)
+    rows = [(k, rnd.choice([None, rnd.gauss(0, 1e6)]), rnd.randint(0, 3)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "id long, a double, b long")
+    placed = with_places(df, ["a", "b"])
+    assert "lambda" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["id"]: (r["__p0"], r["__p1"]) for r in placed.collect()}
+    shares = [k / 256 for k in range(1, 256)]
+    cuts = [sorted(set(c)) for c in df.agg(F.percentile_approx("a", shares, 10_000), F.percentile_approx(F.col("b").cast("double"), shares, 10_000)).first()]
+    assert found == {i: (0 if a is None else sum(c < a for c in cuts[0]), sum(c < b for c in cuts[1])) for i, a, b in rows}
+
+
+def test_a_box_reads_few_pages_of_a_file(spark, tmp_path):
+    """A large table has few files, and one file is still skipped for the most part."""
+    assert files_for(600_000, 2_000) == 64 and files_for(216_000_000, 2_000) == 216 and files_for(5_000, 2_000) == 2 and files_for(0, 2_000) == 1
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    write_clustered(lines, f"{tmp_path}/z", ["l_shipdate", "l_partkey"], 1, page=500)
+    box = "l_shipdate >= TIMESTAMP_NTZ '1997-01-01' AND l_shipdate < TIMESTAMP_NTZ '1997-07-01' AND l_partkey < 200"
+    back = spark.read.schema(lines.schema).parquet(f"{tmp_path}/z").where(box)
+    found, scan = back.collect(), back._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert len(found) == lines.where(box).count() > 0
+    assert scan.metrics().get("numOutputRows").get().value() < lines.count() / 4
