@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+#: Groups that keys are dealt over where Python keeps the state of many keys in one value.
+BUCKETS = 128
+
+
+def bucket(key: str, buckets: int) -> Column:
+    """The group of a key; null keys have one of their own."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(start, event_type, events): works on a batch and on a stream; a stream drops rows later than `late`."""

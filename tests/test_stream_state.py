@@ -40,6 +40,21 @@ def test_timers_go_on_after_a_restart(spark, tmp_path, con):
     assert sorted(map(tuple, found.collect()), key=str) == want(con, "stream_abandoned_clicks")
 
 
+def test_many_users_are_few_calls(spark, tmp_path):
+    """Python is called for a bucket and batch, not for a user; events without a user or time, and those that two users share a time with."""
+    rows = [(u, u, k, t) for u in range(3000) for k, t in (("click", 10 * u % 7200),)] + [(10_000 + u, u, "purchase", 10 * u % 7200 + u % 3 * 21_600 - u % 2) for u in range(0, 3000, 2)]
+    rows += [(20_000, None, "click", 5), (20_001, None, "purchase", 6), (20_002, 1, "click", None), (20_003, 2, "purchase", 400_000)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, t long").withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")).drop("t")
+    files.write(events.repartition(3), f"{tmp_path}/in")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/in/*.parquet'")
+    query = windows.drain(timers.abandoned(files.stream(spark, f"{tmp_path}/in", events.schema), buckets=8), f"{tmp_path}/out", f"{tmp_path}/state")
+    found = spark.read.parquet(f"{tmp_path}/out").select("user_id", "click_id", F.timestamp_micros("given_up").cast("timestamp_ntz"))
+    expected = want(con, "stream_abandoned_clicks")
+    assert sorted(map(tuple, found.collect()), key=str) == expected and 1500 < len(expected) < 3000
+    assert max(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress) < 100
+
+
 @pytest.mark.parametrize("how", ["inner", "leftOuter"])
 def test_the_state_of_an_interval_join_is_let_go(spark, tmp_path, con, how):
     events = queries.delivered(spark, SF, f"{tmp_path}/in", deliveries=10)
