@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,20 +39,30 @@ def closed_sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour
     return grouped.select("user_id", F.col("w.start").alias("start"), "events")
 
 
-def milestones(events: DataFrame, every: int) -> DataFrame:
+def milestones(events: DataFrame, every: int, buckets: int = BUCKETS) -> DataFrame:
     """(user_id, milestone): a row whenever a user's events so far pass a multiple of `every`.
 
-    The state of a user is one number, so it is the same however the stream is cut into batches.
+    The state of a user is one number, so it is the same however the stream is cut into batches. Users are
+    dealt over buckets, whose number must not change over a stream's life; the numbers of a bucket's users are one
+    value, so Python is called once for a bucket and batch.
     """
 
     def passed(key, frames, state):
-        before = state.get[0] if state.exists else 0
-        now = before + sum(len(f) for f in frames)
-        state.update((now,))
-        found = list(range(before - before % every + every, now + 1, every))
-        yield pd.DataFrame({"user_id": [key[0]] * len(found), "milestone": found}).astype("int64")
-
-    return events.groupBy("user_id").applyInPandasWithState(passed, "user_id long, milestone long", "n long", "append", GroupStateTimeout.NoTimeout)
+        old = [np.frombuffer(bytes(x), np.int64) for x in state.get] if state.exists else [np.zeros(0, np.int64)] * 2
+        seen = [np.unique(f["user_id"].to_numpy(np.int64), return_counts=True) for f in frames]
+        users, of = np.unique(np.concatenate([old[0], *[u for u, _ in seen]]), return_inverse=True)
+        before, now = np.zeros(len(users), np.int64), np.zeros(len(users), np.int64)
+        before[of[: len(old[0])]] = old[1]
+        np.add.at(now, of, np.concatenate([old[1], *[n for _, n in seen]]))
+        state.update((users.tobytes(), now.tobytes()))
+        n = now // every - before // every
+        if n.any():
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+            found = pd.array([None] * len(step) if key[0] < 0 else np.repeat(users, n), "Int64")
+            yield pd.DataFrame({"user_id": found, "milestone": (np.repeat(before // every, n) + step) * every})
+
+    rows = events.select(bucket("user_id", buckets).alias("bucket"), F.coalesce(F.col("user_id").cast("long"), F.lit(0).cast("long")).alias("user_id"))
+    return rows.groupBy("bucket").applyInPandasWithState(passed, "user_id long, milestone long", "users binary, numbers binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

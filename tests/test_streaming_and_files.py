@@ -47,3 +47,16 @@ def test_stream_drops_what_is_delivered_twice(spark, tmp_path):
     windows.drain(windows.first_seen(stream, late="60 days"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 200
     assert windows.first_seen(files.read(spark, str(tmp_path / "in"))).count() == 200
+
+
+def test_milestones_of_many_users_are_few_calls(spark, tmp_path):
+    """Several batches; some users pass a milestone in each, some pass many at once; rows without a user count together."""
+    users = [u for u in range(2000) for _ in range(u % 9)] + [7] * 950 + [None] * 45 + [-3] * 20
+    events = spark.createDataFrame([(u, k) for k, u in enumerate(users)], "user_id long, event_id long")
+    for k in range(3):
+        files.write(events.where(F.col("event_id") % 3 == k), str(tmp_path / "in"), mode="append")
+    rows = windows.milestones(files.stream(spark, str(tmp_path / "in"), events.schema, files_per_batch=2), 4, buckets=8)
+    query = windows.drain(rows, str(tmp_path / "out"), str(tmp_path / "state"))
+    want = sorted(((u, m) for u in set(users) for m in range(4, users.count(u) + 1, 4)), key=str)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str) == want
+    assert len(query.recentProgress) > 1 and max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 9
