@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import triangles
+from tessera.operators.graph import parts_for, triangles
 from tessera.operators.quantiles import exact_quantiles
 from tessera.plans.registry import query
 from tessera.sources.files import read_table
@@ -25,8 +25,10 @@ SELECT part, count(*) AS triangles FROM (SELECT unnest([a, b, c]) AS part FROM t
 """)
 def parts_bought_in_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part, the triangles of parts of which each two were in one urgent order."""
-    urgent = read_table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(urgent, "l_orderkey", "left_semi").distinct()
+    orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    parts = parts_for(spark, lines.count())
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey")).repartition(parts, "l_orderkey")
+    lines = lines.select("l_orderkey", "l_partkey").repartition(parts, "l_orderkey").join(urgent, "l_orderkey", "left_semi").distinct()
     edges = lines.withColumnRenamed("l_partkey", "a").join(lines.withColumnRenamed("l_partkey", "b"), "l_orderkey").where("a < b")
     return triangles(edges, "a", "b").withColumnRenamed("node", "part")
 

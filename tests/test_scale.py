@@ -2,6 +2,7 @@ import glob
 import itertools
 import math
 import random
+import re
 
 import pyarrow.parquet as pq
 import pytest
@@ -33,6 +34,23 @@ def test_triangles_with_a_hub(spark):
     assert triangles(df.limit(0), "a", "b").collect() == []
 
 
+def test_parts_follow_edges_and_wedges(spark, monkeypatch):
+    """However few partitions the session has, a task joins about as many wedges as it may."""
+    monkeypatch.setattr("tessera.operators.graph.ROWS_A_PART", 1000)
+    rnd = random.Random(6)
+    edges = spark.createDataFrame([(rnd.randint(0, 150), rnd.randint(0, 150)) for _ in range(3000)], "a long, b long")
+    found = triangles(edges, "a", "b")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    flow = directed(undirected(edges, "a", "b")).groupBy("low").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert all(int(n) >= flow / 1000 > 15 for n in re.findall(r"RepartitionByExpression \[.*?\], (\d+)", plan)) and plan.count("RepartitionByExpression") == 4
+    near = {}
+    for x, y in {(min(e), max(e)) for e in edges.collect() if e[0] != e[1]}:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    want = {x: sum(b in near[a] for a, b in itertools.combinations(near[x], 2)) for x in near}
+    assert {r["node"]: r["triangles"] for r in found.collect()} == {x: k for x, k in want.items() if k}
+
+
 @pytest.mark.parametrize("bins", [8, 64])
 def test_quantiles_of_any_values(spark, bins):
     rnd = random.Random(bins)
