@@ -64,3 +64,22 @@ def test_probes_reach_the_recall(spark):
 def test_no_pairs_are_formed_by_a_join(spark):
     plan = search.nearest_vectors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("held", [1 << 17, 50])
+def test_a_query_travels_once_to_a_share(spark, monkeypatch, held):
+    """However many cells it meets there; floats stay floats; of equal similarity the smaller ids; a cell may have several shares."""
+    monkeypatch.setattr("tessera.operators.neighbours.MOST_HELD", held)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 8))
+    rows = rows_of(np.concatenate([x, x[:30], np.repeat(x[:1], 150, axis=0)]))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    index = VectorIndex(df, "id", "vector", cells=20)
+    asked = index._queries(df, "id", "vector")
+    sent = asked.mapInArrow(index.cells.sent(15, False), "query long, share int, cells array<int>, vector array<float>").toArrow()
+    assert dict(index.rows.dtypes)["vector"] == dict(asked.dtypes)["vector"] == "array<float>"
+    pairs = list(zip(sent["query"].to_pylist(), sent["share"].to_pylist()))
+    assert len(set(pairs)) == len(pairs) <= int(index.cells.shares.sum()) * len(rows)
+    assert held > 50 or int(index.cells.shares.max()) > 1
+    assert lists(index.search(df, "id", "vector", 7, probes=20)) == lists(index.search(df, "id", "vector", 7, probes=3, exact=True))
+    assert {len(v) for v in lists(index.search(df, "id", "vector", 7, probes=20)).values()} == {7}
