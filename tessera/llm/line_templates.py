@@ -17,7 +17,8 @@ is None.
 Leaves of fewer than `min_docs` documents hold no template, so only the lines of the other leaves
 go on. Tokens are counted by documents, in two steps, so that a leaf of any size is spread. Tables
 of leaves, tokens and templates are broadcast up to a counted number of bytes, and joined by
-shuffles beyond it. Tokens travel as 64-bit hashes of leaf, place and token; templates and whole
+shuffles beyond it. Lines are told apart by their leaf from the text of their path and a count of
+spaces; only those of leaves that go on are split into tokens. Tokens travel as 64-bit hashes of leaf, place and token; templates and whole
 lines are compared by 128-bit digests.
 
 Defined results: null and empty texts have no lines and come back as they are; blank lines are
@@ -37,24 +38,38 @@ DEPTH, MIN_DOCS, SIMILAR, EXACT_TOKENS = 3, 5, 0.5, 10
 #: Bytes, as counted, up to which a table is broadcast.
 FEW_BYTES = 8 << 20
 
-SPACES = "[\\x20\\x09-\\x0D]+"
+#: White space other than a space that a line may hold.
+ODD_SPACES = "\t\v\f\r"
+#: A token with a digit; tokens are joined by one space.
+VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 WILD = "<*>"
 
 
-def tokens(text: Column) -> Column:
-    """The tokens of each line of a text."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.transform(lines, lambda line: F.filter(F.split(line, SPACES), lambda t: t != ""))
+def raw_lines(text: Column) -> Column:
+    """The lines of a text, with one space for each run of white space.
 
+    A text is rewritten only if it holds other white space: looking for it costs a small part of a
+    regular expression over the whole text.
+    """
+    text = F.coalesce(text, F.lit(""))
+    odd, spaced = F.contains(text, F.lit("  ")), text
+    for c in ODD_SPACES:
+        odd, spaced = odd | F.contains(text, F.lit(c)), F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.split(F.when(odd, F.regexp_replace(spaced, "  +", " ")).otherwise(text), "\n")
 
-def masked(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), F.lit(WILD)).otherwise(token)
 
+def count_tokens(line: Column) -> Column:
+    """The number of tokens that one space joins, without making them."""
+    return F.when(line != "", F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).otherwise(0)
 
-def leaf(line: Column, depth: int) -> Column:
-    """A hash of the path; null for a blank line."""
-    first = F.transform(F.slice(line, 1, depth), masked)
-    return F.when(F.size(line) > 0, F.xxhash64(F.size(line), first))
+
+def masked_path(line: Column, depth: int) -> Column:
+    """The first tokens, joined by one space, variable ones as WILD."""
+    return F.regexp_replace(F.substring_index(line, " ", depth), VARIABLE, WILD)
+
+
+def leaf(n: Column, path: Column) -> Column:
+    return F.xxhash64(n, path)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -65,31 +80,34 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def digest(text: Column) -> Column:
-    return F.unhex(F.md5(F.encode(text, "utf-8")))
+    return F.unhex(F.md5(text.cast("binary")))
 
 
-def template_lines(parsed: DataFrame, marks: DataFrame, depth: int, min_docs: int, similar: float) -> DataFrame:
+def template_lines(docs: DataFrame, marks: DataFrame, depth: int, min_docs: int, similar: float) -> DataFrame:
     """(kd, th, i, least): lines of templates that stand in enough documents, with the smallest id of those."""
     leaves = marks.select(F.explode(F.array_distinct("leaves")).alias("leaf")).where("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("n"))
     leaves = stored(leaves.where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    lines = parsed.select("kd", "th", F.posexplode(F.arrays_zip("leaves", "lines")).alias("i", "line")).select("kd", "th", "i", F.col("line.leaves").alias("leaf"), F.col("line.lines").alias("line"))
+    lines = docs.select("kd", "th", F.posexplode(raw_lines(F.col("text"))).alias("i", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    lines = lines.withColumns({"n": count_tokens(F.col("line")), "path": masked_path(F.col("line"), depth)}).withColumn("leaf", leaf(F.col("n"), F.col("path")))
+    # only lines of leaves that may hold a template are split into tokens
+    lines = lines.join(small(leaves), "leaf").withColumn("line", F.split("line", " "))
     # the tokens behind the path with their places, but for variable ones
-    behind = F.transform(F.slice("line", depth + 1, F.greatest(F.size("line") - depth, F.lit(0))), lambda t, i: F.when(~t.rlike("[0-9]"), F.struct(i.alias("place"), t.alias("token"))))
-    path = F.transform(F.slice("line", 1, depth), masked)
-    need = F.ceil(F.greatest(F.size("line") - depth, F.lit(0)) * similar).cast("int")
+    behind = F.transform(F.slice("line", depth + 1, F.greatest(F.size("line") - depth, F.lit(0))), lambda t, i: F.when(~t.rlike("[0-9]") & (t != WILD), F.struct(i.alias("place"), t.alias("token"))))
+    need = F.ceil(F.greatest(F.col("n") - depth, F.lit(0)) * similar).cast("int")
     # a token of a leaf at a place, as a number
     keys = F.transform(F.filter(behind, lambda t: t.isNotNull()), lambda t: F.struct(t["place"].alias("place"), F.xxhash64("leaf", t["place"], t["token"]).alias("key")))
-    own = [F.monotonically_increasing_id().alias("line"), "kd", "th", "i", F.size("line").alias("n"), need.alias("need"), path.alias("path"), keys.alias("keys")]
-    held = stored(lines.join(small(leaves), "leaf").select(*own), "lines")
-    each = held.where(F.size("keys") >= F.col("need")).select("line", F.xxhash64("kd", "th").alias("doc"), F.inline("keys"))
+    own = [F.monotonically_increasing_id().alias("line"), "kd", "th", "i", "n", need.alias("need"), "path", keys.alias("keys")]
+    held = stored(lines.select(*own), "lines")
+    # every line's tokens count, also of one that has too few for a template
+    each = held.select("line", (F.size("keys") >= F.col("need")).alias("enough"), F.xxhash64("kd", "th").alias("doc"), F.inline("keys"))
     often = each.groupBy("key", "doc").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     often = stored(often, "tokens").hint("merge")  # the same join at every size; a frequent token's rows can be split
-    ranked = each.select("line", "place", "key").join(often, "key").groupBy("line").agg(F.array_sort(F.collect_list(F.struct((-F.col("docs")).alias("first"), "place", "key"))).alias("ranked"))
+    ranked = each.where("enough").select("line", "place", "key").join(often, "key").groupBy("line").agg(F.array_sort(F.collect_list(F.struct((-F.col("docs")).alias("first"), "place", "key"))).alias("ranked"))
     fixed = F.array_sort(F.transform(F.slice("ranked", 1, F.col("need")), lambda t: F.struct(t["place"].alias("place"), t["key"].alias("key"))))
     found = held.select("line", "kd", "th", "i", "n", "need", "path").join(ranked, "line").where(F.size("ranked") >= F.col("need"))
     found = found.select("kd", "th", "i", "n", "path", F.transform(fixed, lambda t: F.concat_ws(" ", t["place"].cast("string"), t["key"].cast("string"))).alias("fixed"))
-    short = held.where(F.col("n") <= depth).where(F.exists("path", lambda t: t != WILD)).select("kd", "th", "i", "n", "path", F.array().cast("array<string>").alias("fixed"))
-    text = F.array_join(F.concat(F.array(F.col("n").cast("string")), "path", "fixed"), "\n")
+    short = held.where(F.col("n") <= depth).where(F.exists(F.split("path", " "), lambda t: t != WILD)).select("kd", "th", "i", "n", "path", F.array().cast("array<string>").alias("fixed"))
+    text = F.array_join(F.concat(F.array(F.col("n").cast("string"), F.col("path")), "fixed"), "\n")
     found = stored(found.unionByName(short).select("kd", "th", "i", digest(text).alias("template")), "templates")
     per_doc = found.groupBy("template", "kd", "th").agg(F.lit(1).alias("one"))
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("kd").alias("least")).where(F.col("docs") >= min_docs)
@@ -107,15 +125,14 @@ def exact_lines(marks: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, depth: int, min_docs: int, similar: float, exact_tokens: int | None) -> DataFrame:
     """(kd, th, gone): the numbers of the lines that each document loses."""
-    parsed = docs.select("kd", "th", tokens(F.col("text")).alias("lines"))
-    parsed = parsed.withColumn("leaves", F.transform("lines", lambda line: leaf(line, depth)))
-    marks = parsed.select("kd", "th", "leaves")
+    parsed = docs.select("kd", "th", F.transform(raw_lines(F.col("text")), lambda line: F.trim(line)).alias("lines"))
+    parsed = parsed.withColumn("sizes", F.transform("lines", count_tokens))
+    marks = [F.zip_with("lines", "sizes", lambda line, n: F.when(n > 0, leaf(n, masked_path(line, depth)))).alias("leaves")]
     if exact_tokens is not None:
-        whole = lambda line: F.when(F.size(line) >= exact_tokens, digest(F.array_join(line, " ")))
-        marks = parsed.select("kd", "th", "leaves", F.transform("lines", whole).alias("digests"))
+        marks.append(F.zip_with("lines", "sizes", lambda line, n: F.when(n >= exact_tokens, digest(line))).alias("digests"))
     # hashes of lines are a small part of the texts, and are read again for each count
-    marks = stored(marks, "line-marks")
-    found = template_lines(parsed, marks, depth, min_docs, similar)
+    marks = stored(parsed.select("kd", "th", *marks), "line-marks")
+    found = template_lines(docs, marks, depth, min_docs, similar)
     if exact_tokens is not None:
         found = found.unionByName(exact_lines(marks))
     return found.where(F.col("kd") != F.col("least")).groupBy("kd", "th").agg(F.collect_set("i").alias("gone"))

@@ -122,3 +122,37 @@ def test_whole_lines_can_be_left_alone(spark):
     docs = spark.createDataFrame([(i, line) for i in range(4)], "doc_id long, text string")
     assert T.dedup_lines(docs).where("n_dropped > 0").count() == 3
     assert T.dedup_lines(docs, exact_tokens=None).where("n_dropped > 0").count() == 0
+
+
+def test_white_space_of_any_kind_parts_tokens(spark):
+    """Runs, tabs, vertical tabs, form feeds and returns part tokens, at both ends of a line too; other blanks are letters."""
+    rnd = random.Random(12)
+    gap = lambda: "".join(rnd.choices(" \t\v\f\r", k=rnd.randint(1, 4)))
+    end = lambda: rnd.choice(["", "", gap()])
+    words = ["Read", "m2re", "<*>", "é7", "of\u00a0all", "0", "\U0001f600x", "1\u2003b", "our", "site", "at", "length", "now"]
+    rows = []
+    for i in range(60):
+        lines = [end() + gap().join(words[j : j + n]) + end() for j, n in [(0, 3), (0, 8), (0, 13), (1, 2), (2, 5), (2, 1), (1, 1), (i % 9, 4)]]
+        lines += [gap(), "Read m2re <*> " + " ".join(words[4:9]), f" {i % 10}  0 1"]
+        rnd.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    rows += [(60, " " * 100_000 + "Read\t" + "x" * 100_000 + " " * 100_000), (61, "x" * 300_000 + " 1 y"), (62, " 0 1\u00a0 2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for options in ({}, {"depth": 0}, {"depth": 1, "exact_tokens": None}):
+        found = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in T.dedup_lines(docs, **options).collect()), key=str)
+        assert found == brute(rows, **options) and sum(x[3] for x in found) > 100
+
+
+def test_only_lines_of_leaves_that_go_on_are_split_into_tokens(spark, monkeypatch):
+    """Making the tokens of all lines was most of the job's CPU seconds."""
+    plans, real = {}, T.stored
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(T, "stored", seen)
+    T.dedup_lines(spark.createDataFrame([(i, f"a line of tokens {i}") for i in range(8)], "doc_id long, text string"))
+    assert plans["line-marks"].count("split(") == 1  # the lines of a text
+    before, join, behind = plans["lines"].partition("Join Inner")
+    assert join and before.count("split(") == 1 and behind.count("split(") == 1
